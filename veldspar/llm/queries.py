@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import bpe, exact_dedup, language, minhash, mixing
+from veldspar.llm import bpe, exact_dedup, html_text, language, lm, minhash, mixing, quality, toxicity, warc
+from veldspar.llm.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,37 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = language.held_out(F.col("doc_id"), 5, 0)
+    scored = toxicity.score(docs, toxicity.train(docs, labels.where(~out)))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"), 7, 2)
+    vocabulary, automaton = lm.train(docs.where(~out), Scratch(spark, "lm"))
+    scored = lm.score(docs, vocabulary, automaton)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    judged = quality.verdict(quality.judge(docs, quality.train(docs, labels)))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality")
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{Scratch(spark, 'warc').root}/archives"
+    warc.write(_table(spark, sf_dir, "pages"), root)
+    return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
@@ -50,6 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_lm_score": op5_lm_score,
+    "op6_quality": op6_quality,
+    "op7_html": op7_html,
+    "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_bpe": op10_bpe,
 }
@@ -63,4 +100,16 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": _OP3_SQL}
+_OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages
+), q AS (
+  SELECT page_id, size, sha256(html) AS digest, CASE WHEN size >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS least FROM p
+)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM q
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": _OP3_SQL, "op8_warc": _OP8_SQL}
