@@ -9,11 +9,13 @@ norms. A support vector machine over kernel values with MOST_LANDMARKS landmark
 inverse root of the landmarks' own kernel matrix (Nystroem), separates insults from other spans.
 
 As the kernel is a sum over triples, the machine's landmark weights collapse exactly into
-one weight a triple, and scoring is a table lookup. A document scores as its worst span does.
+one weight a triple, and scoring is a table lookup.
 
 Labels are for documents, not spans. Training is for multiple instances: each document
-offers the sentences (spans) that look worst to the current model; those of clean documents
-are clean, and of each toxic document the worst is toxic. The first model is the log-odds of triples.
+offers the spans that look worst to the current model; those of clean documents are clean,
+and of each toxic document the worst is toxic, as are others that toxic documents offer
+often. The first model is the log-odds of triples. A document's score is a logistic
+regression on its three worst spans, how many spans are toxic and how many there are.
 Learning uses at most TRAIN_ROWS labelled documents, those with the smallest hashes of ids.
 """
 
@@ -37,26 +39,56 @@ ROUNDS = 3
 DECAY, REACH = 0.6, 5
 LONGEST = 64  #: A longer span is scored in overlapping pieces of this many bytes.
 SYMBOLS = 64
+TOP = 3
+FLOOR = 3.0
+PARTS = 1 << 30  #: Shares are summed as integers, so the order of tasks does not matter.
+SUMMARY = ("worst", "second", "third", "toxic_spans", "spans")
 
 #: Signs that are written for letters.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
+EDGE = 63  #: The symbol of a span's beginning and end.
+
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[ord("a") : ord("z") + 1] = np.arange(1, 27)
-_SYMBOL[0x80:] = 27 + np.arange(128) % 37
 for _sign, _letter in STANDS_FOR.items():
     _SYMBOL[ord(_sign)] = _SYMBOL[ord(_letter)]
 _PAIRS = [(j, k) for j in range(1, REACH) for k in range(j + 1, REACH)]
 
 
+def symbols(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol of each character, and for each byte place the number of characters before it.
+
+    Letters a to z and signs that stand for them are 1 to 26, characters beyond ASCII are
+    hashed to 27 to 62, all others are 0.
+    """
+    heads = (data & 0xC0) != 0x80
+    before = np.concatenate([[0], np.cumsum(heads)])
+    at = np.flatnonzero(heads)
+    out = _SYMBOL[data[at]]
+    wide = np.flatnonzero(data[at] >= 0xC0)
+    if len(wide):
+        place = at[wide]
+        code = data[place].astype(np.int64)
+        for k in (1, 2, 3):
+            follow = np.minimum(place + k, len(data) - 1)
+            more = (place + k < len(data)) & (before[follow + 1] == before[place + 1])
+            code = np.where(more, code * 131 + data[follow], code)
+        out[wide] = 27 + code % 36
+    return out, before
+
+
 def triples(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Span, triple and weight of every gapped letter triple of the spans."""
-    size = end - start
+    """Span, triple and weight of every gapped letter triple of the spans, their edges included."""
+    letters, before = symbols(data)
+    first = before[start]
+    size = before[end] - first + 2
     owner = np.repeat(np.arange(len(start)), size)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    at = start[owner] + offset
     left = size[owner] - offset
-    symbol = _SYMBOL[data[at]]
+    symbol = np.full(len(owner), EDGE)
+    inner = (offset > 0) & (left > 1)
+    symbol[inner] = letters[(first[owner] + offset - 1)[inner]]
     out = []
     for j, k in _PAIRS:
         ok = np.flatnonzero((left > k) & (symbol > 0))
@@ -104,12 +136,12 @@ def spans(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 @dataclass
 class Machine:
-    """Weights of triples, the intercept, and the logistic curve that maps document scores to probabilities."""
+    """Weights of triples and the intercept; of documents, weights of SUMMARY and their intercept."""
 
     weights: np.ndarray
     intercept: float
-    slope: float
-    middle: float
+    summary: np.ndarray
+    shift: float
 
     def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         owner, triple, weight = triples(data, start, end)
@@ -117,17 +149,30 @@ class Machine:
         norm = np.sqrt(np.bincount(owner, weight * weight, len(start)))
         return value / np.maximum(norm, 1e-9) + self.intercept
 
-    def probability(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (worst - self.middle), -30, 30)))
-
     def documents(self, found: Words) -> np.ndarray:
-        """The worst span's value for each document; a document without spans has the intercept's."""
+        """SUMMARY of each document: its three greatest span values, how many are toxic, and how many there are.
+
+        Places beyond the last span hold the intercept, or 0 if that is less; in a document without spans they hold -FLOOR.
+        """
         data, start, end, doc = spans(found)
-        worst = np.full(len(found.first) - 1, min(self.intercept, 0.0))
+        n = len(found.first) - 1
+        out = np.zeros((n, len(SUMMARY)))
+        out[:, :TOP] = -FLOOR
         if len(start):
+            out[np.unique(doc), :TOP] = min(self.intercept, 0.0)
             uniq, back = _distinct(data, start, end)
-            np.maximum.at(worst, doc, self.spans(data, start[uniq], end[uniq])[back])
-        return worst
+            value = self.spans(data, start[uniq], end[uniq])[back]
+            order = np.lexsort([-value, doc])
+            rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+            best = order[rank < TOP]
+            out[doc[best], rank[rank < TOP]] = value[best]
+            out[:, TOP] = np.log1p(np.bincount(doc[value > 0], minlength=n))
+            out[:, TOP + 1] = np.log1p(np.bincount(doc, minlength=n))
+        out[:, :TOP] = np.clip(out[:, :TOP], -FLOOR, FLOOR)
+        return out
+
+    def probability(self, summary: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(summary @ self.summary + self.shift, -30, 30)))
 
 
 def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +240,7 @@ def _fit(texts: list[str], labels: np.ndarray, share: np.ndarray) -> tuple[np.nd
 
 
 def _presence(texts: DataFrame) -> np.ndarray:
-    """For each triple, how many toxic and clean documents have it."""
+    """For clean and toxic documents, the summed shares of each document's spans that have each triple."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SYMBOLS**3), np.int64)
@@ -203,17 +248,19 @@ def _presence(texts: DataFrame) -> np.ndarray:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, found in each_slice(batch.column(0), lower=True):
                 data, start, end, doc = spans(found)
+                if not len(start):
+                    continue
                 owner, triple, _ = triples(data, start, end)
-                both = np.unique(doc[owner] * SYMBOLS**3 + triple)
-                d, t = np.divmod(both, SYMBOLS**3)
-                np.add.at(total, (labels[lo:hi][d], t), 1)
+                owner, triple = np.divmod(np.unique(owner * SYMBOLS**3 + triple), SYMBOLS**3)
+                share = np.rint(PARTS / np.bincount(doc, minlength=hi - lo).clip(1)).astype(np.int64)
+                np.add.at(total, (labels[lo:hi][doc[owner]], triple), share[doc[owner]])
         label, triple = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(triple, pa.int32()), pa.array(total[label, triple])], ["label", "triple", "n"])
 
     rows = texts.select("text", "label").mapInArrow(seen, "label int, triple int, n bigint").groupBy("label", "triple").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((2, SYMBOLS**3))
     out[rows["label"], rows["triple"]] = rows["n"]
-    return out
+    return out / PARTS
 
 
 def _offered(texts: DataFrame, machine: Machine, offered: int = OFFERED):  # noqa: ANN202
@@ -241,58 +288,71 @@ def _offered(texts: DataFrame, machine: Machine, offered: int = OFFERED):  # noq
     return got.sort_values(["doc_id", "value", "span"], ascending=[True, False, True], kind="stable")
 
 
+def _summaries(texts: DataFrame, machine: Machine) -> tuple[np.ndarray, np.ndarray]:
+    """SUMMARY and label of each training document."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, found in each_slice(batch.column(1), lower=True):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(list(machine.documents(found)), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+
+    got = texts.select("doc_id", "text", "label").mapInArrow(summed, "doc_id bigint, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    return np.array(got["x"].tolist()).reshape(-1, len(SUMMARY)), got["label"].to_numpy(float)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a ridge logistic regression, by Newton steps."""
+    z = np.column_stack([x, np.ones(len(x))])
+    w, ridge = np.zeros(z.shape[1]), np.diag([1.0] * x.shape[1] + [1e-6])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+        w = w + move
+        if np.abs(move).max() < 1e-8:
+            break
+    return w[:-1], float(w[-1])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> Machine:
-    """A machine from at most ``rows`` labelled documents. Spans, not texts, reach the driver.
+    """A machine from at most ``rows`` labelled documents. Spans and summaries, not texts, reach the driver.
 
     With no labels, or labels of one kind only, every text gets the share of toxic labels.
     """
     chosen = sampled_labels(labels, "toxic", rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``rows`` rows at most
     n = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    none = np.zeros(len(SUMMARY))
     if len(n) < 2:
         share = n.get(1, 0) / max(sum(n.values()), 1) if n else 0.0
-        return Machine(np.zeros(SYMBOLS**3), 0.0, 1.0, -float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+        return Machine(np.zeros(SYMBOLS**3), 0.0, none, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     seen = _presence(texts)
-    odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    # Rare triples say little: the odds must outweigh their own spread.
-    spread = np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
-    machine = Machine(np.where(seen.sum(0) > 0, np.sign(odds) * np.maximum(np.abs(odds) - spread, 0), 0.0), 0.0, 1.0, 0.0)
-    for turn in range(rounds + 1):
+    # Where toxic documents have a triple more often than clean ones; rare triples say little.
+    weights = np.log((seen[1] + 1) / (n[1] + 100)) - np.log((seen[0] * n[1] / n[0] + 1) / (n[1] + 100))
+    machine = Machine(np.where(seen.sum(0) > 0, weights, 0.0), 0.0, none, 0.0)
+    for _ in range(rounds):
         got = _offered(texts, machine)
-        worst = got.groupby("doc_id").first()
-        if turn == rounds:
-            return _calibrated(machine, worst["value"].to_numpy(), worst["label"].to_numpy())
-        toxic = got[(got["label"] == 1)].groupby("doc_id").head(1)
         clean = got[got["label"] == 0]
-        times = toxic["span"].value_counts()
-        against = set(clean["span"])
-        toxic = toxic[~toxic["span"].isin({s for s in times.index if s in against and times[s] < 3})]
-        some = sorted(set(toxic["span"]))
-        other = sorted(against - set(some))
-        texts_in, y = some + other, np.array([True] * len(some) + [False] * len(other))
+        against = clean["span"].value_counts() / n[0]
+        toxic = got[got["label"] == 1]
+        rate = toxic["span"].value_counts() / n[1]
+        # A toxic document's worst span, and its others where they are toxic documents' own.
+        own = rate.index.to_series().map(lambda s: rate[s] > 3 * against.get(s, 0.0))
+        first = toxic.groupby("doc_id").head(1)
+        some = sorted({s for s in first["span"] if own[s]} | {s for s in rate.index if own[s] and rate[s] * n[1] >= 3})
+        other = sorted(set(clean["span"]) - set(some))
         if not some or not other:
-            return _calibrated(machine, worst["value"].to_numpy(), worst["label"].to_numpy())
-        weights, intercept = _fit(texts_in, y, np.array([times.get(t, 0) for t in texts_in]))
-        machine = Machine(weights, intercept, 1.0, 0.0)
-    return machine
-
-
-def _calibrated(machine: Machine, value: np.ndarray, label: np.ndarray) -> Machine:
-    """Put the middle where fewest training documents are on the wrong side, amid the gap there."""
-    order = np.argsort(value, kind="stable")
-    v, y = value[order], label[order].astype(float)
-    wrong = np.concatenate([[0], np.cumsum(y)]) + (1 - y).sum() - np.concatenate([[0], np.cumsum(1 - y)])
-    best = np.flatnonzero(wrong == wrong.min())
-    cut = best[len(best) // 2]
-    low, high = v[max(cut - 1, 0)], v[min(cut, len(v) - 1)]
-    return Machine(machine.weights, machine.intercept, 6.0 / max(float(v.std()), 1e-6), float((low + high) / 2))
+            break
+        spans_in, y = some + other, np.array([True] * len(some) + [False] * len(other))
+        weights, intercept = _fit(spans_in, y, np.array([rate.get(t, 0.0) for t in spans_in]))
+        machine = Machine(weights, intercept, none, 0.0)
+    summary, shift = _logistic(*_summaries(texts, machine))
+    return Machine(machine.weights, machine.intercept, summary, shift)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score, the probability that the text is toxic.
 
-    A text that is null, empty or without spans gets the probability of a span that shares
-    nothing with the landmarks. Repeated rows give repeated rows; extra columns are ignored;
+    A text that is null, empty or without words gets a low score of its own. Repeated rows give repeated rows; extra columns are ignored;
     an empty table gives an empty table.
     """
 
