@@ -28,13 +28,17 @@ def normalised(text: Column) -> Column:
 
 
 def _named(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Add ``name``: one integer for each distinct value of ``key``. ``rows`` has unique integers in ``row``."""
-    local = Window.partitionBy(*key, "salt")
-    rows = rows.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS))).withColumn("near", F.min("row").over(local))
-    heads = rows.where(F.col("row") == F.col("near")).withColumn("name", F.min("row").over(Window.partitionBy(*key)))
-    heads = heads.select(F.col("near").alias("head"), "name")
-    light = rows.drop(*key, "salt")
-    return light.join(heads, light["near"] == heads["head"]).drop("near", "head")
+    """Replace ``key`` by ``name``: one integer for each distinct value. ``rows`` has unique integers in ``row``.
+
+    The contents go through two exchanges in one line of plan: the first finds the head of
+    each content and salt; the second, where only heads still carry their content, the head
+    of all. The third exchange, on integers, hands the heads' names to the other rows.
+    """
+    rows = rows.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS))).withColumn("near", F.min("row").over(Window.partitionBy(*key, "salt")))
+    head = F.col("row") == F.col("near")
+    rows = rows.withColumns({k: F.when(head, F.col(k)) for k in key} | {"alone": F.when(~head, F.col("row"))}).drop("salt")
+    rows = rows.withColumn("name", F.min("row").over(Window.partitionBy(*key, "alone"))).drop(*key, "alone")
+    return rows.withColumn("name", F.max(F.when(head, F.col("name"))).over(Window.partitionBy("near"))).drop("near")
 
 
 def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
