@@ -41,7 +41,7 @@ def trimmed(text: Column) -> Column:
 def unsigned(digits: Column, most: int) -> Column:
     """ASCII digits as a number up to ``most``, else null."""
     number = F.when(digits.rlike(r"^\+?[0-9]+$"), digits.try_cast("decimal(38,0)"))
-    return F.when(number <= most, number)
+    return F.when(number <= F.lit(str(most)).cast("decimal(38,0)"), number)
 
 
 def is_stack(line: Column) -> Column:

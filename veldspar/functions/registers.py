@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,11 +65,17 @@ def without_doc(name: Column) -> Column:
     return F.regexp_replace(trimmed(name), r"(?U)^(?:DOC_\s*)+", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def circuit_number(text: Column) -> Column:
     """A number of at least 1 in digits, or a Chinese numeral up to 99."""
-    named = F.create_map(*(F.lit(x) for pair in numerals().items() for x in pair))
-    plain = number(text)
-    return F.when(plain.isNotNull(), F.when(plain >= 1, plain.cast("bigint"))).otherwise(F.try_element_at(named, text).cast("bigint"))
+    known = numerals()
+    place = F.array_position(F.array(*map(F.lit, known)), text).cast("int")
+    named = F.try_element_at(F.array(*map(F.lit, known.values())), F.when(place > 0, place))
+    return F.when(text.rlike("^[0-9]+$"), let(number(text), lambda n: F.when(n >= 1, n.cast("bigint")))).otherwise(named.cast("bigint"))
 
 
 def circuit(name: Column) -> Column:
@@ -76,17 +84,22 @@ def circuit(name: Column) -> Column:
     The patterns are tried in order. One that matches ends the search if its rest begins a
     range or its number is malformed; if its attribute is empty the next one is tried.
     """
-    text = without_doc(name)
-    tries = []
-    for pattern in CIRCUITS:
-        rest = F.regexp_extract(text, pattern, 2)
-        attribute = F.regexp_replace(rest, r"(?U)^[\s_:：-]+|[\s_:：-]+\z", "")
-        value = circuit_number(F.regexp_extract(text, pattern, 1))
-        none = rest.rlike(RANGE_REST) | value.isNull()
-        kind = F.when(~text.rlike(pattern), 0).when(none, 1).when(attribute == "", 0).otherwise(2)
-        tries.append(F.struct(kind.alias("kind"), value.alias("number"), attribute.alias("attribute")))
-    first = F.get(F.filter(F.array(*tries), lambda t: t["kind"] > 0), F.lit(0))
-    return F.when(first["kind"] == 2, F.struct(first["number"].alias("number"), first["attribute"].alias("attribute")))
+
+    def tried(text: Column, pattern: str) -> Column:
+        parts = F.struct(F.regexp_extract(text, pattern, 1).alias("digits"), F.regexp_extract(text, pattern, 2).alias("rest"))
+        attribute = lambda p: F.regexp_replace(p["rest"], r"(?U)^[\s_:：-]+|[\s_:：-]+\z", "")
+        return F.when(text.rlike(pattern), let(parts, lambda p: F.struct(p["rest"].rlike(RANGE_REST).alias("range"), p["digits"].alias("digits"), attribute(p).alias("attribute"))))
+
+    def verdict(hit: Column) -> Column:
+        """Empty to go on, else an array of the circuit, or of null to stop."""
+        found = F.struct(circuit_number(hit["digits"]).alias("number"), hit["attribute"].alias("attribute"))
+        return F.when(hit.isNull(), F.lit(None)).when(hit["range"], F.array(F.lit(None).cast("struct<number:bigint,attribute:string>"))).otherwise(
+            let(found, lambda f: F.when(f["number"].isNull(), F.array(F.lit(None).cast("struct<number:bigint,attribute:string>"))).when(f["attribute"] != "", F.array(f)))
+        )
+
+    tries = let(without_doc(name), lambda text: F.array(*(tried(text, p) for p in CIRCUITS)))
+    ends = F.filter(F.transform(tries, verdict), lambda v: v.isNotNull())
+    return F.get(F.flatten(F.slice(ends, 1, 1)), F.lit(0))
 
 
 def is_range_heading(line: Column) -> Column:

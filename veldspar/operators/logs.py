@@ -85,13 +85,13 @@ def projects(rows: DataFrame) -> DataFrame:
 
 def disabled_rules(rows: DataFrame) -> DataFrame:
     """Rule ids of disabled dispatches in the order in which they are first seen."""
-    found = categorised(rows).where("category = 'DispatchDisabled'").select(*ORDER, F.lit(0).alias("at"), fn.disabled_rule(F.col("message")).alias("rule_id"))
+    found = categorised(rows).where("category = 'DispatchDisabled'").select(*ORDER, F.posexplode(F.array(fn.disabled_rule(F.col("message")))).alias("at", "rule_id"))
     return _first_seen(found.where("rule_id is not null"), "rule_id")
 
 
 def threads(rows: DataFrame) -> DataFrame:
     """Thread names in the order in which they are first seen."""
-    return _first_seen(rows.select(*ORDER, F.lit(0).alias("at"), "thread"), "thread")
+    return _first_seen(rows.select(*ORDER, F.posexplode(F.array("thread")).alias("at", "thread")), "thread")
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -59,15 +59,16 @@ def sanitize(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     good = (F.size("fields") == 12) & fn.number(_at(F.col("fields"), 0), fn.U64).isNotNull()
     rows = rows.withColumn("valid", F.coalesce(good, F.lit(False)))
 
-    name = _at(F.col("fields"), 2)
-    found = fn.circuit(name)
-    wanted = F.when(found.isNotNull(), fn.without_doc(found["attribute"])).otherwise(fn.without_doc(name))
-    kept = found.isNull() & ((fn.without_doc(name) == "") | fn.is_ambiguous(name))
-    rows = rows.withColumns({"circuit": found["number"], "wanted": wanted, "as_is": kept, "key": fn.ascii_lower(wanted)})
+    name, found = F.col("name"), F.col("found")
+    rows = rows.withColumn("name", F.when(F.col("valid"), _at(F.col("fields"), 2)))
+    rows = rows.withColumns({"found": fn.circuit(name), "bare": fn.without_doc(name)})
+    kept = found.isNull() & ((F.col("bare") == "") | fn.is_ambiguous(name))
+    rows = rows.withColumns({"circuit": found["number"], "wanted": F.coalesce(fn.without_doc(found["attribute"]), "bare"), "as_is": kept})
+    rows = rows.withColumn("key", fn.ascii_lower(F.col("wanted")))
     codes = catalog.groupBy(fn.ascii_lower(F.col("code")).alias("key")).agg(F.min_by("code", "ord").alias("canonical"))
     rows = rows.join(codes, "key", "left")
-    bare = trimmed(F.regexp_replace("wanted", "^(?:DOC_)+", ""))
-    new_name = F.when(F.col("as_is"), name).otherwise(F.coalesce("canonical", F.concat(F.lit("DOC_"), bare)))
+    as_doc = F.concat(F.lit("DOC_"), trimmed(F.regexp_replace("wanted", "^(?:DOC_)+", "")))
+    new_name = F.when(F.col("as_is"), name).otherwise(F.coalesce("canonical", as_doc))
     group = _at(F.col("fields"), 1)
     group = F.when(F.col("circuit").isNotNull(), F.col("circuit").cast("string")).when(F.coalesce(fn.number(group) >= 1, F.lit(False)), group).otherwise("1")
     clean = F.concat(F.slice("fields", 1, 1), F.array(group, new_name), F.slice("fields", 4, 1 << 20))
@@ -75,7 +76,7 @@ def sanitize(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     notes = F.array(
         F.when(F.col("repaired"), REPAIRED),
         F.when(~F.col("valid"), DAMAGED),
-        F.when(F.col("valid") & F.col("as_is"), F.when(fn.without_doc(name) == "", NAMELESS).otherwise(ambiguous)),
+        F.when(F.col("valid") & F.col("as_is"), F.when(F.col("bare") == "", NAMELESS).otherwise(ambiguous)),
     )
     return rows.select(
         "doc_id", *ORDER, "width", "repaired", F.when(F.col("valid"), "valid").otherwise("rejected").alias("status"),

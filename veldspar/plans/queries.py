@@ -1,6 +1,252 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each applying operators to a whole derived input."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veldspar.functions import frames as hexes
+from veldspar.functions import logs as log_fn
+from veldspar.functions import registers as reg_fn
+from veldspar.operators import chunks, explain, frames, logs, registers
+from veldspar.plans import derive
+from veldspar.plans.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.entries(derive.log_lines(spark, sf_dir))
+
+
+def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir)
+
+
+def log_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.category_counts(_entries(spark, sf_dir))
+
+
+def log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.summary(_entries(spark, sf_dir))
+
+
+def log_serial_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.serial_errors(_entries(spark, sf_dir))
+
+
+def log_unique_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.unique_serials(_entries(spark, sf_dir))
+
+
+def log_serial_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.serial_totals(_entries(spark, sf_dir))
+
+
+def log_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.projects(_entries(spark, sf_dir))
+
+
+def log_disabled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.disabled_rules(_entries(spark, sf_dir))
+
+
+def log_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.threads(_entries(spark, sf_dir))
+
+
+def log_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.heatmap(_entries(spark, sf_dir), 10)
+
+
+def log_stuck_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.stuck_threads(_entries(spark, sf_dir), 10_000)
+
+
+def log_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.samples(_entries(spark, sf_dir), 5)
+
+
+def log_dispatch_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cost = log_fn.dispatch_cost(F.col("message")).cast("bigint")
+    return _entries(spark, sf_dir).select("file_ord", "line_no", cost.alias("cost_ms")).where("cost_ms is not null")
+
+
+def log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.report(_entries(spark, sf_dir))
+
+
+def _catalog(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, "Ua", "A相电压"), (1, "Ia", "A相电流"), (2, "IA", "shadowed")], "ord int, code string, meaning string")
+
+
+def _sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.sanitize(derive.register_rows(spark, sf_dir), _catalog(spark))
+
+
+def register_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sanitized(spark, sf_dir)
+    return rows.select(
+        "doc_id", "batch_ord", "row_ord", "status", "repaired", F.col("width").cast("bigint").alias("width"),
+        F.get("fields", F.lit(1)).alias("grp"), F.get("fields", F.lit(2)).alias("data_name"), F.size("warnings").cast("bigint").alias("n_warnings"),
+    )
+
+
+def register_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = registers.diagnostics(_sanitized(spark, sf_dir))
+    count = lambda w: F.coalesce(F.try_element_at("column_counts", F.lit(w)), F.lit(0)).alias(f"width_{w}")
+    return found.select("doc_id", "valid_records", "repaired_missing_unit", "rejected_records", count(12), count(11), count(5))
+
+
+def register_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = registers.merge(_sanitized(spark, sf_dir))
+    pick = lambda k: F.get("fields", F.lit(k))
+    return merged.select("doc_id", F.when(F.col("status") == "kept", F.col("ord").cast("bigint")).alias("ord"), "status", F.col("address").cast("bigint").alias("address"), pick(2).alias("data_name"), pick(4).alias("reg_add"), pick(5).alias("reg_type"), pick(1).alias("grp"))
+
+
+def register_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("p_partkey")
+    text = F.when(number % 4 == 0, F.concat(F.lit("0x"), F.lower(F.hex(number)))).when(number % 4 == 1, F.concat(F.hex(number), F.lit("H"))).when(number % 4 == 2, F.concat(F.lit(" "), number.cast("string"), F.lit(" "))).otherwise(F.concat(number.cast("string"), F.lit("x")))
+    return _table(spark, sf_dir, "part").select("p_partkey", reg_fn.address(text).cast("bigint").alias("address"))
+
+
+def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("code"), F.substring("p_type", 1, 6).alias("meaning"))
+
+
+def naming_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.catalog(_brands(spark, sf_dir))
+
+
+def naming_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.reference_lines(registers.catalog(_brands(spark, sf_dir)))
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", reg_fn.without_tags(F.col("html")).alias("text"))
+
+
+def _messages(bodies: DataFrame) -> DataFrame:
+    """Hex messages of derived bodies: request, response, write, broken request, private command."""
+    h2 = lambda c: hexes.to_hex(c, 2)
+    h4 = lambda c: hexes.to_hex(c, 4)
+    qty, start, value, slave, kind = (F.col(c) for c in ("qty", "start", "value", "slave", "kind"))
+    data = F.array_join(F.transform(F.sequence(F.lit(1), qty), lambda i: h4((value + i) % 65536)), "")
+    counted = F.concat(h4(start), h4(qty), h2(qty * 2), data)
+    body = (
+        F.when(kind == 1, F.concat(h2(slave), F.lit("03"), h2(qty * 2), data)).when(kind == 2, F.concat(h2(slave), F.lit("10"), counted))
+        .when(kind == 4, F.concat(h2(slave), F.lit("20"), counted)).otherwise(F.concat(h2(slave), F.lit("03"), h4(start), h4(qty)))
+    )
+    crc = hexes.to_hex(hexes.modbus_crc(F.col("body")), 4)
+    crc = F.when(kind == 3, "0000").otherwise(F.concat(crc.substr(3, 2), crc.substr(1, 2)))
+    return bodies.withColumn("body", body).withColumn("message", F.concat("body", crc))
+
+
+def frame_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _messages(derive.hex_bodies(spark, sf_dir))
+    return rows.select("batch_id", hexes.modbus_crc(F.col("body")).cast("bigint").alias("crc"), hexes.additive_checksum(F.col("body")).cast("bigint").alias("additive"))
+
+
+def frame_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames.parse_messages(_messages(derive.hex_bodies(spark, sf_dir)).select("batch_id", F.lower("message").alias("text")))
+    return rows.select(
+        "batch_id", "protocol", *(F.col(c).cast("bigint").alias(c) for c in ("slave", "function_code", "start_address", "quantity", "byte_count")),
+        F.col("checksum.valid").alias("crc_valid"), F.size("registers").cast("bigint").alias("n_registers"), F.size("fields").cast("bigint").alias("n_fields"),
+        F.array_join("registers.raw_hex", "").alias("register_hex"), F.array_join("warnings.code", ",").alias("warnings"),
+    )
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = derive.hex_bodies(spark, sf_dir)
+    ask = _messages(bodies.withColumn("kind", F.lit(0))).select("batch_id", F.col("message").alias("request_hex"))
+    answer = _messages(bodies.withColumns({"kind": F.lit(1), "qty": F.when(F.col("kind") == 2, F.col("qty") + 1).otherwise(F.col("qty"))}))
+    return frames.parse_pairs(ask.join(answer.select("batch_id", F.col("message").alias("response_hex")), "batch_id"), ["batch_id"])
+
+
+def frame_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pairs(spark, sf_dir).where("role = 'response'")
+    return rows.select("batch_id", F.get("registers", F.lit(0))["address"].cast("bigint").alias("first_address"), F.size("registers").cast("bigint").alias("n_registers"), F.array_join("warnings.code", ",").alias("warnings"))
+
+
+def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    kind = F.col("p_partkey") % 9 + 4
+    text = lambda c: c.cast("string")
+    endian = F.when(kind.isin(8, 9, 12), F.col("p_partkey") % 4).otherwise(F.col("p_partkey") % 2)
+    rows = part.select(
+        F.col("p_partkey").alias("ord"), F.lit("1").alias("id"), F.lit("1").alias("group"), F.concat(F.lit("DOC_"), "p_brand").alias("data_name"), F.lit("V").alias("unit"),
+        text(F.col("p_partkey")).alias("reg_add"), text(kind).alias("reg_type"), text(endian).alias("endian"), text(F.col("p_partkey") % 3).alias("dcm"),
+        F.lit("0.5").alias("k"), F.lit("3").alias("fun_num"), F.lit("").alias("calc"), F.lit("1").alias("style"),
+    )
+    return explain.definitions(rows, _catalog(spark))
+
+
+def register_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = _pairs(spark, sf_dir).where("role = 'response'").select("batch_id", "registers")
+    found = explain.explain(answers, ["batch_id"], _definitions(spark, sf_dir))
+    return found.select("batch_id", F.col("position").cast("bigint").alias("position"), F.col("address").cast("bigint").alias("address"), "parameter_name", "raw_hex", F.col("numeric_value"), "meaning", F.array_join("warnings.code", ",").alias("warnings"))
+
+
+def register_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = _pairs(spark, sf_dir).where("role = 'response'").select("batch_id", "registers")
+    return explain.explain(answers, ["batch_id"], _definitions(spark, sf_dir)).select("batch_id", "position", "address", "converted_value")
+
+
+def register_match_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = _pairs(spark, sf_dir).where("role = 'response'").select("registers")
+    found = explain.match_diagnostics(answers, _definitions(spark, sf_dir))
+    return found.select("extracted_count", "matched_count", F.size("unmatched_addresses").cast("bigint").alias("n_unmatched"))
+
+
+def register_interpretations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.concat(hexes.to_hex(F.col("value"), 4), hexes.to_hex(F.col("start"), 4))
+    rows = derive.hex_bodies(spark, sf_dir).select("batch_id", hexes.interpret(digits).alias("x"))
+    names = [f"{order}_{kind}{bits}" for order in ("big", "little") for kind in ("int", "uint") for bits in (8, 16, 32)]
+    return rows.select("batch_id", *(F.col(f"x.{n}").cast("bigint").alias(n) for n in names))
+
+
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    head = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("=== Sheet: s"), F.col("doc_id").cast("string"), F.lit(" ===\n"))).otherwise("")
+    return chunks.chunk(docs.select("doc_id", F.concat(head, "text").alias("text"))).select("doc_id", F.col("index").cast("bigint").alias("index"), "text", "prior_context")
+
+
+def chunk_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("index"), "text")
+    return chunks.prior_context(turns, 40).select("doc_id", "index", "prior_context")
+
+
+def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with the assistant turns at the same position of their conversation."""
+    from pyspark.sql import Window
+
+    turns = _table(spark, sf_dir, "conversations")
+    place = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    turns = turns.withColumn("position", place)
+    ask = turns.where("role = 'user'").select("conv_id", "position", F.col("text").alias("question"))
+    reply = turns.where("role = 'assistant'").select("conv_id", "position", F.col("text").alias("answer"))
+    return ask.join(reply, ["conv_id", "position"], "left").withColumn("position", F.col("position").cast("bigint"))
+
+
+def redacted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text: Column = F.col("props")
+    return _table(spark, sf_dir, "events").select("event_id", reg_fn.redacted(text, "click", "", "view").alias("props"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        log_entries, log_category_counts, log_summary, log_serial_errors, log_unique_serials, log_serial_totals, log_projects, log_disabled_rules, log_threads,
+        log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_report, register_sanitized, register_diagnostics, register_merged, register_addresses,
+        naming_catalog, naming_reference, page_text, frame_checksums, frame_decoded, frame_pairs, register_explained, register_values, register_match_diagnostics,
+        register_interpretations, chunk_documents, chunk_contexts, conversation_pairs, redacted_events,
+    )
+}
