@@ -66,7 +66,7 @@ def document_status(name: Column, length: Column) -> Column:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a folder: path, kind, status, text. Text is null unless the status is ok; too large files are not read."""
+    """Documents of a folder: path, kind, status, text. Text is null unless the status is ok; too large files are not read, and Spark's scan lists no empty ones."""
     files = _files(spark, path)
     kind = F.lower(F.regexp_extract(_name(F.col("path")), r"[^.]\.([^.]+)$", 1))
     files = files.select("path", kind.alias("kind"), document_status(_name(F.col("path")), F.col("length")).alias("status"), "content")
@@ -102,8 +102,8 @@ def record_rows(texts: DataFrame, text_col: str = "csv") -> DataFrame:
                     same = [pa.repeat(batch.column(c)[k], len(rows)) for c in range(len(others))]
                     yield pa.RecordBatch.from_arrays([*same, pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], [*others, "row_ord", "fields"])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return texts.select(*others, without_fence(F.col(text_col)).alias(text_col)).mapInArrow(cut, f"{names}, row_ord int, fields array<string>")
+    columns = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "row_ord int", "fields array<string>"]
+    return texts.select(*others, without_fence(F.col(text_col)).alias(text_col)).mapInArrow(cut, ", ".join(columns))
 
 
 def register_map_rows(spark: SparkSession, path: str) -> DataFrame:
