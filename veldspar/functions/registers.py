@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.functions.logs import trimmed, unsigned
@@ -70,6 +70,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, their columns worked out here: the optimizer copies none of their expressions into what follows."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def circuit_number(text: Column) -> Column:
     """A number of at least 1 in digits, or a Chinese numeral up to 99."""
     known = numerals()

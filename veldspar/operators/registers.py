@@ -57,11 +57,11 @@ def sanitize(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     rows = rows.withColumn("repaired", repairable(F.col("fields")))
     rows = rows.withColumn("fields", F.when(F.col("repaired"), repaired(F.col("fields"))).otherwise(F.col("fields")))
     good = (F.size("fields") == 12) & fn.number(_at(F.col("fields"), 0), fn.U64).isNotNull()
-    rows = rows.withColumn("valid", F.coalesce(good, F.lit(False)))
+    rows = fn.settled(rows.withColumn("valid", F.coalesce(good, F.lit(False))))
 
     name, found = F.col("name"), F.col("found")
     rows = rows.withColumn("name", F.when(F.col("valid"), _at(F.col("fields"), 2)))
-    rows = rows.withColumns({"found": fn.circuit(name), "bare": fn.without_doc(name)})
+    rows = fn.settled(rows.withColumns({"found": fn.circuit(name), "bare": fn.without_doc(name)}))
     kept = found.isNull() & ((F.col("bare") == "") | fn.is_ambiguous(name))
     rows = rows.withColumns({"circuit": found["number"], "wanted": F.coalesce(fn.without_doc(found["attribute"]), "bare"), "as_is": kept})
     rows = rows.withColumn("key", fn.ascii_lower(F.col("wanted")))
@@ -78,10 +78,10 @@ def sanitize(rows: DataFrame, catalog: DataFrame) -> DataFrame:
         F.when(~F.col("valid"), DAMAGED),
         F.when(F.col("valid") & F.col("as_is"), F.when(F.col("bare") == "", NAMELESS).otherwise(ambiguous)),
     )
-    return rows.select(
+    return fn.settled(rows.select(
         "doc_id", *ORDER, "width", "repaired", F.when(F.col("valid"), "valid").otherwise("rejected").alias("status"),
         F.when(F.col("valid"), clean).otherwise(F.col("fields")).alias("fields"), F.filter(notes, lambda w: w.isNotNull()).alias("warnings"),
-    )
+    ))
 
 
 def diagnostics(sanitized: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def merge(sanitized: DataFrame) -> DataFrame:
     rows = rows.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     kind = F.coalesce(fn.number(_at(F.col("fields"), 5)), F.lit(0)).cast("bigint")
     rows = rows.select("doc_id", *ORDER, "fields", fn.number(_at(F.col("fields"), 4), fn.U64).cast("decimal(20,0)").alias("address"), kind.alias("kind"))
-    rows = rows.withColumn("width", fn.width(F.col("kind")))
+    rows = fn.settled(rows.withColumn("width", fn.width(F.col("kind"))))
     placed = rows.where("address is not null").withColumn("end", (F.col("address") + F.col("width") - 1).cast("decimal(20,0)"))
     along = Window.partitionBy("doc_id").orderBy("address", "width", *ORDER)
     placed = placed.withColumn("reach", F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)))

@@ -62,7 +62,7 @@ FROM part
 HEX_BODIES = """
 SELECT l_orderkey * 8 + l_linenumber AS batch_id, l_linenumber AS slave, l_partkey % 65536 AS start, CAST(l_quantity AS INT) % 4 + 1 AS qty,
        CAST(l_orderkey % 5 AS INT) AS kind, CAST(l_suppkey % 65536 AS INT) AS value
-FROM lineitem
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) AS one
 """
 
 

@@ -69,11 +69,11 @@ register_rows AS ({derive.REGISTER_ROWS}), sanitized AS (
 
 _MERGED = f"""
 WITH RECURSIVE {_REGISTERS}, shaped AS (
-  SELECT doc_id, batch_ord, row_ord, new_name AS data_name, new_group AS grp, c_type AS reg_type,
+  SELECT doc_id, batch_ord, row_ord, c_width, new_name AS data_name, new_group AS grp, c_type AS reg_type,
     CASE WHEN c_width = 11 AND c_address LIKE '0x%' THEN CAST(CAST(c_address AS INT) AS VARCHAR) ELSE c_address END AS reg_add
   FROM sanitized WHERE valid
 ), once AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, grp, data_name, reg_add, reg_type ORDER BY batch_ord, row_ord) AS nth,
+  SELECT *, row_number() OVER (PARTITION BY doc_id, c_width, grp, data_name, reg_add, reg_type ORDER BY batch_ord, row_ord) AS nth,
     try_cast(CASE WHEN reg_add LIKE '0x%' THEN NULL ELSE reg_add END AS BIGINT) AS address,
     CASE WHEN CAST(reg_type AS INT) IN (8, 9, 12) THEN 2 WHEN CAST(reg_type AS INT) IN (10, 11) THEN 4 ELSE 1 END AS width
   FROM shaped

@@ -147,7 +147,7 @@ def _messages(bodies: DataFrame) -> DataFrame:
     )
     crc = hexes.to_hex(hexes.modbus_crc(F.col("body")), 4)
     crc = F.when(kind == 3, "0000").otherwise(F.concat(crc.substr(3, 2), crc.substr(1, 2)))
-    return bodies.withColumn("body", body).withColumn("message", F.concat("body", crc))
+    return reg_fn.settled(reg_fn.settled(bodies.withColumn("body", body)).withColumn("message", F.concat("body", crc)))
 
 
 def frame_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
