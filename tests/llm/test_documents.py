@@ -136,8 +136,8 @@ def test_near_duplicates_of_a_hot_band(spark, monkeypatch):
 
 def test_near_duplicates_odd_tables(spark, empty):
     assert minhash.near_duplicates(empty).collect() == []
-    got = minhash.near_duplicates(spark.createDataFrame([(None, "a b c d e f", None, None, 0), (2, "a b c d e f", None, None, 0), (3, None, None, None, 0)], DOCS)).collect()
-    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, None, True), (2, 2, True), (3, 3, True)]
+    got = minhash.near_duplicates(spark.createDataFrame([(None, "a b c d e f", None, None, 0), (2, "a b c d e f", None, None, 0), (3, None, None, None, 0), (None, "g h", None, None, 0)], DOCS)).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, None, True), (0, None, True), (2, 2, True), (3, 3, True)]
 
 
 def test_estimate_is_close():

@@ -6,16 +6,17 @@ exponential value x that the set's elements have under hash i, truncated to 0..L
 of unions are element-wise maxima, and two registers agree about as often as the sets overlap.
 
 1. Documents with one and the same set form a class; classes go on.
-2. BAND_ROWS registers at a time make a band; classes that share a band are candidates.
-   Of a pair at the threshold 0.8 the bands miss about 1 in 600 000, at 0.85 far fewer.
+2. A few registers at a time make a band; classes that share a band are candidates. Bands
+   have as many registers as let them miss a pair at the threshold with a chance of MISSED
+   at most: five at 0.8, six at 0.85. More similar pairs are missed far less.
 3. Within a shared band each class is compared with one leader; the pair's similarity is
    estimated from all registers and both set sizes by maximum likelihood, and each class
    keeps the leader that suits it best. Those pairs are confirmed on full sets. This takes
    one pair a class however large a band is.
 4. Bands whose classes still belong to several groups are compared block by block, across
-   groups only, by estimate; pairs that pass are confirmed on full sets. So no link between
-   different texts is lost for the size of a band, and large groups of copies are joined
-   before any block is formed.
+   groups only, by estimate and then on full sets, within the task that has the blocks. So
+   no link that would join two groups is lost for the size of a band, large groups of copies
+   are joined before any block is formed, and pairs are never rows.
 5. Links make groups by label propagation with pointer jumping.
 """
 
@@ -32,7 +33,7 @@ from veldspar.llm.scratch import Scratch
 from veldspar.llm.textkit import each_slice, mix64
 
 REGISTERS = 144
-BAND_ROWS = 6
+MISSED = 2e-5
 BASE = 1.02
 RATE = 20.0
 LEVELS = 1500
@@ -89,6 +90,12 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.take_along_axis(fine, likelihood(fine).argmax(1)[:, None], 1)[:, 0]
 
 
+def band_rows(similarity: tuple[int, int]) -> int:
+    """Registers of a band: the most for which a pair at the threshold is hardly ever missed."""
+    s = similarity[0] / similarity[1]
+    return max((r for r in range(1, 13) if (1 - s**r) ** (REGISTERS // r) <= MISSED), default=1)
+
+
 def least_estimate(similarity: tuple[int, int]) -> float:
     s = similarity[0] / similarity[1]
     return s - MARGIN * (s * (1 - s) / REGISTERS) ** 0.5
@@ -158,33 +165,64 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[
     return joined.select("a", "b", "ta", "tb").mapInArrow(confirmed, "a bigint, b bigint")
 
 
-def _across(blocks: DataFrame, floor: float) -> DataFrame:
-    """Pairs across groups within block pairs of a band, by estimate."""
+def _across(blocks: DataFrame, floor: float, similarity: tuple[int, int]) -> DataFrame:
+    """Confirmed links across groups within block pairs of a band.
+
+    A pair is looked at in the first band that it shares. Pairs that the estimate lets pass
+    are confirmed on the full sets; classes that a link of this block has joined are not
+    compared again, so a block gives fewer links than it has classes.
+    """
+    (top, bottom), height = similarity, band_rows(similarity)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))  # two blocks at most
-        one, two = table["i"][0].as_py(), table["j"][0].as_py()
-        chunk, rep, group, n = (table[c].to_numpy() for c in ("chunk", "rep", "component", "n"))
+        one, two, band = (table[c][0].as_py() for c in ("i", "j", "at"))
+        chunk, rep, n = (table[c].to_numpy() for c in ("chunk", "rep", "n"))
+        names, group = np.unique(table["component"].to_numpy(), return_inverse=True)
         registers = _registers(table["registers"])
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"]]
+        slices = registers[:, : REGISTERS // height * height].reshape(len(registers), -1, height)
         left, right = np.flatnonzero(chunk == one), np.flatnonzero(chunk == two)
-        found_a, found_b = [], []
+        joined = np.arange(len(names))
+        found = []
         for k in left:
-            others = right[(group[right] != group[k]) & ((rep[right] > rep[k]) if one == two else True)]
-            others = others[np.minimum(n[others], n[k]) >= floor * np.maximum(n[others], n[k])]
+            others = right[(joined[group[right]] != joined[group[k]]) & ((rep[right] > rep[k]) if one == two else True)]
+            others = others[bottom * np.minimum(n[others], n[k]) >= top * np.maximum(n[others], n[k])]
+            if not len(others):
+                continue
+            equal = (slices[others] == slices[k]).all(2)
+            others = others[equal.argmax(1) == band]
             if not len(others):
                 continue
-            same = (registers[others] == registers[k]).mean(1)
-            others = others[same >= floor - 0.1]
-            if len(others):
-                mine = np.repeat(registers[k][None], len(others), 0)
-                good = others[estimate(mine, registers[others], np.full(len(others), float(n[k])), n[others].astype(float)) >= floor]
-                found_a += np.minimum(rep[k], rep[good]).tolist()
-                found_b += np.maximum(rep[k], rep[good]).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+            mine = np.repeat(registers[k][None], len(others), 0)
+            likely = estimate(mine, registers[others], np.full(len(others), float(n[k])), n[others].astype(float))
+            for o in others[np.argsort(-likely, kind="stable")[: int((likely >= floor).sum())]]:
+                if joined[group[o]] == joined[group[k]]:
+                    continue
+                shared = np.intersect1d(sets[k], sets[o], assume_unique=True).size
+                if bottom * shared >= top * (n[k] + n[o] - shared):
+                    found.append((min(rep[k], rep[o]), max(rep[k], rep[o])))
+                    joined[joined == joined[group[o]]] = joined[group[k]]
+        a, b = zip(*found, strict=True) if found else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return blocks.groupBy("band", "i", "j").applyInArrow(pairs, "a bigint, b bigint")
 
 
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """rep and shingles (packed sorted 64-bit hashes) of the documents whose ids ``ids`` has as rep."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, found in each_slice(batch.column(1), lower=True):
+                hashes = found.hashes()
+                sets = [shingle_hashes(hashes[found.first[d] : found.first[d + 1]], words).tobytes() for d in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["rep", "shingles"])
+
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep")
+    return texts.select("rep", "text").mapInArrow(packed, "rep bigint, shingles binary").dropDuplicates(["rep"])
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, component: the smallest node that each node of ``links`` (a, b) reaches.
 
@@ -211,13 +249,12 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept, n_links.
+    """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased in A-Z. Documents are linked when bottom * |intersection| >= top *
     |union| of their sets of ``words``-word shingles, (top, bottom) being ``similarity``; with
     fewer words the whole sequence is the one shingle. component_id is the smallest id
-    reachable, kept tells whether it is the document's own. n_links counts the confirmed
-    links of the document's class to other classes, copies not counted.
+    reachable, kept tells whether it is the document's own.
 
     A null or empty text, or one without words, has no shingles and is linked with nothing.
     Rows that repeat an id are read as one document if their texts are alike; rows without
@@ -232,12 +269,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     known = sketches.where("n > 0 and doc_id is not null")
     classes = scratch.save(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
 
-    width = 2 * BAND_ROWS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND_ROWS - 1)), lambda i: F.xxhash64(F.substring("registers", i * width + 1, F.lit(width)), i))
-    bands = classes.select("rep", "copies", F.explode(keys).alias("band"))
+    height = band_rows(similarity)
+    width = 2 * height
+    keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // height - 1)), lambda i: F.xxhash64(F.substring("registers", i * width + 1, F.lit(width)), i))
+    bands = classes.select("rep", "copies", F.posexplode(keys).alias("at", "band"))
     leader = F.min(F.struct((-F.col("copies")).alias("fewest"), F.col("rep").alias("leader")))
     shared = scratch.save(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members"), leader.alias("first")).where("members > 1").select("band", "members", "first.leader"), "shared")
-    members = scratch.save(bands.select("rep", "band").join(shared, "band"), "members")
+    members = scratch.save(bands.select("rep", "at", "band").join(shared, "band"), "members")
     side = classes.select("rep", "n", "registers")
     pairs = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(side.toDF("b", "nb", "rb"), "b").join(side.toDF("a", "na", "ra"), "a")
@@ -246,21 +284,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     links = scratch.save(_confirmed(best, docs, words, similarity), "links")
     groups = components(links, scratch, "groups")
 
-    grouped = members.select("band", "rep", "members").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    grouped = members.select("band", "at", "rep", "members").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     grouped = scratch.save(grouped, "grouped")
     mixed = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     chunks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = grouped.join(scratch.save(mixed, "mixed"), "band").withColumns({"chunks": chunks, "chunk": F.pmod(F.hash("rep"), chunks)})
+    rows = scratch.save(grouped.join(scratch.save(mixed, "mixed"), "band"), "open").withColumns({"chunks": chunks, "chunk": F.pmod(F.hash("rep"), chunks)})
+    sets = scratch.save(_sets(docs, rows.select("rep").distinct(), words), "sets")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    rows = rows.join(side, "rep").select("band", "i", "j", "chunk", "rep", "component", "n", "registers")
-    more = scratch.save(_across(rows, floor).distinct().join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
-    links = scratch.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(_confirmed(more, docs, words, similarity)), "all-links")
+    rows = rows.join(side, "rep").join(sets, "rep").select("band", "at", "i", "j", "chunk", "rep", "component", "n", "registers", "shingles")
+    links = scratch.save(links.union(_across(rows, floor, similarity)), "all-links")
     groups = components(links, scratch, "all-groups")
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.select("set_key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = scratch.save(named.select(F.col("set_key").alias("key"), F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    named = classes.select("set_key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    named = scratch.save(named.select(F.col("set_key").alias("key"), F.coalesce("component", "rep").alias("component")), "named")
     rows = sketches.select("doc_id", "n", "set_key")
-    out = rows.where("set_key is not null").join(named, F.col("set_key") == F.col("key")).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), "n_links")
-    out = out.unionByName(rows.where("set_key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links")
+    out = rows.where("set_key is not null and doc_id is not null").join(named, F.col("set_key") == F.col("key")).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    out = out.unionByName(rows.where("set_key is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
