@@ -37,7 +37,7 @@ MISSED = 2e-5
 BASE = 1.02
 RATE = 20.0
 LEVELS = 1500
-BLOCK = 256
+BLOCK = 512
 #: A pair goes on to full sets if its estimate is at most so far below the threshold: four standard deviations of the estimate.
 MARGIN = 4.0
 

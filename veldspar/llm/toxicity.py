@@ -196,16 +196,20 @@ def _kernel_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def kernel(left: list[str], right: list[str]) -> np.ndarray:
     """Kernel values of two lists of spans."""
-    table = np.zeros((SYMBOLS**3, len(right)), np.float32)
     owner, triple, weight = _kernel_rows(right)
-    np.add.at(table, (triple, owner), weight)
+    known = np.unique(triple)  # other triples add nothing
+    table = np.zeros((len(known), len(right)))
+    np.add.at(table, (np.searchsorted(known, triple), owner), weight)
     out = np.zeros((len(left), len(right)))
     owner, triple, weight = _kernel_rows(left)
-    edges = np.searchsorted(np.sort(owner), np.arange(len(left) + 1))
-    order = np.argsort(owner, kind="stable")
+    at = np.searchsorted(known, triple)
+    hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == triple) if len(known) else np.zeros(0, np.int64)
+    hit = hit[np.argsort(owner[hit], kind="stable")]
+    edges = np.searchsorted(owner[hit], np.arange(len(left) + 1))
     for i in range(len(left)):
-        rows = order[edges[i] : edges[i + 1]]
-        out[i] = weight[rows] @ table[triple[rows]]
+        rows = hit[edges[i] : edges[i + 1]]
+        if len(rows):
+            out[i] = weight[rows] @ table[at[rows]]
     return out
 
 

@@ -7,7 +7,8 @@ the task attempt and then renamed, so that a repeated attempt replaces the same
 a manifest, written by Spark, names the files with their sizes and digests; readers open
 only what it names, one task a file.
 
-Of records with equal payloads of LEAST_SHARED bytes or more the one with the smallest page
+Marks of revisits travel beside the pages and meet them in the sorted range, so payloads are
+shuffled once. Of records with equal payloads of LEAST_SHARED bytes or more the one with the smallest page
 is a response and the others are revisits that refer to it. Files go to a file system that
 driver and executors share (any that pyarrow opens by URI).
 """
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROLL_BYTES = 64 << 20
@@ -42,23 +43,24 @@ def _filesystem(uri: str):  # noqa: ANN202
     return fs.FileSystem.from_uri(uri)
 
 
-def marked(pages: DataFrame) -> DataFrame:
-    """Pages with payload_bytes, payload_digest, record_type and refers_to; revisits keep no html.
+def keyed(pages: DataFrame) -> DataFrame:
+    """Pages with html (null counts as empty), payload_bytes and payload_digest."""
+    html = F.coalesce("html", F.lit(""))
+    return pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("bigint").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"))
+
 
-    Null html counts as empty. Rows that repeat both the smallest page and its payload are
-    all responses. A page without an id comes last: it is a response only if no equal
-    payload has one.
+def revisits(rows: DataFrame) -> DataFrame:
+    """page_id, payload_digest and refers_to of the pages whose payload a smaller page has.
+
+    Only keys are shuffled, never payloads. Rows that repeat both the smallest page and its
+    payload are all responses. A page without an id is a revisit if an equal payload has one.
     """
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("bigint").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"))
     shared = rows.where(F.col("payload_bytes") >= LEAST_SHARED).select("payload_digest", "page_id", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt"))
     near = shared.groupBy("payload_digest", "salt").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("payload_digest")
-    near = near.select("payload_digest", "salt", F.min("least").over(whole).alias("least"), F.sum("n").over(whole).alias("n")).where("n > 1").drop("n")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-    rows = rows.join(near, ["payload_digest", "salt"], "left").withColumn("least", F.when(F.col("payload_bytes") >= LEAST_SHARED, F.col("least")))
-    again = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
-    return rows.select("page_id", "url", F.when(~again, F.col("html")).alias("html"), "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("least")).alias("refers_to"))
+    near = near.select("payload_digest", "salt", F.min("least").over(whole).alias("least"), F.sum("n").over(whole).alias("n")).where("n > 1 and least is not null").drop("n")
+    again = shared.join(near, ["payload_digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("least")))
+    return again.select("page_id", "payload_digest", F.col("least").alias("refers_to")).distinct()
 
 
 def _name(page: int | None, digest: str) -> str:
@@ -108,9 +110,15 @@ def write(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES, date: str =
             files.move(state["temporary"], f"{base}/{state['file']}")
             rows.append((state["file"], state["records"], state["bytes"], state["sha"].hexdigest()))
 
+        mark, refers_to = None, None
         for batch in batches:
             for r in batch.to_pylist():
-                packed = _member(record_bytes(r["page_id"], r["url"], r["html"], r["payload_bytes"], r["payload_digest"], r["refers_to"], date))
+                key = r["page_id"], r["payload_digest"]
+                if r["refers_to"] is not None:  # a mark, sorted before the pages of its key
+                    mark, refers_to = key, r["refers_to"]
+                    continue
+                again = refers_to if key == mark else None
+                packed = _member(record_bytes(r["page_id"], r["url"], r["html"] if again is None else None, r["payload_bytes"], r["payload_digest"], again, date))
                 if state and state["bytes"] + len(packed) > roll_bytes:
                     finish(state)
                     state = None
@@ -127,8 +135,10 @@ def write(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES, date: str =
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "records", "bytes", "sha256"])
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order: list[str | Column] = ["page_id", "payload_digest", "url"]
-    ranged = marked(pages).repartitionByRange(width, *order).sortWithinPartitions(*order)
+    rows = keyed(pages)
+    rows = rows.withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(revisits(rows), allowMissingColumns=True)
+    key = ["page_id", "payload_digest"]
+    ranged = rows.repartitionByRange(width, *key).sortWithinPartitions(*key, F.col("refers_to").isNull(), "url")
     ranged.mapInArrow(written, _MANIFEST).write.json(f"{root}/manifest")
     return spark.read.schema(_MANIFEST).json(f"{root}/manifest")
 
