@@ -107,7 +107,8 @@ def spans(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     data, extra = found.data, []
     single = (end - start == 1) & (_SYMBOL[data[start]] > 0) if len(start) else np.zeros(0, bool)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
+    long_run = np.diff(edge)[::2] >= 3
+    for a, b in zip(edge[::2][long_run], edge[1::2][long_run], strict=True):
         for d in np.unique(doc[a:b]):
             run = np.flatnonzero(doc[a:b] == d) + a
             if len(run) >= 3:
@@ -254,10 +255,14 @@ def _presence(texts: DataFrame) -> np.ndarray:
                 data, start, end, doc = spans(found)
                 if not len(start):
                     continue
-                owner, triple, _ = triples(data, start, end)
-                owner, triple = np.divmod(np.unique(owner * SYMBOLS**3 + triple), SYMBOLS**3)
-                share = np.rint(PARTS / np.bincount(doc, minlength=hi - lo).clip(1)).astype(np.int64)
-                np.add.at(total, (labels[lo:hi][doc[owner]], triple), share[doc[owner]])
+                uniq, back = _distinct(data, start, end)
+                owner, triple, _ = triples(data, start[uniq], end[uniq])
+                pairs = np.sort(owner * SYMBOLS**3 + triple)
+                owner, triple = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], SYMBOLS**3)
+                share = np.rint(PARTS / np.bincount(doc, minlength=hi - lo).clip(1))
+                for label in (0, 1):  # sums of a slice stay below 2**53, so they are exact
+                    mass = np.bincount(back, share[doc] * (labels[lo:hi][doc] == label), len(uniq))
+                    total[label] += np.bincount(triple, mass[owner], SYMBOLS**3).astype(np.int64)
         label, triple = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(triple, pa.int32()), pa.array(total[label, triple])], ["label", "triple", "n"])
 
