@@ -305,6 +305,30 @@ def test_lm_traversal_equals_a_walk_by_hand(spark):
         assert math.isclose(total, got[i], rel_tol=1e-9)
 
 
+def test_lm_of_all_ngrams_equals_the_automaton(spark, docs, empty):
+    out = language.held_out(F.col("doc_id"), 7, 2)
+    train = docs.where(~out)
+    base, bare = lm.train(train, Scratch(spark, "t"), share=1.0)
+    vocabulary, a = lm.train(train, Scratch(spark, "t"), share=2 / bare.n_tokens)
+    assert len(a.three) > 100 and a.three_counts.min() == 2
+    want = sorted(lm.score(docs, vocabulary, a).collect(), key=str)
+    for share in (1e-9, 5e-3, 1.0):  # the whole table is broadcast, a part of it, next to nothing
+        got = sorted(lm.score_whole(docs, lm.train_whole(train, Scratch(spark, "t"), share=share)).collect(), key=str)
+        assert len(got) == len(want)
+        for g, w in zip(sorted(got, key=lambda r: (r.doc_id, r.n_tokens)), sorted(want, key=lambda r: (r.doc_id, r.n_tokens)), strict=True):
+            assert g[:4] == w[:4] and math.isclose(g.base_score, w.base_score, rel_tol=1e-9) and math.isclose(g.score, w.score, rel_tol=1e-9)
+    # What is kept does not hang on the size of the corpus: a pair of words that occurs twice among many others.
+    rows = [(0, "rare pair"), (1, "rare pair"), *((i, _words(random.Random(i), 300)) for i in range(2, 40))]
+    big = spark.createDataFrame(rows * 100, "doc_id long, text string").where("doc_id > 1").unionByName(spark.createDataFrame(rows[:2], "doc_id long, text string"))
+    model = lm.train_whole(big, Scratch(spark, "t"))
+    assert model.n_tokens * lm.SHARE > 2
+    pair = lm._joined(*(lm.tokens(next(iter(lm.each_slice(lm.pa.array([w]), lower=True)))[2])[0][:1] for w in ("rare", "pair"))).view(np.int64)[0]
+    assert model.gains.where(F.col("key") == int(pair)).count() == 1
+    nothing = lm.train_whole(empty, Scratch(spark, "t"))
+    assert lm.score_whole(empty, nothing).collect() == []
+    assert [r.n_tokens for r in lm.score_whole(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), nothing).collect()] == [3]
+
+
 def test_quality_counts(spark, docs, corpus):
     x = quality.judge(docs, quality.grow(np.zeros((0, len(quality.FEATURES))), np.zeros(0)))
     odd = [(5000, "a b\na b\n\n \na b c\nd # $ |", None, None, 0), (5001, " ".join(map(str, range(9))) + " x " + " ".join(map(str, range(9))), None, None, 0)]

@@ -17,6 +17,13 @@ text, and sums up the arcs taken.
 
 Counts of tokens too rare for the broadcast table are joined: each such token of a text is
 one row, so no task holds the vocabulary.
+
+``train`` and ``score`` are this automaton in memory. ``train_whole`` and ``score_whole`` hold
+every n-gram that occurs LEAST times, however large the corpus, in a distributed table.
+The weight of a walk is a sum of one gain for each n-gram of the text: a word gives its base
+and its failure arc, an n-gram with an arc what the arc is above the way it replaces, and
+its own failure arc. So scoring is one join of n-grams with gains; gains of the most
+frequent n-grams, 1 / SHARE of each order at most, are broadcast.
 """
 
 from __future__ import annotations
@@ -33,6 +40,7 @@ from veldspar.llm.scratch import Scratch
 from veldspar.llm.textkit import Words, each_slice, mix64
 
 SHARE = 2e-6
+LEAST = 2
 DISCOUNT = 0.6
 FLUSH_ROWS = 1 << 20
 END = np.uint64(0x656E64)
@@ -241,3 +249,143 @@ def score(docs: DataFrame, vocabulary: DataFrame, automaton: Automaton, id_col:
         F.sum(F.coalesce("base", F.lit(0.0)) + gain).alias("base_score"), F.sum(F.coalesce("total", F.lit(0.0)) + gain).alias("score"),
     )
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(automaton.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def _joined(h: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Identity of the n-gram whose first n - 1 words are ``h`` and last n - 1 words are ``part``."""
+    return mix64(mix64(h) + part * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _grams(hashes: np.ndarray, owner: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts (first words, last words) of each n-gram of ``order`` 2 or 3 within a document, and its document."""
+    one = owner[1:] == owner[:-1]
+    if order == 2:
+        return hashes[:-1][one], hashes[1:][one], owner[1:][one]
+    pair = _joined(hashes[:-1], hashes[1:])
+    two = one[1:] & one[:-1]
+    return pair[:-1][two], pair[1:][two], owner[2:][two]
+
+
+def _repeated(docs: DataFrame, order: int, least: int) -> DataFrame:
+    """key, h, part and c of the n-grams of ``order`` that occur ``least`` times: identities of the whole and of its parts."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> pa.RecordBatch:
+            h, part = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            _, at, c = np.unique(_joined(h, part), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(part[at].view(np.int64)), pa.array(c, pa.int64())], ["h", "part", "c"])
+
+        for batch in batches:
+            for _, _, found in each_slice(batch.column(0), lower=True):
+                h, part, _ = _grams(*tokens(found), order)
+                held.append((h, part))
+                size += len(h)
+                if size > 2 * FLUSH_ROWS:
+                    yield merged()
+                    held, size = [], 0
+        if held:
+            yield merged()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, part = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_joined(h, part).view(np.int64)), *batch.columns], ["key", "h", "part", "c"])
+
+    sums = docs.select("text").mapInArrow(counted, "h bigint, part bigint, c bigint").groupBy("h", "part").agg(F.sum("c").alias("c"))
+    return sums.where(F.col("c") >= least).mapInArrow(keyed, "key bigint, h bigint, part bigint, c bigint")
+
+
+@dataclass
+class Whole:
+    """The gains of all n-grams that count (key, gain, base, known), and those of the frequent ones as sorted arrays.
+
+    ``base`` is what a token is above an unseen one, and ``known`` 1 for words.
+    """
+
+    n_tokens: int
+    n_types: int
+    gains: DataFrame
+    head: np.ndarray
+    head_values: np.ndarray  # gain, base, known of each
+
+
+def _failing(arcs: DataFrame) -> DataFrame:
+    """h and the log-weight of its failure arc, from arcs (h, p, lower)."""
+    left, below = (F.greatest(1 - F.sum(c), F.lit(1e-9)) for c in ("p", "lower"))
+    return arcs.groupBy("h").agg(F.log10(left / below).alias("fail"))
+
+
+def train_whole(docs: DataFrame, scratch: Scratch, least: int = LEAST, share: float = SHARE) -> Whole:
+    """The model of all words of ``docs`` (text) and all longer n-grams that occur ``least`` times."""
+    vocabulary = scratch.save(_counted(docs, lambda hashes, owner: hashes.view(np.int64)), "vocabulary")
+    n_tokens, n_types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    two, three = (scratch.save(_repeated(docs, n, least), f"grams{n}") for n in (2, 3))
+    unseen = 1.0 / (n_tokens + n_types + 1)
+    one = vocabulary.select("key", "c", ((F.col("c") + 1) * unseen).alias("q"))
+
+    def arcs(grams: DataFrame, shorter: DataFrame) -> DataFrame:  # an n-gram that counts has parts that count
+        history, lower = shorter.select(F.col("key").alias("h"), F.col("c").alias("total")), shorter.select(F.col("key").alias("part"), F.col("q").alias("lower"))
+        return grams.join(history, "h").join(lower, "part").select("key", "h", "c", ((F.col("c") - DISCOUNT) / F.col("total")).alias("q"), "lower").withColumn("p", F.col("q"))
+
+    two = scratch.save(arcs(two, one), "arcs2")
+    three = scratch.save(arcs(three, two), "arcs3")
+    fail_one, fail_two = (scratch.save(_failing(x), f"fail{n}") for n, x in ((1, two), (2, three)))
+
+    def gained(grams: DataFrame, own: DataFrame | None, before: DataFrame | None) -> DataFrame:
+        gain = F.log10("q")
+        if before is not None:
+            grams, gain = grams.join(before.withColumnRenamed("fail", "spent"), "h"), gain - F.col("spent") - F.log10("lower")
+        if own is not None:
+            grams, gain = grams.join(own.withColumnRenamed("h", "key"), "key", "left"), gain + F.coalesce("fail", F.lit(0.0))
+        known = F.lit(0 if before is not None else 1).cast("bigint")
+        base = F.lit(0.0) if before is not None else F.log10("q") - float(np.log10(unseen))
+        return grams.select("key", "c", (gain - (0.0 if before is not None else float(np.log10(unseen)))).alias("gain"), base.alias("base"), known.alias("known"))
+
+    gains = gained(one, fail_one, None).unionByName(gained(two, fail_two, fail_one)).unionByName(gained(three, None, fail_two))
+    gains = scratch.save(gains, "gains")
+    top = gains.where(F.col("c") >= max(least, int(np.ceil(share * n_tokens)))).toPandas().sort_values("key")  # 1 / share rows of each order at most
+    return Whole(n_tokens, n_types, gains.drop("c"), top["key"].to_numpy(np.int64), top[["gain", "base", "known"]].to_numpy(float))
+
+
+def score_whole(docs: DataFrame, model: Whole, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Like ``score``, by all n-grams of ``model``."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.head, model.head_values))
+    kind = docs.schema[id_col].dataType
+    unseen = float(np.log10(1 / (model.n_tokens + model.n_types + 1)))
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, values = shared.value
+        for batch in batches:
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi, found in each_slice(batch.column(2), lower=True):
+                hashes, owner = tokens(found)
+                keys, owners = [hashes], [owner]
+                for order in (2, 3):
+                    h, part, own = _grams(hashes, owner, order)
+                    keys.append(_joined(h, part))
+                    owners.append(own)
+                key, own = np.concatenate(keys).view(np.int64), np.concatenate(owners)
+                at = _find(head, key)
+                hit = at >= 0
+                sums = [np.bincount(own[hit], values[at[hit], k] if len(head) else None, hi - lo) for k in range(3)]
+                rest, n = np.flatnonzero(~hit), hi - lo
+                put = lambda x, t: pa.array(np.concatenate([x, np.zeros(len(rest), x.dtype)]), t, mask=np.arange(n + len(rest)) >= n)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([rows[lo:hi], rows[lo + own[rest]]])), pa.concat_arrays([batch.column(1).slice(lo, n), pa.nulls(len(rest), batch.column(1).type)]),
+                    pa.array(np.concatenate([mix64(rows[lo:hi].astype(np.uint64)).view(np.int64), key[rest]])), pa.array(np.arange(n + len(rest)) >= n),
+                    put(np.bincount(owner, minlength=n), pa.int64()), put(sums[2].astype(np.int64), pa.int64()), put(sums[1].astype(float), pa.float64()), put(sums[0].astype(float), pa.float64()),
+                ], ["row", "doc_id", "gram", "is_gram", "n_tokens", "n_known", "above", "total"])
+
+    schema = f"row bigint, doc_id {kind.simpleString()}, gram bigint, is_gram boolean, n_tokens bigint, n_known bigint, above double, total double"
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(walked, schema)
+    seen = rows.join(model.gains, (rows["gram"] == model.gains["key"]) & rows["is_gram"], "left")
+    either = lambda mine, joined, zero: F.sum(F.coalesce(mine, joined, F.lit(zero)))
+    sums = seen.groupBy("row").agg(
+        F.first("doc_id", ignorenulls=True).alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
+        either("n_known", "known", 0).alias("n_known"), either("above", "base", 0.0).alias("above"), either("total", "gain", 0.0).alias("total"),
+    )
+    least = F.col("n_tokens") * unseen
+    return sums.select("doc_id", "n_tokens", "n_known", F.lit(model.n_tokens).cast("bigint").alias("train_tokens"), (F.col("above") + least).alias("base_score"), (F.col("total") + least).alias("score"))
