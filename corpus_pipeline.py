@@ -13,31 +13,47 @@ from veldspar.llm.queries import tokenizer_path
 from veldspar.llm.scratch import Scratch
 
 
+#: Key of a stored row. Ids may repeat or be missing, so decisions of operators go back to rows by this.
+ROW = "_stored_row"
+
+
+def _stored(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key for each row. What is not a stored table is written first, so that all that reads it sees the same keys."""
+    if not docs._jdf.queryExecution().analyzed().children().isEmpty():
+        docs = Scratch(spark, name).save(docs, "rows")
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, in ``lang`` the language found. Those without a letter go."""
-    prototypes = language.train(docs.where(~language.held_out(F.col("doc_id"), 4, 2)))
-    found = language.identify(docs, prototypes).where(F.col("lang_pred") != language.UNDETERMINED)
-    found = found.groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred"))
-    joined = docs.withColumnRenamed("doc_id", "own").join(found, F.col("own").eqNullSafe(F.col("doc_id"))).drop("doc_id")
-    return joined.withColumnRenamed("own", "doc_id").withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    rows = _stored(spark, docs, "pipeline-language")
+    prototypes = language.train(rows.where(~language.held_out(F.col("doc_id"), 4, 2)))
+    found = language.identify(rows, prototypes, id_col=ROW).where(F.col("lang_pred") != language.UNDETERMINED)
+    found = found.select(F.col("doc_id").alias(ROW), "lang_pred")
+    return rows.join(found, ROW).withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", "text_sha256")
-    return _only(docs.withColumn("text_sha256", F.sha2(exact_dedup.normalised(F.col("text")), 256)), kept, ["doc_id", "text_sha256"], docs.columns)
+    rows = _stored(spark, docs, "pipeline-exact")
+    kept = exact_dedup.exact_dedup(rows, row_col=ROW).where("kept").select(F.col("row").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar to 0.8 or more."""
-    kept = minhash.near_duplicates(docs, words=5, similarity=(80, 100)).where("kept").select("doc_id")
-    return _only(docs, kept, ["doc_id"], docs.columns)
+    """One document of each group of texts whose five-word shingles are similar to 0.8 or more: the one with the smallest id."""
+    rows = _stored(spark, docs, "pipeline-near")
+    found = minhash.near_duplicates(rows, words=5, similarity=(80, 100), id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", ROW)).alias("first")
+    kept = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("mix_copies"))
-    joined = docs.withColumnRenamed("doc_id", "own").join(taken, F.col("own").eqNullSafe(F.col("doc_id"))).drop("doc_id").withColumnRenamed("own", "doc_id")
+    rows = _stored(spark, docs, "pipeline-mixing")
+    taken = mixing.mix(rows, row_col=ROW).where("copies > 0").select(F.col("row").alias(ROW), F.col("copies").alias("mix_copies"))
+    joined = rows.join(taken, ROW)
     return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(docs.columns)
 
 
@@ -46,14 +62,6 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return bpe.digests(bpe.encode(docs, tokenizer_path()))
 
 
-def _only(docs: DataFrame, kept: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Rows of ``docs`` that ``kept`` has by ``keys``; null equals null."""
-    named = kept.select(*(F.col(k).alias(f"kept_{k}") for k in keys))
-    same = [docs[k].eqNullSafe(named[f"kept_{k}"]) for k in keys]
-    condition = same[0] if len(same) == 1 else same[0] & same[1]
-    return docs.join(named, condition, "left_semi").select(columns)
-
-
 STAGES = [
     ("language_id", identify_language),
     ("exact_dedup", drop_exact_copies),

@@ -87,3 +87,31 @@ def test_odd_tables(spark, tmp_path):
     rows = [(1, "one text here", None, None, None), (1, "one text here", None, None, None), (None, "another text", "en", "a", 1), (2, None, "en", "a", 1)]
     spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()} <= {1, None}
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Rows that share an id or have none are documents of their own to every stage."""
+    stage = dict(corpus_pipeline.STAGES)
+
+    def table(name, rows):
+        spark.createDataFrame(rows, COLUMNS).repartition(3).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    english, spanish = "the house and the garden with this that were there", "la casa y el jardin con esta que estaban donde"
+    rows = [(i, english, "en", "a", 1) for i in range(8)] + [(i + 8, spanish, "es", "a", 1) for i in range(8)]
+    got = stage["language_id"](spark, table("lang", [*rows, (None, english, None, "a", 1), (None, spanish, None, "a", 1), (None, "12 34", None, "a", 1)]), "")
+    assert sorted((r.text, r.lang) for r in got.where("doc_id is null").collect()) == sorted([(english, "en"), (spanish, "es")]) and got.count() == 18
+
+    long = " ".join(f"w{i}" for i in range(100))
+    near = long.replace("w50", "other")
+    twice = [(1, long, None, None, 1), (1, long, None, None, 1), (None, english, "en", "a", 1), (None, english, "en", "a", 1), (1, near, None, None, 1), (None, near, None, None, 1), (2, near + " end", None, None, 1)]
+    got = stage["exact_dedup"](spark, table("exact", twice), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, long), (0, english), (1, near), (2, near + " end")])
+    got = stage["near_dedup"](spark, table("near", twice), "").collect()
+    assert len(got) == 2 and sorted(r.doc_id or 0 for r in got) == [0, 1]
+
+    many = [(7, f"word{i}", None, f"s{i % 3}", 1) for i in range(300)]
+    docs = table("mix", many)
+    want = {r.source: r.target for r in mixing.mix(docs).collect()}
+    got = collections.Counter(r.source for r in stage["mixing"](spark, docs, "").collect())
+    assert all(abs(got[s] - t) <= 1 for s, t in want.items())

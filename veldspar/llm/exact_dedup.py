@@ -41,17 +41,18 @@ def _named(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("name", F.max(F.when(head, F.col("name"))).over(Window.partitionBy("near"))).drop("near")
 
 
-def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, text_sha256, rounds and name; equal texts share (rounds, name).
 
     ``docs`` must replay the same rows in the same order (a stored table does). Null text
     counts as empty; empty texts share one name; repeated rows share one name; other
-    columns are not read.
+    columns are not read. ``row_col`` names unique integers of the rows to take as ``doc``.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
-    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    texts = texts.select("doc_id", "text", F.monotonically_increasing_id().alias("doc"), F.sha2("text", 256).alias("text_sha256"))
+    key = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"), key.alias("doc"))
+    texts = texts.select("doc_id", "text", "doc", F.sha2("text", 256).alias("text_sha256"))
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
     pieces = F.when(F.length("text") == 0, F.array(F.lit(""))).otherwise(pieces)
     blocks = texts.withColumn("blocks", pieces).select("doc_id", "doc", "text_sha256", F.size("blocks").alias("left"), F.posexplode("blocks").alias("at", "block"))
@@ -75,19 +76,21 @@ def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return done
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after white space runs become one space; null counts
     as empty. Of a group the row with the smallest id stays (a null id only if all are
     null), and of rows that repeat that id and text exactly one. An empty table gives an
-    empty table. Extra columns are ignored, whatever their names.
+    empty table. Extra columns are ignored, whatever their names; with ``row_col``, a column
+    of unique integers, ``row`` has them.
     """
-    rows = document_names(docs, id_col, text_col, block_chars).withColumn("salt", F.pmod(F.hash("doc"), F.lit(SALTS)))
+    rows = document_names(docs, id_col, text_col, block_chars, row_col).withColumn("salt", F.pmod(F.hash("doc"), F.lit(SALTS)))
     same = ["rounds", "name"]
     first = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "doc"))
     near = rows.groupBy(*same, "salt").agg(first.alias("keep"), F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy(*same)
     near = near.select(*same, "salt", F.min("keep").over(whole).alias("keep"), F.sum("n").over(whole).alias("group_size"))
     out = rows.join(near, [*same, "salt"])
-    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("doc") == F.col("keep.doc")).alias("kept"), "text_sha256")
+    row = [F.col("doc").alias("row")] if row_col else []
+    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("doc") == F.col("keep.doc")).alias("kept"), "text_sha256", *row)

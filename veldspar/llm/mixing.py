@@ -101,11 +101,12 @@ def mix_sizes(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
     One row per input row. Rows of size 0 are never taken. Rows that repeat an id are
     separate documents; a null id, source or size (counted as 0) is a value like others.
-    An empty table gives an empty table.
+    An empty table gives an empty table. A column ``row`` is passed on.
     """
     spark = sizes.sparkSession
+    row = ["row"] if "row" in sizes.columns else []
     scratch = Scratch(spark, "mixing")
-    sizes = scratch.save(sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "sizes")
+    sizes = scratch.save(sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *row), "sizes")
     targets = scratch.save(source_targets(sizes, weights, share, most), "targets")
     deepest = targets.agg(F.max("n_docs")).first()[0] or 0
     rows = sizes.withColumnRenamed("source", "own").join(targets, F.col("own").eqNullSafe(F.col("source"))).drop("own")
@@ -124,14 +125,15 @@ def mix_sizes(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
             break
         rows = now.where("open").drop("open").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN))
         groups, level = -(-groups // FAN_IN), level + 1
-    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))
+    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), *row)
 
 
-def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source and size in words of whole texts; a null text has none."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """doc_id, source and size in words of whole texts, and ``row_col`` as row; a null text has none."""
+    row = [F.col(row_col).alias("row")] if row_col else []
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *row)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
-    """Copies of every document: doc_id, source, size, source_size, target, copies. See ``mix_sizes``."""
-    return mix_sizes(document_sizes(docs, id_col, text_col, source_col), weights, share, most)
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, row_col: str | None = None) -> DataFrame:
+    """Copies of every document: doc_id, source, size, source_size, target, copies, and ``row_col`` as row. See ``mix_sizes``."""
+    return mix_sizes(document_sizes(docs, id_col, text_col, source_col, row_col), weights, share, most)
