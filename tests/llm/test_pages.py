@@ -37,6 +37,18 @@ def test_extract(spark):
     assert html_text.extract(frame.where("false")).collect() == []
 
 
+def test_markup_that_is_not_closed_loses_no_text():
+    text = "First words of a text, which go on and on. They have an end too."
+    model = html_text.trained()
+    for head in ("<head><title>t</title>", "<head><title>t</title></head>", "<head><meta charset=utf-8><noscript><link href=x></noscript>"):
+        for odd in ("", "<svg viewBox='0 0 1 1'/>", "<svg><path d='M0'/><title/></svg>", "<svg><path d='M0'>", "<math/>", "<noscript>", "<select>", "<object data=x>", "<template>"):
+            page = f"<!DOCTYPE html><html>{head}<body><article>{odd}<h1>A title of it</h1><p>{text}</p><p>{text}</p></article></body></html>"
+            assert html_text.main_text(page, model) == f"A title of it\n\n{text}\n\n{text}", (head, odd)
+    page = f"<html><head><title>t</title><article><h1>A title of it</h1><p>It is <math><mi>x</mi><mo>=</mo><mn>1</mn></math> there, as they say.</p><object data=x><p>{text}</p></object></article>"
+    assert html_text.main_text(page, model) == f"A title of it\n\nIt is x=1 there, as they say.\n\n{text}"
+    assert [b.text for b in html_text.leaf_blocks("<script>a</script><style>b</style><title>c</title><textarea>d</textarea><iframe>e</iframe>f")] == ["f"]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 

@@ -27,8 +27,10 @@ PENALTY = 1e-3
 OUTPUT_BYTES = 8 << 20
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= frozenset("math annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object select math head".split())
+#: Skipped up to the closing tag: their content is not markup.
+RAW = frozenset("script style textarea title iframe".split())
 #: An opening tag of the key ends an open element of the value's tags, up to the nearest other block.
 ENDS = {"li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 
@@ -54,7 +56,7 @@ class _Open:
 
 
 def _own_features(tag: str, attributes: str) -> tuple[str, ...]:
-    out = [f"tag:{tag}"]
+    out = [f"tag:{tag}", *(["tag:form"] if tag == "select" else [])]  # a control of a form, wherever it stands
     for m in _NAMED.finditer(attributes):
         value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4]
         out += [f"word:{w.lower()}" for w in _PARTS.findall(value)]
@@ -94,6 +96,8 @@ class _Scan:
         ends = ENDS.get(tag, {"p"})
         while self.stack and self.stack[-1].tag in ends:
             self.stack.pop()
+        if tag not in ("option", "optgroup", "hr"):  # nothing else stands in a select
+            self.close("select")
         if tag not in VOID:
             self.stack.append(_Open(tag, _own_features(tag, attributes)))
 
@@ -111,7 +115,11 @@ def leaf_blocks(source: str) -> list[Block]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if tag in RAW and not closing:
+        if m[3].endswith("/") and not closing and (tag == "svg" or any(o.tag == "svg" for o in scan.stack)):
+            scan.flush()
+        elif tag == "head":  # may lack its closing tag; what may stand in it has no text but that of RAW
+            scan.flush()
+        elif tag in RAW and not closing:
             scan.flush()
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
             at = end.end() if end else n
