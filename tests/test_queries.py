@@ -36,3 +36,26 @@ def test_every_sql_has_a_query():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the driver's tables are not here")
+def test_register_map_of_many_parts(spark, tmp_path):
+    """Keys above 65535, as part has them from sf 0.33 on, still make legal addresses, and the SQL holds."""
+    from pyspark.sql import functions as F
+
+    for t in TABLES:
+        if t != "part":
+            os.symlink(f"{SF_DIR}/{t}.parquet", tmp_path / f"{t}.parquet")
+    part = spark.read.parquet(f"{SF_DIR}/part.parquet")
+    spark.range(1, 70001).select(*(F.col("id").cast(f.dataType).alias("p_partkey") if f.name == "p_partkey" else F.lit("Brand#1" if f.name == "p_brand" else None).cast(f.dataType).alias(f.name) for f in part.schema)).coalesce(1).write.parquet(str(tmp_path / "parts"))
+    os.symlink(next((tmp_path / "parts").glob("*.parquet")), tmp_path / "part.parquet")
+    defined = queries._definitions(spark, str(tmp_path)).select("ord", "address").collect()
+    assert len(defined) == 70000 and {r.address for r in defined} == set(range(1, 65536))
+    assert {r.address for r in defined if r.ord in (1, 65536)} == {1}
+    db = duckdb.connect()
+    for t in TABLES:
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = queries.QUERIES["register_match_diagnostics"](spark, str(tmp_path)).first()
+    assert tuple(got) == db.sql(queries.ORACLE_SQL["register_match_diagnostics"]).fetchall()[0]
+    assert queries.QUERIES["register_explained"](spark, str(tmp_path)).where("parameter_name is not null").limit(1).count() == 1
+    assert queries.QUERIES["register_values"](spark, str(tmp_path)).where("converted_value is not null").limit(1).count() == 1

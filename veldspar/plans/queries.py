@@ -180,10 +180,11 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part")
     kind = F.col("p_partkey") % 9 + 4
     text = lambda c: c.cast("string")
+    address = F.pmod(F.col("p_partkey") - 1, F.lit(65535)) + 1  # 16 bits at any size; of all keys 1 to n, those up to 65535 are the addresses
     endian = F.when(kind.isin(8, 9, 12), F.col("p_partkey") % 4).otherwise(F.col("p_partkey") % 2)
     rows = part.select(
         F.col("p_partkey").alias("ord"), F.lit("1").alias("id"), F.lit("1").alias("group"), F.concat(F.lit("DOC_"), "p_brand").alias("data_name"), F.lit("V").alias("unit"),
-        text(F.col("p_partkey")).alias("reg_add"), text(kind).alias("reg_type"), text(endian).alias("endian"), text(F.col("p_partkey") % 3).alias("dcm"),
+        text(address).alias("reg_add"), text(kind).alias("reg_type"), text(endian).alias("endian"), text(F.col("p_partkey") % 3).alias("dcm"),
         F.lit("0.5").alias("k"), F.lit("3").alias("fun_num"), F.lit("").alias("calc"), F.lit("1").alias("style"),
     )
     return explain.definitions(rows, _catalog(spark))
