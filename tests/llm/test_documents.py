@@ -117,9 +117,10 @@ def test_near_duplicates(docs, corpus, words, top):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), groups[r.doc_id], groups[r.doc_id] == r.doc_id)
 
 
-def test_near_duplicates_of_a_hot_band(spark, monkeypatch):
-    """Copies with 0 to 12 changed words of 100: a few groups, more than a block in one band."""
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+@pytest.mark.parametrize("weight", [8 * 170, 170, 1 << 18])
+def test_near_duplicates_of_a_hot_band(spark, monkeypatch, weight):
+    """Copies with 0 to 12 changed words of 100: a few groups, in one band of many blocks, of a block a document, or of one block."""
+    monkeypatch.setattr(minhash, "BLOCK_WEIGHT", weight)
     rng = random.Random(9)
     base = _words(rng, 100, 10**6).split(" ")
     rows = []
@@ -140,6 +141,14 @@ def test_near_duplicates_odd_tables(spark, empty):
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, None, True), (0, None, True), (2, 2, True), (3, 3, True)]
 
 
+def test_near_duplicates_with_an_id_of_unlike_texts(spark):
+    """Classes are of texts, not of ids, so an id that two texts share joins nothing."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (2, f"{b} more"), (9, f"{a} more"), (9, f"{a} more")]
+    got = minhash.near_duplicates(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(2, 57, 2), (5, 56, 2), (5, 56, 5), (9, 57, 5), (9, 57, 5)]
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(3)
     for share in (0.3, 0.6, 0.85, 0.95):

@@ -16,7 +16,8 @@ of unions are element-wise maxima, and two registers agree about as often as the
 4. Bands whose classes still belong to several groups are compared block by block, across
    groups only, by estimate and then on full sets, within the task that has the blocks. So
    no link that would join two groups is lost for the size of a band, large groups of copies
-   are joined before any block is formed, and pairs are never rows.
+   are joined before any block is formed, blocks of one group never meet, and pairs are
+   never rows. Blocks are bounded by the sizes of their sets.
 5. Links make groups by label propagation with pointer jumping.
 """
 
@@ -37,7 +38,11 @@ MISSED = 2e-5
 BASE = 1.02
 RATE = 20.0
 LEVELS = 1500
-BLOCK = 512
+#: Hashes of the sets in a block of a band, each set counting ROW_WEIGHT more for its registers. Bounds a task's memory, not its pairs.
+BLOCK_WEIGHT = 1 << 18
+ROW_WEIGHT = 72
+#: Of the bitmap by which the scan finds the texts of candidates: 16 MB at most are broadcast.
+FILTER_BITS = 1 << 26
 #: A pair goes on to full sets if its estimate is at most so far below the threshold: four standard deviations of the estimate.
 MARGIN = 4.0
 
@@ -102,8 +107,13 @@ def least_estimate(similarity: tuple[int, int]) -> float:
     return s - MARGIN * (s * (1 - s) / REGISTERS) ** 0.5
 
 
+def set_key(own: np.ndarray) -> bytes:
+    """Two independent 64-bit sums of a set, and its size."""
+    return np.array([mix64(own).sum(), mix64(own ^ np.uint64(0x5BF03635)).sum(), len(own)], "<u8").tobytes()
+
+
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, set_key (two independent 64-bit sums of the set) and registers; n = 0 has no key."""
+    """doc_id, n, set_key and registers; n = 0 has neither key nor registers."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +123,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                     own = shingle_hashes(hashes[found.first[d] : found.first[d + 1]], words)
                     sizes.append(len(own))
                     if len(own):
-                        key = np.array([mix64(own).sum(), mix64(own ^ np.uint64(0x5BF03635)).sum()], np.uint64)
-                        keys.append(key.tobytes() + len(own).to_bytes(8, "little"))
+                        keys.append(set_key(own))
                         registers.append(sketch(own).tobytes())
                     else:
                         keys.append(None)
@@ -141,53 +150,95 @@ def _estimated(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(estimated, "a bigint, b bigint, estimate double")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar enough."""
-    top, bottom = similarity
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node and shingles (packed sorted 64-bit hashes) of the classes ``wanted`` (node, rep, set_key).
+
+    A bitmap of FILTER_BITS bits of the wanted ids goes to the scan of the texts, so that
+    few others are read further. It may let some pass; the join on set_key does not.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, found in each_slice(batch.column(0), lower=True):
+                hashes, keys, sets = found.hashes(), [], []
+                for d in range(hi - lo):
+                    own = shingle_hashes(hashes[found.first[d] : found.first[d + 1]], words)
+                    keys.append(set_key(own))
+                    sets.append(own.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
+
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    bitmap = wanted.select(place("rep").alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    near = docs.withColumn("place", place("doc_id")).join(F.broadcast(bitmap), F.shiftright("place", 6) == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0)  # FILTER_BITS / 64 rows at most
+    found = near.select("text").mapInArrow(packed, "key binary, shingles binary")
+    return found.join(wanted.select("node", F.col("set_key").alias("key")), "key").select("node", "shingles").dropDuplicates(["node"])
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for lo, hi, found in each_slice(column, lower=True):
-            hashes = found.hashes()
-            out += [shingle_hashes(hashes[found.first[d] : found.first[d + 1]], words) for d in range(hi - lo)]
-        return out
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    top, bottom = similarity
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = np.intersect1d(x, y, assume_unique=True).size
                 keep.append(bottom * shared >= top * (len(x) + len(y) - shared) > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select("doc_id", "text")
-    joined = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    joined = joined.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(confirmed, "a bigint, b bigint")
+    joined = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(confirmed, "a bigint, b bigint")
+
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (band, at, node, component, n) once for each pair of blocks that they are in: adds key and right.
 
-def _across(blocks: DataFrame, floor: float, similarity: tuple[int, int]) -> DataFrame:
-    """Confirmed links across groups within block pairs of a band.
+    A group that outweighs BLOCK_WEIGHT has blocks of its own, which never meet each other;
+    smaller groups are dealt into blocks of about that weight. ``key`` is a pair of blocks of
+    a band, ``right`` tells on which side of it the row is.
+    """
+    weight = F.col("n") + ROW_WEIGHT
+    groups = rows.groupBy("band", "component").agg(F.sum(weight).alias("weight"))
+    large = F.col("weight") >= BLOCK_WEIGHT
+    small = groups.groupBy("band").agg(F.coalesce(F.sum(F.when(~large, F.col("weight"))), F.lit(0)).alias("small"))
+    bucket = -1 - F.pmod(F.xxhash64("component"), F.greatest(F.lit(1), F.ceil(F.col("small") / BLOCK_WEIGHT)))
+    groups = groups.join(small, "band").select("band", "component", F.when(large, F.col("component")).otherwise(bucket).alias("part"), F.when(large, F.ceil(F.col("weight") / BLOCK_WEIGHT)).otherwise(1).alias("blocks"))
+    parts = groups.select("band", "part", "blocks").distinct()
+    one, two = parts.toDF("band", "p", "ps"), parts.toDF("band", "q", "qs")
+    pairs = one.join(two, "band").where("p < q or (p = q and p < 0)")
+    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ps") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+    pairs = pairs.withColumn("key", F.struct("band", "p", "i", "q", "j"))
+    sides = pairs.select("band", F.col("p").alias("part"), F.col("i").alias("block"), "key", F.lit(False).alias("right"))
+    sides = sides.union(pairs.where("p <> q").select("band", F.col("q").alias("part"), F.col("j").alias("block"), "key", F.lit(True).alias("right")))
+    placed = rows.join(groups, ["band", "component"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    return placed.join(sides, ["band", "part", "block"]).drop("part", "block", "blocks")
+
+
+def _across(rows: DataFrame, floor: float, similarity: tuple[int, int]) -> DataFrame:
+    """Confirmed links across groups within pairs of blocks.
 
     A pair is looked at in the first band that it shares. Pairs that the estimate lets pass
-    are confirmed on the full sets; classes that a link of this block has joined are not
-    compared again, so a block gives fewer links than it has classes.
+    are confirmed on the full sets; classes that a link of these blocks has joined are not
+    compared again, so a pair of blocks gives fewer links than it has classes.
     """
     (top, bottom), height = similarity, band_rows(similarity)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))  # two blocks at most
-        one, two, band = (table[c][0].as_py() for c in ("i", "j", "at"))
-        chunk, rep, n = (table[c].to_numpy() for c in ("chunk", "rep", "n"))
+        one, band = table["key"][0].as_py(), table["at"][0].as_py()
+        itself = one["p"] == one["q"]
+        node, n, side = (table[c].to_numpy() for c in ("node", "n", "right"))
         names, group = np.unique(table["component"].to_numpy(), return_inverse=True)
         registers = _registers(table["registers"])
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"]]
         slices = registers[:, : REGISTERS // height * height].reshape(len(registers), -1, height)
-        left, right = np.flatnonzero(chunk == one), np.flatnonzero(chunk == two)
+        left, right = np.flatnonzero(~side), np.flatnonzero(side | itself)
         joined = np.arange(len(names))
         found = []
         for k in left:
-            others = right[(joined[group[right]] != joined[group[k]]) & ((rep[right] > rep[k]) if one == two else True)]
+            others = right[(joined[group[right]] != joined[group[k]]) & ((node[right] > node[k]) if itself else True)]
             others = others[bottom * np.minimum(n[others], n[k]) >= top * np.maximum(n[others], n[k])]
             if not len(others):
                 continue
@@ -202,26 +253,12 @@ def _across(blocks: DataFrame, floor: float, similarity: tuple[int, int]) -> Dat
                     continue
                 shared = np.intersect1d(sets[k], sets[o], assume_unique=True).size
                 if bottom * shared >= top * (n[k] + n[o] - shared):
-                    found.append((min(rep[k], rep[o]), max(rep[k], rep[o])))
+                    found.append((min(node[k], node[o]), max(node[k], node[o])))
                     joined[joined == joined[group[o]]] = joined[group[k]]
         a, b = zip(*found, strict=True) if found else ([], [])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return blocks.groupBy("band", "i", "j").applyInArrow(pairs, "a bigint, b bigint")
-
-
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """rep and shingles (packed sorted 64-bit hashes) of the documents whose ids ``ids`` has as rep."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, found in each_slice(batch.column(1), lower=True):
-                hashes = found.hashes()
-                sets = [shingle_hashes(hashes[found.first[d] : found.first[d + 1]], words).tobytes() for d in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["rep", "shingles"])
-
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep")
-    return texts.select("rep", "text").mapInArrow(packed, "rep bigint, shingles binary").dropDuplicates(["rep"])
+    return rows.groupBy("key").applyInArrow(pairs, "a bigint, b bigint")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -242,10 +279,11 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         target = moved.select(F.col("node").alias("component"), F.col("component").alias("further"))
         jumped = moved.join(target, "component").select("node", F.col("further").alias("component"), "old")
         after = scratch.save(jumped, f"{name}-{turn}")
-        scratch.drop(f"{name}-{turn}-moved")
+        scratch.drop(f"{name}-{turn}-moved", f"{name}-{turn - 1}")
         changed = after.where("component <> old").limit(1).count()
         labels = after.drop("old")
         if not changed:
+            scratch.drop(f"{name}-edges")
             return labels
 
 
@@ -258,47 +296,60 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     reachable, kept tells whether it is the document's own.
 
     A null or empty text, or one without words, has no shingles and is linked with nothing.
-    Rows that repeat an id are read as one document if their texts are alike; rows without
-    an id are left alone: component_id null, kept. Extra columns are ignored; an empty
-    table gives an empty table.
+    Rows that repeat an id are documents of their own, whose classes only links join; rows
+    without an id are left alone: component_id null, kept. Extra columns are ignored; an
+    empty table gives an empty table. ``docs`` is read three times and must give the same
+    rows each time (a stored table does).
+
+    Links are found as far as they join groups: counting those within a group of near copies
+    would take all pairs of it.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-duplicates")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
     floor = least_estimate(similarity)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = scratch.save(_sketches(docs, words), "sketches")
     known = sketches.where("n > 0 and doc_id is not null")
-    classes = scratch.save(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # a number that the write makes lasting
+    names, side = classes.select("node", "rep", "set_key"), classes.select("node", "n", "registers")
 
     height = band_rows(similarity)
     width = 2 * height
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // height - 1)), lambda i: F.xxhash64(F.substring("registers", i * width + 1, F.lit(width)), i))
-    bands = classes.select("rep", "copies", F.posexplode(keys).alias("at", "band"))
-    leader = F.min(F.struct((-F.col("copies")).alias("fewest"), F.col("rep").alias("leader")))
-    shared = scratch.save(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members"), leader.alias("first")).where("members > 1").select("band", "members", "first.leader"), "shared")
-    members = scratch.save(bands.select("rep", "at", "band").join(shared, "band"), "members")
-    side = classes.select("rep", "n", "registers")
-    pairs = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    bands = classes.select("node", "rep", "copies", F.posexplode(keys).alias("at", "band"))
+    leader = F.min(F.struct((-F.col("copies")).alias("fewest"), "rep", F.col("node").alias("leader")))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members"), leader.alias("first")).where("members > 1").select("band", "first.leader")
+    members = scratch.save(bands.select("node", "at", "band").join(scratch.save(shared, "shared"), "band"), "members")
+    scratch.drop("shared")
+    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = pairs.join(side.toDF("b", "nb", "rb"), "b").join(side.toDF("a", "na", "ra"), "a")
     best = _estimated(pairs).where(F.col("estimate") >= floor).groupBy("b").agg(F.max(F.struct("estimate", (-F.col("a")).alias("minus"))).alias("best"))
     best = scratch.save(best.select((-F.col("best.minus")).alias("a"), "b"), "best")
-    links = scratch.save(_confirmed(best, docs, words, similarity), "links")
+    wanted = names.join(best.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    sets = scratch.save(_sets(docs, wanted, words), "best-sets")
+    links = scratch.save(_confirmed(best, sets, similarity), "links")
+    scratch.drop("best", "best-sets")
     groups = components(links, scratch, "groups")
 
-    grouped = members.select("band", "at", "rep", "members").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = lambda groups: groups.withColumnRenamed("component", "found")
+    grouped = members.select("band", "at", "node").join(named(groups), "node", "left").select("band", "at", "node", F.coalesce("found", "node").alias("component"))
     grouped = scratch.save(grouped, "grouped")
+    scratch.drop("members")
     mixed = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    chunks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = scratch.save(grouped.join(scratch.save(mixed, "mixed"), "band"), "open").withColumns({"chunks": chunks, "chunk": F.pmod(F.hash("rep"), chunks)})
-    sets = scratch.save(_sets(docs, rows.select("rep").distinct(), words), "sets")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    rows = rows.join(side, "rep").join(sets, "rep").select("band", "at", "i", "j", "chunk", "rep", "component", "n", "registers", "shingles")
-    links = scratch.save(links.union(_across(rows, floor, similarity)), "all-links")
+    rows = scratch.save(grouped.join(mixed, "band").join(classes.select("node", "n"), "node"), "open")
+    scratch.drop("grouped")
+    sets = scratch.save(_sets(docs, names.join(rows.select("node").distinct(), "node"), words), "open-sets")
+    blocks = _blocks(rows).join(side.drop("n"), "node").join(sets, "node").select("key", "at", "right", "node", "component", "n", "registers", "shingles")
+    links = scratch.save(links.union(_across(blocks, floor, similarity)), "all-links")
+    scratch.drop("open", "open-sets", "links")
     groups = components(links, scratch, "all-groups")
 
-    named = classes.select("set_key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    named = scratch.save(named.select(F.col("set_key").alias("key"), F.coalesce("component", "rep").alias("component")), "named")
-    rows = sketches.select("doc_id", "n", "set_key")
-    out = rows.where("set_key is not null and doc_id is not null").join(named, F.col("set_key") == F.col("key")).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    out = out.unionByName(rows.where("set_key is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = names.join(named(groups), "node", "left").select("rep", "set_key", F.coalesce("found", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = scratch.save(named.join(least, "component").select(F.col("set_key").alias("key"), "component_id"), "named")
+    scratch.drop("classes", "all-links")
+    rows = sketches.select("doc_id", F.col("n").alias("n_shingles"), "set_key")
+    known = F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
+    out = rows.where(known).join(named, F.col("set_key") == F.col("key")).select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(rows.where(~known).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
