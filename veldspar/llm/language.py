@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldspar.llm.textkit import mix64, slices, text_bytes
 
 DIMENSIONS = 512
 SCALE = 10_000
+GRAMS = 1 << 14  #: Trigrams whose vectors are in memory at a time.
 UNDETERMINED = "und"
 _PAD = 0x20
 
@@ -48,37 +50,35 @@ def letter_vectors(points: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarr
 def document_vectors(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
     """Bundled trigram vectors of whole documents, and their numbers of letters."""
     raw = [data[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "replace").lower() for d in range(lo, hi)]
-    joined = np.frombuffer(("  " + "  ".join(raw) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    owner = np.concatenate([np.repeat(np.arange(len(raw)), sizes + 2), np.full(2, len(raw) - 1)]) if raw else np.zeros(4, np.int64)
+    joined = np.frombuffer("".join(f" {t} " for t in raw).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(raw)), np.fromiter(map(len, raw), np.int64, len(raw)) + 2)
     letter = _letters(joined)
     count = np.bincount(owner[letter], minlength=hi - lo)
     points = np.where(letter, joined, _PAD)
     keep = np.ones(len(points), bool)
-    keep[1:] = letter[1:] | letter[:-1]  # one space between words
+    keep[1:] = letter[1:] | letter[:-1] | (owner[1:] != owner[:-1])  # one space between words, and one at either end of a document
     points, owner = points[keep], owner[keep]
     out = np.zeros((hi - lo, dimensions), np.float32)
-    if len(points) < 3 or not letter.any():
+    if not letter.any():  # else some document has a letter between its two spaces
         return out, count
     alphabet, at = _dense(points)
     same = owner[:-2] == owner[2:]
-    base = len(alphabet)
-    code = (at[:-2] * base + at[1:-1]) * base + at[2:]
-    key = np.sort((owner[:-2] * base**3 + code)[same])
-    if not len(key):
-        return out, count
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    base = len(alphabet)  # 1.2 million at most, so codes are below 2**61
+    grams, which = np.unique(((at[:-2] * base + at[1:-1]) * base + at[2:])[same], return_inverse=True)
+    key = np.sort(owner[:-2][same] * len(grams) + which)
+    edge = np.flatnonzero(np.diff(key, prepend=-1))
     times = np.diff(np.append(edge, len(key))).astype(np.float32)
-    doc, code = np.divmod(key[edge], base**3)
-    grams, which = np.unique(code, return_inverse=True)
+    doc, which = np.divmod(key[edge], len(grams))
     letters = letter_vectors(alphabet, dimensions)
     first, second = np.roll(letters, 2, 1), np.roll(letters, 1, 1)
-    bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
-    vectors = first[grams // base**2] * second[grams // base % base] * letters[grams % base]
-    for d in range(hi - lo):
-        a, b = bounds[d], bounds[d + 1]
-        if a < b:
-            out[d] = times[a:b] @ vectors[which[a:b]].astype(np.float32)
+    for g in range(0, len(grams), GRAMS):
+        some = grams[g : g + GRAMS]
+        vectors = first[some // base**2] * second[some // base % base] * letters[some % base]
+        inside = np.flatnonzero((which >= g) & (which < g + GRAMS))
+        bounds = np.searchsorted(doc[inside], np.arange(hi - lo + 1))
+        for d in np.flatnonzero(np.diff(bounds)):
+            at = inside[bounds[d] : bounds[d + 1]]
+            out[d] += times[at] @ vectors[which[at] - g].astype(np.float32)  # whole numbers, so the order is of no matter
     return out, count
 
 
@@ -121,12 +121,15 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
     return {k: v for k, v in sorted(found.items()) if v.any()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
     """One row per input row: doc_id, lang_pred, score.
 
     The score is the cosine with the best prototype, 0 at least. A text that is null or
     has no letter is ``und`` with score 0, and so is every text if there are no prototypes;
-    of equal cosines the first language in sort order wins. Extra columns are ignored.
+    of equal cosines the first language in sort order wins. A text's vector is its own: it does
+    not depend on other rows. Texts are read whole, however long. Repeated rows give repeated
+    rows; extra columns are ignored; a value ``carry`` is passed on as ``carried``; an empty
+    table gives an empty table.
     """
     langs = list(prototypes)
     dimensions = len(next(iter(prototypes.values()))) if langs else DIMENSIONS
@@ -143,10 +146,13 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
                 best = cosine.argmax(1) if langs else np.zeros(hi - lo, int)
                 names += [langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
                 scores += np.where(known, np.clip(cosine.max(1, initial=0), 0, 1), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            rest = dict(zip(batch.schema.names, batch.columns, strict=True))
+            rest.pop("text")
+            yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([] if carry is None else [carry.alias("carried")]))
+    schema = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(predict, schema)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
