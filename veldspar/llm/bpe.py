@@ -4,7 +4,8 @@ A word's tokens are guessed by greedy longest match over the vocabulary. The gue
 the merge result if every token merges to itself and, for every adjacent pair, merging
 the two tokens' characters leaves exactly these two: no earlier merge crosses the
 boundary. All pairs of a batch of new words are tested at once in numpy. Only words
-with a failing pair go through the merges, one merge of each word at a time.
+with a failing pair go through the merges, one merge of each word at a time, or long words
+one by one from a heap.
 
 The vocabulary is a file of the ``tokenizers`` library with byte-level BPE and an end of
 word suffix, its path a parameter. Words between white space are encoded once and kept
@@ -13,6 +14,7 @@ while CACHE_SPANS allows; the limits bound memory, not results.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -30,6 +32,7 @@ from veldspar.llm.textkit import SLICE_BYTES
 CACHE_SPANS = 600_000
 CACHE_PIECES = 400_000
 LEARN_SPANS = 50_000
+LONG = 64  #: A failing word of more letters is merged alone, by a heap.
 
 #: Fixed values of the tokenizer's format: its word pattern and the white space it drops.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -73,6 +76,7 @@ class Vocabulary:
             self.made[i], self.left[i], self.right[i], pairs[r] = r, x, y, x * n + y
         self.pair_order = np.argsort(pairs)
         self.pair_codes = pairs[self.pair_order]
+        self.pair_rank = dict(zip(pairs.tolist(), range(len(merges)), strict=True))
         self.size = n
         self.whole: dict[int, bool] = {}
         self.fits: dict[int, bool] = {}
@@ -115,7 +119,10 @@ class Vocabulary:
         spelled = [self.symbols(w) for w in new]
         by_length: dict[int, list[int]] = {}
         for i, letters in enumerate(spelled):
-            by_length.setdefault(-(-len(letters) // 8), []).append(i)
+            if len(letters) > LONG:
+                out[i] = self.merged_long([self.ids[c] for c in letters])
+            else:
+                by_length.setdefault(-(-len(letters) // 8), []).append(i)
         for members in by_length.values():
             live = np.array(members)
             width = max(len(spelled[i]) for i in members)
@@ -146,6 +153,30 @@ class Vocabulary:
                     ranks[r, x] = np.where(rows[r, x + 1] >= 0, self._ranks(rows[r, x], rows[r, x + 1]), 1 << 40)
         return out
 
+    def merged_long(self, ids: list[int]) -> list[int]:
+        """Ids of one word after its merges, in about linear time: the next merge comes from a heap, neighbours from links."""
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        row = np.array(ids)
+        ranks = self._ranks(row[:-1], row[1:])
+        heap = [(int(ranks[i]), int(i)) for i in np.flatnonzero(ranks < 1 << 40)]
+        heapq.heapify(heap)
+        product, pairs = self.product, self.pair_rank
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or pairs.get(ids[i] * self.size + ids[j]) != rank:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = int(product[rank]), -1
+            after[i] = j = after[j]
+            if j < n:
+                before[j] = i
+                if (r := pairs.get(ids[i] * self.size + ids[j])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := pairs.get(ids[h] * self.size + ids[i])) is not None:
+                heapq.heappush(heap, (r, h))
+        return [t for t in ids if t >= 0]
+
     def greedy(self, word: str) -> list[int]:
         """Longest match from the left; the suffix belongs to the last letter."""
         text = "".join(self.letters[b] for b in word.encode("utf-8"))
@@ -285,7 +316,8 @@ def vocabulary(path: str) -> Vocabulary:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids (packed little-endian unsigned 32-bit) and decoded.
 
-    Null and empty texts have no tokens and decode to the empty string. Repeated rows give
+    Null and empty texts have no tokens and decode to the empty string. Texts and words of any
+    length are encoded whole, in time about linear in the length. Repeated rows give
     repeated rows; extra columns are ignored; an empty table gives an empty table.
     """
 
