@@ -9,7 +9,9 @@ that is left at the end.
 
 The documents of a source are dealt by a hash of their id into groups of about GROUP_ROWS;
 each group leaves one residual, and FAN_IN residuals at a time meet in the next level of
-a reduction tree. Order and random numbers are hashes of ids, so reruns agree.
+a reduction tree. Order and random numbers are hashes of ids, so reruns agree. An id that
+more than GROUP_ROWS rows of a source repeat (or lack) is dealt further by their places in
+the stored table, so no group is larger for it.
 """
 
 from __future__ import annotations
@@ -101,21 +103,26 @@ def mix_sizes(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
     One row per input row. Rows of size 0 are never taken. Rows that repeat an id are
     separate documents; a null id, source or size (counted as 0) is a value like others.
-    An empty table gives an empty table. A column ``row`` is passed on.
+    Reruns over a stored table agree; where no id is repeated more than GROUP_ROWS times, so
+    do those over its rows in any order. Extra columns are ignored, but ``row`` is passed on;
+    an empty table gives an empty table.
     """
     spark = sizes.sparkSession
     row = ["row"] if "row" in sizes.columns else []
     scratch = Scratch(spark, "mixing")
-    sizes = scratch.save(sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *row), "sizes")
+    sizes = sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *row)
+    sizes = scratch.save(sizes.withColumns({"key": F.xxhash64("doc_id", F.lit("mixing")), "place": F.monotonically_increasing_id()}), "sizes")
     targets = scratch.save(source_targets(sizes, weights, share, most), "targets")
     deepest = targets.agg(F.max("n_docs")).first()[0] or 0
     rows = sizes.withColumnRenamed("source", "own").join(targets, F.col("own").eqNullSafe(F.col("source"))).drop("own")
     copies = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumns({"copies": copies, "key": F.xxhash64("doc_id", F.lit("mixing"))})
-    rows = rows.withColumns({
+    often = sizes.groupBy(F.col("source").alias("its"), F.col("key").alias("hot")).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > GROUP_ROWS)
+    rows = rows.join(often, F.col("source").eqNullSafe(F.col("its")) & (F.col("key") == F.col("hot")), "left")
+    dealt = F.when(F.col("times").isNull(), F.col("key")).otherwise(F.xxhash64("key", "place"))
+    rows = rows.withColumn("copies", copies).withColumns({
         "whole": F.floor("copies"), "part": F.col("copies") - F.floor("copies"), "extra": F.lit(0).cast("long"),
-        "bucket": F.pmod("key", F.ceil(F.col("n_docs") / GROUP_ROWS)), "buckets": F.ceil(F.col("n_docs") / GROUP_ROWS),
-    }).drop("copies")
+        "bucket": F.pmod(dealt, F.ceil(F.col("n_docs") / GROUP_ROWS)), "buckets": F.ceil(F.col("n_docs") / GROUP_ROWS),
+    }).drop("copies", "its", "hot", "times", "place")
     groups, level, done = -(-deepest // GROUP_ROWS), 0, None
     while True:
         now = scratch.save(_level(rows, groups <= 1), f"level{level}")
