@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldspar.llm.scratch import Scratch
 from veldspar.llm.textkit import Words, each_slice, mix64
 
 TRAIN_ROWS = 20_000
@@ -182,9 +183,18 @@ def sampled_labels(labels: DataFrame, column: str, rows: int) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id", F.lit(column)), "doc_id").limit(rows)
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
+    """doc_id, text and label of at most ``rows`` labelled documents, stored once for all that learns from them.
+
+    Of texts that share an id the least is taken, null only if there is no other.
+    """
+    chosen = sampled_labels(labels, column, rows)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``rows`` rows at most
+    return Scratch(docs.sparkSession, f"labelled-{column}").save(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "texts")
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Trees fitted to at most ``rows`` labelled documents. Their statistics, not their texts, reach the driver."""
-    chosen = sampled_labels(labels, "quality", rows)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
                 x = statistics(found)[1]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # TRAIN_ROWS rows at most
-    got = texts.select("doc_id", "text", "label").mapInArrow(measured, "doc_id bigint, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    got = labelled_texts(docs, labels, "quality", rows).select("doc_id", "text", "label").mapInArrow(measured, "doc_id bigint, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return grow(x, got["label"].to_numpy(float))
 
@@ -201,8 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
 def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, the COUNTS, and quality, the trees' score between 0 and 1.
 
-    A null text has no words and is scored like an empty one. Repeated rows give repeated
-    rows; extra columns are ignored; an empty table gives an empty table.
+    A null text has no words and is scored like an empty one. Texts are read whole, however
+    long, and equal texts have equal scores. Repeated rows give repeated rows; extra columns are ignored; an empty table gives an empty table.
     """
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

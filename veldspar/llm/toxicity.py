@@ -5,7 +5,7 @@ one span. A span's subsequences are its letter triples that lie within REACH cha
 each other, each weighing DECAY for every character skipped: letters, digits that stand for
 letters, or inserted signs, which are never part of a triple themselves. The kernel of two spans
 is the product of their triple weights, summed over equal triples and divided by the spans'
-norms. A support vector machine over kernel values with MOST_LANDMARKS landmark spans at most, whitened by the
+norms, whatever their lengths. A support vector machine over kernel values with MOST_LANDMARKS landmark spans at most, whitened by the
 inverse root of the landmarks' own kernel matrix (Nystroem), separates insults from other spans.
 
 As the kernel is a sum over triples, the machine's landmark weights collapse exactly into
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm.quality import sampled_labels
+from veldspar.llm.quality import labelled_texts
 from veldspar.llm.textkit import Words, each_slice, mix64
 
 TRAIN_ROWS = 20_000
@@ -37,7 +37,9 @@ MOST_LANDMARKS = 256
 OFFERED = 4
 ROUNDS = 3
 DECAY, REACH = 0.6, 5
-LONGEST = 64  #: A longer span is scored in overlapping pieces of this many bytes.
+LONG = 4096  #: A longer span's triples are counted for itself, in pieces of PIECE characters; its kernel is like any other's.
+PIECE = 1 << 18
+TAUGHT = 256  #: Bytes of the longest span that is learned from; such spans reach the driver.
 SYMBOLS = 64
 TOP = 3
 FLOOR = 3.0
@@ -79,7 +81,28 @@ def symbols(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def triples(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Span, triple and weight of every gapped letter triple of the spans, their edges included."""
+    """Span, triple and summed weight of the distinct gapped letter triples of the spans, their edges included."""
+    long = end - start > LONG
+    rows = np.flatnonzero(~long)
+    out = [(rows[o], t, w) for o, t, w in [_short(data, start[rows], end[rows])]]
+    for k in np.flatnonzero(long):
+        total = _whole(data[start[k] : end[k]])
+        found = np.flatnonzero(total)
+        out.append((np.full(len(found), k), found, total[found]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _gapped(symbol: np.ndarray, left: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """For each pair of gaps the places where a triple starts, the triples and their weight. ``left``: symbols of the span from each place on."""
+    for j, k in _PAIRS:
+        n = max(len(symbol) - k, 0)
+        ok = np.flatnonzero((symbol[:n] > 0) & (left[:n] > k if left is not None else True))
+        ok = ok[(symbol[ok + j] > 0) & (symbol[ok + k] > 0)]
+        yield ok, (symbol[ok] * SYMBOLS + symbol[ok + j]) * SYMBOLS + symbol[ok + k], DECAY ** (k - 2)
+
+
+def _short(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``triples`` of spans that are taken all at once."""
     letters, before = symbols(data)
     first = before[start]
     size = before[end] - first + 2
@@ -89,12 +112,23 @@ def triples(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     symbol = np.full(len(owner), EDGE)
     inner = (offset > 0) & (left > 1)
     symbol[inner] = letters[(first[owner] + offset - 1)[inner]]
-    out = []
-    for j, k in _PAIRS:
-        ok = np.flatnonzero((left > k) & (symbol > 0))
-        ok = ok[(symbol[ok + j] > 0) & (symbol[ok + k] > 0)]
-        out.append((owner[ok], (symbol[ok] * SYMBOLS + symbol[ok + j]) * SYMBOLS + symbol[ok + k], np.full(len(ok), DECAY ** (k - 2))))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    found = [(owner[ok] * SYMBOLS**3 + triple, np.full(len(ok), weight)) for ok, triple, weight in _gapped(symbol, left)]
+    key, weight = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(key, kind="stable")
+    edge = np.flatnonzero(np.diff(key[order], prepend=-1))
+    owner, triple = np.divmod(key[order[edge]], SYMBOLS**3)
+    return owner, triple, np.add.reduceat(weight[order], edge) if len(edge) else np.zeros(0)
+
+
+def _whole(data: np.ndarray) -> np.ndarray:
+    """Summed weight of each triple of one span. Pieces overlap by what a triple can reach, so each triple is seen once."""
+    letters, _ = symbols(data)
+    symbol = np.concatenate([[EDGE], letters, [EDGE]])
+    total = np.zeros(SYMBOLS**3)
+    for at in range(0, len(symbol), PIECE):
+        for ok, triple, weight in _gapped(symbol[at : at + PIECE + REACH - 1], None):
+            total += np.bincount(triple[ok < PIECE], minlength=SYMBOLS**3) * weight
+    return total
 
 
 def spans(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,15 +157,6 @@ def spans(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         stop = len(data) + np.cumsum(size)
         data = np.concatenate([data, tail])
         start, end, doc = np.append(start, stop - size), np.append(end, stop), np.append(doc, [d for _, d in extra])
-    long = np.flatnonzero(end - start > LONGEST)
-    if len(long):
-        step = LONGEST - REACH
-        pieces = -(-(end[long] - start[long] - REACH) // step)
-        which = np.repeat(long, pieces)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        keep = np.setdiff1d(np.arange(len(start)), long)
-        begin = start[which] + nth * step
-        start, end, doc = np.append(start[keep], begin), np.append(end[keep], np.minimum(begin + LONGEST, end[which])), np.append(doc[keep], doc[which])
     return data, start, end, doc
 
 
@@ -257,8 +282,6 @@ def _presence(texts: DataFrame) -> np.ndarray:
                     continue
                 uniq, back = _distinct(data, start, end)
                 owner, triple, _ = triples(data, start[uniq], end[uniq])
-                pairs = np.sort(owner * SYMBOLS**3 + triple)
-                owner, triple = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], SYMBOLS**3)
                 share = np.rint(PARTS / np.bincount(doc, minlength=hi - lo).clip(1))
                 for label in (0, 1):  # sums of a slice stay below 2**53, so they are exact
                     mass = np.bincount(back, share[doc] * (labels[lo:hi][doc] == label), len(uniq))
@@ -287,6 +310,7 @@ def _offered(texts: DataFrame, machine: Machine, offered: int = OFFERED):  # noq
                 uniq, back = _distinct(data, start, end)
                 value = machine.spans(data, start[uniq], end[uniq])[back]
                 order = np.lexsort([start, -value, doc])
+                order = order[(end - start)[order] <= TAUGHT]
                 rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
                 for k in order[rank < offered]:
                     rows.append((names[lo + doc[k]], labels[lo + doc[k]], data[start[k] : end[k]].tobytes().decode("utf-8", "ignore"), float(value[k])))
@@ -327,8 +351,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, rounds: in
 
     With no labels, or labels of one kind only, every text gets the share of toxic labels.
     """
-    chosen = sampled_labels(labels, "toxic", rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``rows`` rows at most
+    texts = labelled_texts(docs, labels, "toxic", rows)
     n = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     none = np.zeros(len(SUMMARY))
     if len(n) < 2:
@@ -361,8 +384,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, rounds: in
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score, the probability that the text is toxic.
 
-    A text that is null, empty or without words gets a low score of its own. Repeated rows give repeated rows; extra columns are ignored;
-    an empty table gives an empty table.
+    A text that is null, empty or without words gets a low score of its own. Texts and spans
+    of any length are scored whole, in time about linear in the length; equal texts have equal
+    scores. Repeated rows give repeated rows; extra columns are ignored; an empty table gives
+    an empty table.
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
