@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -198,6 +199,27 @@ def test_mixing_uses_the_tree(spark):
     assert len(got) == 9000
 
 
+def test_mixing_of_a_hot_id(spark, monkeypatch):
+    """An id on a third of the rows, and no id on another: groups stay small, targets are met, reruns agree."""
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 200)
+    largest = []
+    level = mixing._level
+
+    def watched(rows, last):
+        largest.append(max((r[0] for r in rows.groupBy("source", "bucket").count().select("count").collect()), default=0))
+        return level(rows, last)
+
+    monkeypatch.setattr(mixing, "_level", watched)
+    rows = spark.range(9000).selectExpr("case when id % 3 = 0 then 7 when id % 3 = 1 then id end doc_id", "case when id % 2 = 0 then 'a' else 'b' end source", "1 + id * 37 % 91 size")
+    got = mixing.mix_sizes(rows).toPandas()
+    assert largest[0] < 400 and len(got) == 9000
+    for _, g in got.groupby("source"):
+        assert abs((g["copies"] * g["size"]).sum() - g["target"].iloc[0]) <= 91
+    again = mixing.mix_sizes(rows).toPandas()
+    order = ["source", "doc_id", "size", "copies"]
+    assert got.sort_values(order)[order].reset_index(drop=True).equals(again.sort_values(order)[order].reset_index(drop=True))
+
+
 def test_bpe_equals_the_library(spark, docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(tokenizer_path())
@@ -222,6 +244,23 @@ def test_bpe_merges_one_by_one_agree_with_the_guesses():
     assert 0 < vocab.exact_merges < len(new)
 
 
+def test_bpe_of_long_words():
+    """Words that fail the checks and have no end in sight take about linear time."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    vocab, rng = bpe.Vocabulary(tokenizer_path()), random.Random(3)
+    for n in (65, 66, 300, 5000):
+        for letters in ("aeinrst", "ab", "éñ漢x"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            assert vocab.encode_words([word.lower()])[0] == library.encode(word, add_special_tokens=False).ids
+            assert vocab.merged_long([vocab.ids[c] for c in vocab.symbols(word[:80])]) == [vocab.ids[s] for s in vocab.merged(vocab.symbols(word[:80]))]
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1 << 20))
+    began = time.process_time()
+    (packed,) = vocab.encode([word])
+    assert time.process_time() - began < 60
+    assert np.frombuffer(packed, "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+
+
 def test_language(spark, empty):
     rng = random.Random(2)
     syllables = {"aa": ["ka", "to", "mi", "ru"], "bb": ["schl", "ung", "eit", "ver"], "cc": ["eau", "ment", "oux", "ille"]}
@@ -240,6 +279,46 @@ def test_language(spark, empty):
     assert [r.lang_pred for r in language.identify(frame.limit(1), {}).collect()] == ["und"]
 
 
+def test_language_vectors_by_hand(monkeypatch):
+    """A text's vector is the sum of its trigrams' bound vectors, in whatever company and order it comes."""
+    from veldspar.llm.textkit import text_bytes
+
+    import pyarrow as pa
+
+    def vectors(texts):
+        data, offsets = text_bytes(pa.array(texts, pa.string()))
+        return language.document_vectors(data, offsets, 0, len(texts))
+
+    letter = lambda c: language.letter_vectors(np.array([ord(c)]))[0].astype(int)
+    texts = ["abc def", "", "a", None, "12 !", "Été  12x", "ß. a", "abc def", "你好 abc", "x" * 5000, "z"]
+    for grams in (2, 1 << 14):
+        monkeypatch.setattr(language, "GRAMS", grams)
+        got, count = vectors(texts)
+        for k, t in enumerate(texts):
+            plain = " " + re.sub(r"[^a-zéß你好]+", " ", (t or "").lower()).strip() + " "
+            want = sum((np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c) for a, b, c in zip(plain, plain[1:], plain[2:])), np.zeros(language.DIMENSIONS))
+            if not plain.strip():
+                want = want * 0
+            assert (got[k] == want).all() and count[k] == len(plain.replace(" ", "")), t
+            assert (vectors([t])[0][0] == got[k]).all() and (vectors(texts[::-1])[0][-1 - k] == got[k]).all()
+
+
+def test_language_is_the_nearest_prototype(spark):
+    texts = ["kato miru kato", "schlung eit verung", "mentoux eau", "kaung"]
+    frame = spark.createDataFrame([(i, t, "abca"[i], None, 0) for i, t in enumerate(texts)], DOCS)
+    prototypes = language.train(frame.where("doc_id < 3"))
+    from veldspar.llm.textkit import text_bytes
+
+    import pyarrow as pa
+
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    vectors, _ = language.document_vectors(data, offsets, 0, 4)
+    cosine = lambda x, y: float(x @ y / np.linalg.norm(x) / np.linalg.norm(y))
+    for r in language.identify(frame, prototypes, carry=F.col("source")).collect():
+        scores = {k: cosine(vectors[r.doc_id], v) for k, v in prototypes.items()}
+        assert r.lang_pred == max(scores, key=scores.get) and math.isclose(r.score, max(0, max(scores.values())), rel_tol=1e-5) and r.carried is None
+
+
 def test_lm(spark, docs, corpus, empty):
     out = language.held_out(F.col("doc_id"), 7, 2)
     vocabulary, automaton = lm.train(docs.where(~out), Scratch(spark, "t"), share=1e-4)
@@ -391,3 +470,31 @@ def test_toxicity(spark, empty):
     one = toxicity.train(frame, known.where("toxic = 0"))
     assert all(r.score < 0.01 for r in toxicity.score(frame, one).collect())
     assert toxicity.score(empty, toxicity.train(empty, known)).collect() == []
+
+
+def test_toxicity_triples_by_hand(monkeypatch):
+    """Whole spans of any length and script, in one way or another."""
+    def by_hand(span):
+        symbol = [toxicity.EDGE, *(int(x) for x in toxicity.symbols(np.frombuffer(span.encode(), np.uint8))[0]), toxicity.EDGE]
+        out = collections.Counter()
+        for i in range(len(symbol)):
+            for j in range(i + 1, min(i + toxicity.REACH, len(symbol))):
+                for k in range(j + 1, min(i + toxicity.REACH, len(symbol))):
+                    if symbol[i] and symbol[j] and symbol[k]:
+                        out[(symbol[i] * 64 + symbol[j]) * 64 + symbol[k]] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    rng = random.Random(8)
+    texts = ["a", "ab", "z.o.r", "éclair", "漢字漢字", "".join(rng.choice("abc.-é漢") for _ in range(70)), "".join(rng.choice("abc.-é漢") for _ in range(900))]
+    raw = [t.encode() for t in texts]
+    size = np.array([len(r) for r in raw])
+    for long, piece in ((4096, 1 << 18), (40, 16), (0, 1)):
+        monkeypatch.setattr(toxicity, "LONG", long)
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        owner, triple, weight = toxicity.triples(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, np.cumsum(size))
+        for k, t in enumerate(texts):
+            got = dict(zip(triple[owner == k].tolist(), weight[owner == k].tolist(), strict=True))
+            want = by_hand(t)
+            assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], rel_tol=1e-9) for x in want)
+        own = toxicity.kernel(texts, texts)
+        assert np.allclose(np.diag(own)[[1, 2, 3, 5, 6]], 1) and (own <= 1 + 1e-9).all()

@@ -90,3 +90,41 @@ def test_warc_round_trip(spark, tmp_path):
     empty = f"file://{tmp_path}/c"
     assert warc.write(pages.where("false"), empty).collect() == []
     assert warc.read(spark, empty).collect() == []
+
+
+def test_warc_shards_do_not_depend_on_the_run(spark, tmp_path):
+    """More pages than Spark samples for its ranges: the same bytes again in one session, with other partitions and in another order."""
+    pages = spark.range(3000).selectExpr("cast(if(id % 50 = 0, null, id * 7919 % 3001 - 500) as bigint) page_id", "concat('u', id) url", "repeat(concat('text ', cast(id % 700 as string), ' '), 30) html")
+    stored = str(tmp_path / "pages.parquet")
+    pages.write.parquet(stored)
+    pages = spark.read.parquet(stored)
+    digests = []
+    for k, (rows, width) in enumerate(((pages, "4"), (pages, "4"), (pages.repartition(7), "9"))):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        try:
+            digests.append(sorted(warc.write(rows, f"file://{tmp_path}/{k}", roll_bytes=20_000, shard_bytes=100_000).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert digests[0] == digests[1] == digests[2] and len(digests[0]) > 10
+    assert sum(m.records for m in digests[0]) == 3000
+    got = []
+    for name in sorted({m.file for m in digests[0]}):
+        with gzip.open(tmp_path / "0" / name) as file:
+            fields = [dict(x.split(": ", 1) for x in r.split("\r\n\r\n")[0].split("\r\n")[1:] if ": " in x) for r in file.read().decode().split("WARC/1.1")[1:]]
+        got += [int(f.get("X-Page", -501)) for f in fields]
+    assert got == sorted(got) and len(got) == 3000 and len({m.file for m in digests[0]}) == len(digests[0])
+
+
+def test_warc_reading_notices_changed_files(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"page {k} " * 50) for k in range(20)], PAGES)
+    root = f"file://{tmp_path}/a"
+    (m,) = warc.write(pages, root).collect()
+    path = tmp_path / "a" / m.file
+    members = [gzip.compress(x + b"\r\n\r\n", mtime=0) for x in gzip.decompress(path.read_bytes()).split(b"\r\n\r\n\r\n\r\n") if x]
+    for data in (b"".join(members[1:]), path.read_bytes()[:-10], gzip.compress(gzip.decompress(path.read_bytes()).replace(b"page 3 ", b"page 4 ", 1))):
+        path.write_bytes(data)
+        crc = tmp_path / "a" / f".{m.file}.crc"
+        if crc.exists():
+            crc.unlink()
+        with pytest.raises(Exception, match="manifest|digest|within a record|Content-Length"):
+            warc.read(spark, root).collect()

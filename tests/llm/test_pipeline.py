@@ -10,6 +10,8 @@ import pytest
 pytest.importorskip("veldspar.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from veldspar.llm import mixing  # noqa: E402
 from veldspar.llm.queries import tokenizer_path  # noqa: E402
 
@@ -87,6 +89,23 @@ def test_odd_tables(spark, tmp_path):
     rows = [(1, "one text here", None, None, None), (1, "one text here", None, None, None), (None, "another text", "en", "a", 1), (2, None, "en", "a", 1)]
     spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()} <= {1, None}
+    # All rows of a row, and columns whose names operators use themselves.
+    rows = [(k % 20, " ".join(f"word{k % 20}x{j}" for j in range(30)), "en", "a", 1) for k in range(60)]
+    clash = ("own", "row", "carried", "copies", "lang_pred", "text_sha256", "mix_copy", "component_id", "kept", "place", "col", "score", "_stored_row")
+    docs = spark.createDataFrame(rows, COLUMNS)
+    for name in clash:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} "), "doc_id"))
+    docs.repartition(3).write.parquet(str(tmp_path / "clash" / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "clash" / "documents.parquet"))
+    want = {r.doc_id: r for r in docs.distinct().collect()}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, "")
+        got = docs.collect()
+        assert docs.columns == [*COLUMNS.replace(" long", "").replace(" string", "").split(", "), *clash]
+        assert all(r == want[r.doc_id] for r in got), name
+        if k < 3:
+            assert collections.Counter(r.doc_id for r in got) == dict.fromkeys(range(20), 3 if k == 0 else 1)
+    assert 28 <= len(got) <= 32 and max(collections.Counter(r.doc_id for r in got).values()) <= 2  # of 600 words 900
 
 
 def test_stages_decide_by_row(spark, tmp_path):
