@@ -13,52 +13,72 @@ from veldspar.llm.queries import tokenizer_path
 from veldspar.llm.scratch import Scratch
 
 
-#: Key of a stored row. Ids may repeat or be missing, so decisions of operators go back to rows by this.
-ROW = "_stored_row"
-
-
 def _stored(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a key for each row. What is not a stored table is written first, so that all that reads it sees the same keys."""
+    """doc_id, text, source and two more: ``row``, a key of the row, as ids may repeat or be missing, and ``own``, all its columns.
+
+    So no column of ``docs`` can clash with one of an operator's. What is not a stored table
+    is written first, so that all that reads it sees the same keys.
+    """
     if not docs._jdf.queryExecution().analyzed().children().isEmpty():
         docs = Scratch(spark, name).save(docs, "rows")
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    return docs.select("doc_id", "text", "source", F.monotonically_increasing_id().alias("row"), F.struct("*").alias("own"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told, in ``lang`` the language found. Those without a letter go."""
-    rows = _stored(spark, docs, "pipeline-language")
-    prototypes = language.train(rows.where(~language.held_out(F.col("doc_id"), 4, 2)))
-    found = language.identify(rows, prototypes, id_col=ROW).where(F.col("lang_pred") != language.UNDETERMINED)
-    found = found.select(F.col("doc_id").alias(ROW), "lang_pred")
-    return rows.join(found, ROW).withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    """Documents whose language can be told, in ``lang`` the language found.
+
+    Those that are null, empty or without a letter go, and all where no language could be
+    learned. Each row is judged by its own text, so repeated rows and ids stay. Texts are read
+    whole. Extra columns stay as they are; an empty table gives an empty table.
+    """
+    prototypes = language.train(docs.where(~language.held_out(F.col("doc_id"), 4, 2)))
+    found = language.identify(docs, prototypes, carry=F.struct("*")).where(F.col("lang_pred") != language.UNDETERMINED)
+    return found.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col("carried")[c].alias(c) for c in docs.columns))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row of each group of equal texts: the one with the smallest id, one of those that repeat it.
+
+    Null counts as the empty text, and a missing id as greater than all. Extra columns stay
+    as they are; an empty table gives an empty table.
+    """
     rows = _stored(spark, docs, "pipeline-exact")
-    kept = exact_dedup.exact_dedup(rows, row_col=ROW).where("kept").select(F.col("row").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(docs.columns)
+    kept = exact_dedup.exact_dedup(rows, row_col="row").where("kept").select("row")
+    return rows.join(kept, "row", "left_semi").select("own.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar to 0.8 or more: the one with the smallest id."""
+    """One row of each group of texts whose five-word shingles are similar to 0.8 or more: the one with the smallest id.
+
+    Rows whose text is null, empty or without words all stay. A missing id counts as greater
+    than all; rows that repeat an id are documents of their own. Extra columns stay as they
+    are; an empty table gives an empty table.
+    """
     rows = _stored(spark, docs, "pipeline-near")
-    found = minhash.near_duplicates(rows, words=5, similarity=(80, 100), id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
-    first = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", ROW)).alias("first")
-    kept = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(docs.columns)
+    found = minhash.near_duplicates(rows.select("row", "text"), words=5, similarity=(80, 100), id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "row")).alias("first")
+    kept = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first).select("first.row")
+    return rows.join(kept, "row", "left_semi").select("own.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Rows as often as the mix takes them, by the sizes of whole texts.
+
+    A null source is a source, and null, empty or wordless texts are never taken. Rows that
+    repeat an id are documents of their own. Extra columns stay as they are; an empty table
+    gives an empty table.
+    """
     rows = _stored(spark, docs, "pipeline-mixing")
-    taken = mixing.mix(rows, row_col=ROW).where("copies > 0").select(F.col("row").alias(ROW), F.col("copies").alias("mix_copies"))
-    joined = rows.join(taken, ROW)
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(docs.columns)
+    taken = mixing.mix(rows, row_col="row").where("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+    return rows.select("row", "own").join(taken, "row").select("own", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("own.*")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
+    """Token counts and digests of ids and decoded texts: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    One row a row. Null and empty texts have no tokens; extra columns are left out; an empty
+    table gives an empty table.
+    """
     return bpe.digests(bpe.encode(docs, tokenizer_path()))
 
 
