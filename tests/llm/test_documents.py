@@ -393,7 +393,10 @@ def test_lm_traversal_equals_a_walk_by_hand(spark):
         assert math.isclose(total, got[i], rel_tol=1e-9)
 
 
-def test_lm_of_all_ngrams_equals_the_automaton(spark, docs, empty):
+@pytest.mark.parametrize("bucket", [1 << 20, 900])
+def test_lm_of_all_ngrams_equals_the_automaton(spark, docs, empty, monkeypatch, bucket):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", bucket)
+    monkeypatch.setattr(lm, "FLUSH_ROWS", bucket)
     out = language.held_out(F.col("doc_id"), 7, 2)
     train = docs.where(~out)
     base, bare = lm.train(train, Scratch(spark, "t"), share=1.0)
@@ -401,7 +404,7 @@ def test_lm_of_all_ngrams_equals_the_automaton(spark, docs, empty):
     assert len(a.three) > 100 and a.three_counts.min() == 2
     want = sorted(lm.score(docs, vocabulary, a).collect(), key=str)
     for share in (1e-9, 5e-3, 1.0):  # the whole table is broadcast, a part of it, next to nothing
-        got = sorted(lm.score_whole(docs, lm.train_whole(train, Scratch(spark, "t"), share=share)).collect(), key=str)
+        got = sorted(lm.score_whole(docs, lm.train_whole(train, Scratch(spark, "t"), share=share), Scratch(spark, "t")).collect(), key=str)
         assert len(got) == len(want)
         for g, w in zip(sorted(got, key=lambda r: (r.doc_id, r.n_tokens)), sorted(want, key=lambda r: (r.doc_id, r.n_tokens)), strict=True):
             assert g[:4] == w[:4] and math.isclose(g.base_score, w.base_score, rel_tol=1e-9) and math.isclose(g.score, w.score, rel_tol=1e-9)
@@ -413,8 +416,8 @@ def test_lm_of_all_ngrams_equals_the_automaton(spark, docs, empty):
     pair = lm._joined(*(lm.tokens(next(iter(lm.each_slice(lm.pa.array([w]), lower=True)))[2])[0][:1] for w in ("rare", "pair"))).view(np.int64)[0]
     assert model.gains.where(F.col("key") == int(pair)).count() == 1
     nothing = lm.train_whole(empty, Scratch(spark, "t"))
-    assert lm.score_whole(empty, nothing).collect() == []
-    assert [r.n_tokens for r in lm.score_whole(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), nothing).collect()] == [3]
+    assert lm.score_whole(empty, nothing, Scratch(spark, "t")).collect() == []
+    assert [r.n_tokens for r in lm.score_whole(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), nothing, Scratch(spark, "t")).collect()] == [3]
 
 
 def test_quality_counts(spark, docs, corpus):

@@ -7,10 +7,10 @@ order whatever the size of the corpus; that bound is what makes them safe to bro
 An n-gram can only be that frequent if its parts are, so each order is counted among the
 survivors of the order before.
 
-States are the histories that have arcs, and the empty history. An arc carries the
-discounted log-probability of its token; where a state has no arc for a token its failure
-arc carries the log of the mass that the arcs leave, and leads to the history without its
-oldest word. The empty history gives every token log10((c + 1) / (N + V + 1)). After a
+States are the histories that have arcs, and the empty history. A state's failure arc
+carries the log of the mass that discounting its arcs leaves, and leads to the history
+without its oldest word; an arc carries the log of its token's discounted share and of what
+the failure arc would give it besides. The empty history gives every token log10((c + 1) / (N + V + 1)). After a
 token the state is the longest suffix that is a state. As histories have two words at most,
 numpy finds the state before every token of a slice of texts at once, in the order of the
 text, and sums up the arcs taken.
@@ -22,12 +22,14 @@ one row, so no task holds the vocabulary.
 every n-gram that occurs LEAST times, however large the corpus, in a distributed table.
 The weight of a walk is a sum of one gain for each n-gram of the text: a word gives its base
 and its failure arc, an n-gram with an arc what the arc is above the way it replaces, and
-its own failure arc. So scoring is one join of n-grams with gains; gains of the most
-frequent n-grams, 1 / SHARE of each order at most, are broadcast.
+its own failure arc. So scoring is one join of n-grams with gains, in packed blocks: numpy
+counts and looks up within buckets that Spark shuffles. Gains of the most frequent n-grams,
+1 / SHARE of each order at most, are broadcast, which also leaves no hot key to the join.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +44,12 @@ from veldspar.llm.textkit import Words, each_slice, mix64
 SHARE = 2e-6
 LEAST = 2
 DISCOUNT = 0.6
-FLUSH_ROWS = 1 << 20
+FLUSH_ROWS = 1 << 19
+#: Longer n-grams are counted, and n-grams meet their gains, in buckets of about so many tokens, and these in so many turns: what lies on disk at once is a part of them.
+BUCKET_TOKENS = 1 << 18
+PASSES = 3
+MEETINGS = 4
+NONE = np.uint64(0)  #: In place of the word before the first.
 END = np.uint64(0x656E64)
 
 
@@ -105,6 +112,32 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+class Lookup:
+    """Places of keys in a table of well mixed ones, by an index of their leading bits."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.order = np.argsort(table.view(np.uint64))
+        self.table = table.view(np.uint64)[self.order]
+        bits = len(table).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(self.table >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys in the table as it was given, -1 where they are not in it."""
+        keys = keys.view(np.uint64)
+        lead = (keys >> self.shift).astype(np.int64)
+        at, end = self.start[lead], self.start[lead + 1]
+        out = np.full(len(keys), -1)
+        todo = np.flatnonzero(at < end)
+        at, end, keys = at[todo], end[todo], keys[todo]
+        while len(todo):
+            hit = self.table[at] == keys
+            out[todo[hit]] = self.order[at[hit]]
+            going = np.flatnonzero(~hit & (at + 1 < end))
+            todo, at, end, keys = todo[going], at[going] + 1, end[going], keys[going]
+        return out
+
+
 @dataclass
 class Automaton:
     """Sorted arrays of the n-grams that are states or arcs. Words are ids in ``words``; -1 is any other token."""
@@ -122,23 +155,23 @@ class Automaton:
         n = max(len(self.words), 1)
         self.base = np.log10((self.counts + 1) / (self.n_tokens + self.n_types + 1))
         first, last = np.divmod(self.two, n)
-        self.two_arc, self.fail_one = self._weights(first, last, self.two_counts, self.counts, lambda h, w: 10 ** self.base[w])
+        self.two_arc, self.fail_one = self._weights(first, self.two_counts, self.counts, self.base[last])
         history, last = np.divmod(self.three, n)
-        lower = lambda h, w: self._lower(self.two[h] % n, w)
-        self.three_arc, self.fail_two = self._weights(history, last, self.three_counts, self.two_counts, lower)
+        self.three_arc, self.fail_two = self._weights(history, self.three_counts, self.two_counts, self._lower(self.two[history] % n, last))
         self.has_two = np.bincount(history, minlength=len(self.two)) > 0
 
     def _lower(self, word: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Log-probability of tokens after one word."""
         at = _find(self.two, word * max(len(self.words), 1) + token)
-        return 10 ** np.where(at >= 0, self.two_arc[at], self.fail_one[word] + self.base[token]) if len(self.two) else 10 ** self.base[token]
+        return np.where(at >= 0, self.two_arc[at], self.fail_one[word] + self.base[token]) if len(self.two) else self.base[token]
 
-    def _weights(self, history, token, arcs, totals, lower):  # noqa: ANN001, ANN202
-        """Log-weights of the arcs and of each history's failure arc."""
+    def _weights(self, history, arcs, totals, lower):  # noqa: ANN001, ANN202
+        """Log-weights of the arcs and of each history's failure arc, from the log-probabilities ``lower`` one word shorter."""
         total = np.maximum(totals, 1).astype(float)
         p = (arcs - DISCOUNT) / total[history] if len(arcs) else np.zeros(0)
-        left = 1 - np.bincount(history, p, len(totals))
-        below = 1 - np.bincount(history, lower(history, token) if len(arcs) else None, len(totals))
-        return np.log10(p), np.log10(np.maximum(left, 1e-9) / np.maximum(below, 1e-9))
+        taken, n_arcs = np.bincount(history, arcs, len(totals)), np.bincount(history, minlength=len(totals))
+        left = np.where(n_arcs > 0, (totals - taken + n_arcs * DISCOUNT) / total, 1.0)
+        return np.log10(p + left[history] * 10**lower) if len(arcs) else p, np.log10(left)
 
     def score(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log weight of each token without the base of tokens outside ``words``, and word ids."""
@@ -266,36 +299,75 @@ def _grams(hashes: np.ndarray, owner: np.ndarray, order: int) -> tuple[np.ndarra
     return pair[:-1][two], pair[1:][two], owner[2:][two]
 
 
-def _repeated(docs: DataFrame, order: int, least: int) -> DataFrame:
-    """key, h, part and c of the n-grams of ``order`` that occur ``least`` times: identities of the whole and of its parts."""
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each key, rising with it."""
+    return ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
 
-        def merged() -> pa.RecordBatch:
-            h, part = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            _, at, c = np.unique(_joined(h, part), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(part[at].view(np.int64)), pa.array(c, pa.int64())], ["h", "part", "c"])
+def _blocks(bucket: np.ndarray, columns: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The buckets (sorted) that occur, and for each its columns of 64 bits, packed one after the other."""
+    edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return pa.array(bucket[edge], pa.int32()), pa.array([columns[:, i:j].tobytes() for i, j in zip(edge, np.append(edge[1:], len(bucket)), strict=False)], pa.binary())
 
-        for batch in batches:
-            for _, _, found in each_slice(batch.column(0), lower=True):
-                h, part, _ = _grams(*tokens(found), order)
-                held.append((h, part))
-                size += len(h)
-                if size > 2 * FLUSH_ROWS:
-                    yield merged()
-                    held, size = [], 0
-        if held:
-            yield merged()
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, part = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_joined(h, part).view(np.int64)), *batch.columns], ["key", "h", "part", "c"])
 
-    sums = docs.select("text").mapInArrow(counted, "h bigint, part bigint, c bigint").groupBy("h", "part").agg(F.sum("c").alias("c"))
-    return sums.where(F.col("c") >= least).mapInArrow(keyed, "key bigint, h bigint, part bigint, c bigint")
+def _unpacked(data: pa.ChunkedArray, columns: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(columns, -1) for x in data], 1)
+
+
+def _summed(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct triples (u, v, w) with their counts and identities (key, pair), sorted by the identity of (v, w)."""
+    pair = _joined(v, w)
+    key = _joined(_joined(u, v), pair)
+    order = np.argsort(key)
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(key) else np.zeros(0, np.int64)
+    c = np.add.reduceat(c[order], edge) if len(edge) else c
+    first = order[edge]
+    by_pair = np.argsort(pair[first], kind="stable")
+    first = first[by_pair]
+    return u[first], v[first], w[first], c[by_pair], key[first], pair[first]
+
+
+def _repeated(docs: DataFrame, least: int, buckets: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The n-grams of two and of three words that occur ``least`` times, as key, h, part and c: identities of the whole and of its parts.
+
+    A token is counted with the two before it, in the bucket of the last two, so one shuffle
+    counts both orders. Each task adds up FLUSH_ROWS of them before, so a frequent n-gram
+    reaches its bucket no more often than that.
+    """
+
+    def counts(turn: int) -> DataFrame:
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
+
+            def block() -> pa.RecordBatch:
+                u, v, w, c, _, pair = _summed(*np.concatenate(held, 1), np.ones(sum(x.shape[1] for x in held), np.uint64))
+                return pa.RecordBatch.from_arrays(list(_blocks(_bucket(pair, buckets), np.stack([u, v, w, c]))), ["bucket", "data"])
+
+            for batch in batches:
+                for _, _, found in each_slice(batch.column(0), lower=True):
+                    hashes, owner = tokens(found)
+                    before = np.concatenate([[NONE, NONE], np.where(owner[2:] == owner[:-2], hashes[:-2], NONE)])[: len(hashes)]
+                    mine = 1 + np.flatnonzero(owner[1:] == owner[:-1])
+                    mine = mine[_bucket(_joined(hashes[mine - 1], hashes[mine]), buckets) % PASSES == turn]
+                    held.append(np.stack([before[mine], hashes[mine - 1], hashes[mine]]))
+                    if sum(x.shape[1] for x in held) > FLUSH_ROWS:
+                        yield block()
+                        held.clear()
+            if held:
+                yield block()
+
+        def counted(table: pa.Table) -> pa.Table:
+            u, v, w, c, key, pair = _summed(*_unpacked(table["data"], 4))
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(pair) != 0]))
+            both = np.add.reduceat(c, edge)
+            two, three = edge[both >= least], np.flatnonzero((c >= least) & (u != NONE))
+            columns = [np.concatenate(x) for x in ((pair[two], key[three]), (v[two], _joined(u, v)[three]), (w[two], pair[three]), (both[both >= least], c[three]))]
+            return pa.table([pa.array(np.repeat([2, 3], [len(two), len(three)]), pa.int32()), *(pa.array(x.view(np.int64)) for x in columns)], names=["words", "key", "h", "part", "c"])
+
+        return docs.select("text").mapInArrow(packed, "bucket int, data binary").groupBy("bucket").applyInArrow(counted, "words int, key bigint, h bigint, part bigint, c bigint")
+
+    grams = functools.reduce(DataFrame.unionByName, [scratch.save(counts(turn), f"grams-{turn}") for turn in range(PASSES)])
+    return grams.where("words = 2").drop("words"), grams.where("words = 3").drop("words")
 
 
 @dataclass
@@ -307,85 +379,117 @@ class Whole:
 
     n_tokens: int
     n_types: int
+    buckets: int
     gains: DataFrame
     head: np.ndarray
     head_values: np.ndarray  # gain, base, known of each
 
 
-def _failing(arcs: DataFrame) -> DataFrame:
-    """h and the log-weight of its failure arc, from arcs (h, p, lower)."""
-    left, below = (F.greatest(1 - F.sum(c), F.lit(1e-9)) for c in ("p", "lower"))
-    return arcs.groupBy("h").agg(F.log10(left / below).alias("fail"))
-
-
 def train_whole(docs: DataFrame, scratch: Scratch, least: int = LEAST, share: float = SHARE) -> Whole:
     """The model of all words of ``docs`` (text) and all longer n-grams that occur ``least`` times."""
     vocabulary = scratch.save(_counted(docs, lambda hashes, owner: hashes.view(np.int64)), "vocabulary")
     n_tokens, n_types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    two, three = (scratch.save(_repeated(docs, n, least), f"grams{n}") for n in (2, 3))
     unseen = 1.0 / (n_tokens + n_types + 1)
-    one = vocabulary.select("key", "c", ((F.col("c") + 1) * unseen).alias("q"))
-
-    def arcs(grams: DataFrame, shorter: DataFrame) -> DataFrame:  # an n-gram that counts has parts that count
-        history, lower = shorter.select(F.col("key").alias("h"), F.col("c").alias("total")), shorter.select(F.col("key").alias("part"), F.col("q").alias("lower"))
-        return grams.join(history, "h").join(lower, "part").select("key", "h", "c", ((F.col("c") - DISCOUNT) / F.col("total")).alias("q"), "lower").withColumn("p", F.col("q"))
-
-    two = scratch.save(arcs(two, one), "arcs2")
-    three = scratch.save(arcs(three, two), "arcs3")
-    fail_one, fail_two = (scratch.save(_failing(x), f"fail{n}") for n, x in ((1, two), (2, three)))
-
-    def gained(grams: DataFrame, own: DataFrame | None, before: DataFrame | None) -> DataFrame:
-        gain = F.log10("q")
-        if before is not None:
-            grams, gain = grams.join(before.withColumnRenamed("fail", "spent"), "h"), gain - F.col("spent") - F.log10("lower")
-        if own is not None:
-            grams, gain = grams.join(own.withColumnRenamed("h", "key"), "key", "left"), gain + F.coalesce("fail", F.lit(0.0))
-        known = F.lit(0 if before is not None else 1).cast("bigint")
-        base = F.lit(0.0) if before is not None else F.log10("q") - float(np.log10(unseen))
-        return grams.select("key", "c", (gain - (0.0 if before is not None else float(np.log10(unseen)))).alias("gain"), base.alias("base"), known.alias("known"))
-
-    gains = gained(one, fail_one, None).unionByName(gained(two, fail_two, fail_one)).unionByName(gained(three, None, fail_two))
-    gains = scratch.save(gains, "gains")
+    none = float(np.log10(unseen))
+
+    def states(grams: DataFrame, longer: DataFrame) -> DataFrame:
+        """Add ``left``, the mass that the arcs of each n-gram leave; null where it has no arcs."""
+        taken = longer.groupBy("h").agg(F.sum("c").alias("taken"), F.count(F.lit(1)).alias("arcs")).withColumnRenamed("h", "key")
+        left = (F.col("c") - F.col("taken") + F.col("arcs") * DISCOUNT) / F.col("c")
+        return grams.join(taken.hint("shuffle_hash"), "key", "left").withColumn("left", left).drop("taken", "arcs")
+
+    def arcs(grams: DataFrame, shorter: DataFrame, name: str) -> DataFrame:
+        """Add ``q``, the probability of the arc, and ``gain``. An n-gram that counts has parts that count."""
+        history, lower = shorter.select(F.col("key").alias("h"), F.col("c").alias("total"), F.col("left").alias("spare")), shorter.select(F.col("key").alias("part"), F.col("q").alias("lower"))
+        grams = scratch.save(grams.join(history.hint("shuffle_hash"), "h").withColumn("share", (F.col("c") - DISCOUNT) / F.col("total")).drop("h", "total"), f"{name}-shares")
+        way = F.col("spare") * F.col("lower")
+        grams = grams.join(lower.hint("shuffle_hash"), "part").withColumns({"q": F.col("share") + way, "gain": F.log10((F.col("share") + way) / way)})
+        return scratch.save(grams.drop("part", "lower", "share", "spare"), name)
+
+    buckets = max(1, -(-n_tokens // BUCKET_TOKENS))
+    two, three = _repeated(docs, least, buckets, scratch)
+    one = vocabulary.withColumn("q", (F.col("c") + 1) * unseen).withColumn("gain", F.log10("q") - none)
+    one = scratch.save(states(one, two), "one")
+    two = arcs(scratch.save(states(two, three), "two-left"), one, "two")
+    scratch.drop("two-left", "two-shares")
+    three = arcs(three, two, "three")
+    scratch.drop("three-shares", "vocabulary", *(f"grams-{turn}" for turn in range(PASSES)))
+    failing = F.coalesce(F.log10("left"), F.lit(0.0))
+    gains = one.select("key", "c", (F.col("gain") + failing).alias("gain"), F.col("gain").alias("base"), F.lit(1.0).alias("known"))
+    for longer, own in ((two, failing), (three, F.lit(0.0))):
+        gains = gains.unionByName(longer.select("key", "c", (F.col("gain") + own).alias("gain"), F.lit(0.0).alias("base"), F.lit(0.0).alias("known")))
     top = gains.where(F.col("c") >= max(least, int(np.ceil(share * n_tokens)))).toPandas().sort_values("key")  # 1 / share rows of each order at most
-    return Whole(n_tokens, n_types, gains.drop("c"), top["key"].to_numpy(np.int64), top[["gain", "base", "known"]].to_numpy(float))
+    return Whole(n_tokens, n_types, buckets, gains.drop("c"), top["key"].to_numpy(np.int64), top[["gain", "base", "known"]].to_numpy(float))
 
 
-def score_whole(docs: DataFrame, model: Whole, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Like ``score``, by all n-grams of ``model``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.head, model.head_values))
-    kind = docs.schema[id_col].dataType
-    unseen = float(np.log10(1 / (model.n_tokens + model.n_types + 1)))
+def score_whole(docs: DataFrame, model: Whole, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Like ``score``, by all n-grams of ``model``.
 
-    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, values = shared.value
-        for batch in batches:
-            rows = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, found in each_slice(batch.column(2), lower=True):
-                hashes, owner = tokens(found)
-                keys, owners = [hashes], [owner]
-                for order in (2, 3):
-                    h, part, own = _grams(hashes, owner, order)
-                    keys.append(_joined(h, part))
-                    owners.append(own)
-                key, own = np.concatenate(keys).view(np.int64), np.concatenate(owners)
-                at = _find(head, key)
-                hit = at >= 0
-                sums = [np.bincount(own[hit], values[at[hit], k] if len(head) else None, hi - lo) for k in range(3)]
-                rest, n = np.flatnonzero(~hit), hi - lo
-                put = lambda x, t: pa.array(np.concatenate([x, np.zeros(len(rest), x.dtype)]), t, mask=np.arange(n + len(rest)) >= n)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([rows[lo:hi], rows[lo + own[rest]]])), pa.concat_arrays([batch.column(1).slice(lo, n), pa.nulls(len(rest), batch.column(1).type)]),
-                    pa.array(np.concatenate([mix64(rows[lo:hi].astype(np.uint64)).view(np.int64), key[rest]])), pa.array(np.arange(n + len(rest)) >= n),
-                    put(np.bincount(owner, minlength=n), pa.int64()), put(sums[2].astype(np.int64), pa.int64()), put(sums[1].astype(float), pa.float64()), put(sums[0].astype(float), pa.float64()),
-                ], ["row", "doc_id", "gram", "is_gram", "n_tokens", "n_known", "above", "total"])
-
-    schema = f"row bigint, doc_id {kind.simpleString()}, gram bigint, is_gram boolean, n_tokens bigint, n_known bigint, above double, total double"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(walked, schema)
-    seen = rows.join(model.gains, (rows["gram"] == model.gains["key"]) & rows["is_gram"], "left")
-    either = lambda mine, joined, zero: F.sum(F.coalesce(mine, joined, F.lit(zero)))
-    sums = seen.groupBy("row").agg(
-        F.first("doc_id", ignorenulls=True).alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-        either("n_known", "known", 0).alias("n_known"), either("above", "base", 0.0).alias("above"), either("total", "gain", 0.0).alias("total"),
+    Each slice of texts sends its n-grams, packed, to the buckets that hold their gains; what
+    comes back is added up for each document. Frequent n-grams are looked up in the broadcast
+    head on the spot, so a bucket has no hot key.
+    """
+    shared, buckets = docs.sparkSession.sparkContext.broadcast((model.head, model.head_values)), model.buckets
+    least = F.lit(float(np.log10(1 / (model.n_tokens + model.n_types + 1))))
+
+    def emitted(turn: int):  # noqa: ANN202
+        """The n-grams of each slice that are in a bucket of this turn; in the first turn also what the head gives."""
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lookup, values = Lookup(shared.value[0]), shared.value[1]
+            for batch in batches:
+                rows = batch.column(0).to_numpy(zero_copy_only=False)
+                for lo, hi, found in each_slice(batch.column(1), lower=True):
+                    hashes, owner = tokens(found)
+                    keys, owners = [hashes], [owner]
+                    for order in (2, 3):
+                        h, part, own = _grams(hashes, owner, order)
+                        keys.append(_joined(h, part))
+                        owners.append(own)
+                    key, own = np.concatenate(keys), np.concatenate(owners)
+                    at = lookup.find(key)
+                    rest = np.flatnonzero((at < 0) & (_bucket(key, buckets) % MEETINGS == turn))
+                    rest = rest[np.argsort(key[rest])]
+                    names, data = _blocks(_bucket(key[rest], buckets), np.stack([own[rest], key[rest].view(np.int64)]))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), rows[lo])), data, pa.nulls(len(names), pa.binary())], ["bucket", "slice", "grams", "sums"])
+                    if turn == 0:
+                        hit, n = np.flatnonzero(at >= 0), hi - lo
+                        sums = [np.bincount(own[hit], values[at[hit], k] if len(values) else None, n) for k in range(3)]
+                        sums = np.stack([np.arange(n), *sums, np.diff(found.first) + 1]).astype(float)
+                        yield pa.RecordBatch.from_arrays([pa.array([int(rows[lo] % buckets)], pa.int32()), pa.array(rows[lo : lo + 1]), pa.nulls(1, pa.binary()), pa.array([sums.tobytes()], pa.binary())], ["bucket", "slice", "grams", "sums"])
+
+        return emit
+
+    def met(gains: pa.Table, texts: pa.Table) -> pa.Table:
+        lookup, values = Lookup(gains["key"].to_numpy()), [gains[c].to_numpy() for c in ("gain", "base", "known")]
+        out = []
+        for data, sums in zip(texts["grams"], texts["sums"], strict=True):
+            if sums.is_valid:
+                out.append(sums.as_py())
+                continue
+            own, key = np.frombuffer(data.as_py(), np.int64).reshape(2, -1)
+            at = lookup.find(key)
+            hit = np.flatnonzero(at >= 0)
+            mine, found = own[hit], at[hit]
+            docs = np.flatnonzero(np.bincount(mine))
+            out.append(np.stack([docs, *(np.bincount(mine, v[found])[docs] for v in values), np.zeros(len(docs))]).astype(float).tobytes())
+        return pa.table([texts["slice"], pa.array(out, pa.binary())], names=["slice", "data"])
+
+    def added(table: pa.Table) -> pa.Table:
+        own, *values = _unpacked(table["data"], 5).view(np.float64)
+        docs, place = np.unique(own.astype(np.int64), return_inverse=True)
+        return pa.table([pa.array(docs + table["slice"][0].as_py()), *(pa.array(np.bincount(place, v, len(docs)).astype(float)) for v in values)], names=["row", "total", "above", "n_known", "n_tokens"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    table = model.gains.withColumn("bucket", F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(buckets).cast("bigint"), 32).cast("int"))
+    sums = []
+    for turn in range(MEETINGS):
+        mine = table.where(F.col("bucket") % MEETINGS == turn).groupBy("bucket")
+        texts = rows.mapInArrow(emitted(turn), "bucket int, slice bigint, grams binary, sums binary").groupBy("bucket")
+        sums.append(scratch.save(mine.cogroup(texts).applyInArrow(met, "slice bigint, data binary"), f"met-{turn}"))
+    scored = functools.reduce(DataFrame.unionByName, sums).groupBy("slice").applyInArrow(added, "row bigint, total double, above double, n_known double, n_tokens double")
+    scored = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id")).join(scored, "row")
+    return scored.select(
+        "doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.col("n_known").cast("bigint").alias("n_known"), F.lit(model.n_tokens).cast("bigint").alias("train_tokens"),
+        (F.col("above") + F.col("n_tokens") * least).alias("base_score"), (F.col("total") + F.col("n_tokens") * least).alias("score"),
     )
-    least = F.col("n_tokens") * unseen
-    return sums.select("doc_id", "n_tokens", "n_known", F.lit(model.n_tokens).cast("bigint").alias("train_tokens"), (F.col("above") + least).alias("base_score"), (F.col("total") + least).alias("score"))

@@ -48,7 +48,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = language.held_out(F.col("doc_id"), 7, 2)
-    scored = lm.score_whole(docs, lm.train_whole(docs.where(~out), Scratch(spark, "lm")))
+    scratch = Scratch(spark, "lm")
+    scored = lm.score_whole(docs, lm.train_whole(docs.where(~out), scratch), scratch)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
