@@ -56,6 +56,7 @@ _SYMBOL[ord("a") : ord("z") + 1] = np.arange(1, 27)
 for _sign, _letter in STANDS_FOR.items():
     _SYMBOL[ord(_sign)] = _SYMBOL[ord(_letter)]
 _PAIRS = [(j, k) for j in range(1, REACH) for k in range(j + 1, REACH)]
+_WEIGHTS = np.array([DECAY ** (k - 2) for _, k in _PAIRS])
 
 
 def symbols(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +113,11 @@ def _short(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     symbol = np.full(len(owner), EDGE)
     inner = (offset > 0) & (left > 1)
     symbol[inner] = letters[(first[owner] + offset - 1)[inner]]
-    found = [(owner[ok] * SYMBOLS**3 + triple, np.full(len(ok), weight)) for ok, triple, weight in _gapped(symbol, left)]
-    key, weight = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.argsort(key, kind="stable")
-    edge = np.flatnonzero(np.diff(key[order], prepend=-1))
-    owner, triple = np.divmod(key[order[edge]], SYMBOLS**3)
-    return owner, triple, np.add.reduceat(weight[order], edge) if len(edge) else np.zeros(0)
+    found = [(owner[ok] * SYMBOLS**3 + triple) * len(_PAIRS) + n for n, (ok, triple, _) in enumerate(_gapped(symbol, left))]
+    key, code = np.divmod(np.sort(np.concatenate(found)), len(_PAIRS))
+    edge = np.flatnonzero(np.diff(key, prepend=-1))
+    owner, triple = np.divmod(key[edge], SYMBOLS**3)
+    return owner, triple, np.add.reduceat(_WEIGHTS[code], edge) if len(edge) else np.zeros(0)
 
 
 def _whole(data: np.ndarray) -> np.ndarray:
