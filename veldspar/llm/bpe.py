@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from veldspar.llm.textkit import SLICE_BYTES
 
-CACHE_SPANS = 600_000
-CACHE_PIECES = 400_000
-LEARN_SPANS = 50_000
+CACHE_SPANS = 250_000
+CACHE_PIECES = 150_000
+LEARN_SPANS = 25_000
 LONG = 64  #: A failing word of more letters is merged alone, by a heap.
 
 #: Fixed values of the tokenizer's format: its word pattern and the white space it drops.

@@ -64,11 +64,17 @@ def document_vectors(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, di
     alphabet, at = _dense(points)
     same = owner[:-2] == owner[2:]
     base = len(alphabet)  # 1.2 million at most, so codes are below 2**61
-    grams, which = np.unique(((at[:-2] * base + at[1:-1]) * base + at[2:])[same], return_inverse=True)
-    key = np.sort(owner[:-2][same] * len(grams) + which)
+    own, code = owner[:-2][same], ((at[:-2] * base + at[1:-1]) * base + at[2:])[same]
+    wide, names = base**3, None
+    if wide * (hi - lo) >= 1 << 62:
+        names, code = np.unique(code, return_inverse=True)
+        wide = len(names)
+    key = np.sort(own * wide + code)
     edge = np.flatnonzero(np.diff(key, prepend=-1))
     times = np.diff(np.append(edge, len(key))).astype(np.float32)
-    doc, which = np.divmod(key[edge], len(grams))
+    doc, code = np.divmod(key[edge], wide)
+    grams, which = np.unique(code, return_inverse=True)
+    grams = grams if names is None else names[grams]
     letters = letter_vectors(alphabet, dimensions)
     first, second = np.roll(letters, 2, 1), np.roll(letters, 1, 1)
     for g in range(0, len(grams), GRAMS):
@@ -128,10 +134,10 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     has no letter is ``und`` with score 0, and so is every text if there are no prototypes;
     of equal cosines the first language in sort order wins. A text's vector is its own: it does
     not depend on other rows. Texts are read whole, however long. Repeated rows give repeated
-    rows; extra columns are ignored; a value ``carry`` is passed on as ``carried``; an empty
-    table gives an empty table.
+    rows; extra columns are ignored; a value ``carry`` is passed on as ``carried``, and
+    with it text; an empty table gives an empty table.
     """
-    langs = list(prototypes)
+    langs, passing = list(prototypes), carry is not None
     dimensions = len(next(iter(prototypes.values()))) if langs else DIMENSIONS
     matrix = _unit(np.array(list(prototypes.values()))).T if langs else np.zeros((dimensions, 0))
 
@@ -147,11 +153,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
                 names += [langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
                 scores += np.where(known, np.clip(cosine.max(1, initial=0), 0, 1), 0.0).tolist()
             rest = dict(zip(batch.schema.names, batch.columns, strict=True))
-            rest.pop("text")
+            if not passing:
+                rest.pop("text")
             yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([] if carry is None else [carry.alias("carried")]))
-    schema = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(f for f in rows.schema if f.name != "text" or carry is not None), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(predict, schema)
 
 
