@@ -32,8 +32,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     whole. Extra columns stay as they are; an empty table gives an empty table.
     """
     prototypes = language.train(docs.where(~language.held_out(F.col("doc_id"), 4, 2)))
-    found = language.identify(docs, prototypes, carry=F.struct("*")).where(F.col("lang_pred") != language.UNDETERMINED)
-    return found.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col("carried")[c].alias(c) for c in docs.columns))
+    others = [c for c in docs.columns if c not in ("text", "lang")]
+    found = language.identify(docs, prototypes, carry=F.struct(*others)).where(F.col("lang_pred") != language.UNDETERMINED)
+    own = {"text": F.col("text"), "lang": F.col("lang_pred")}
+    return found.select(*(own.get(c, F.col("carried")[c]).alias(c) for c in docs.columns))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
