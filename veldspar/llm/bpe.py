@@ -27,8 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm.textkit import SLICE_BYTES
-
+SLICE_BYTES = 1 << 19
 CACHE_SPANS = 250_000
 CACHE_PIECES = 150_000
 LEARN_SPANS = 25_000

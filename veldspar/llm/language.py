@@ -24,6 +24,7 @@ from veldspar.llm.textkit import mix64, slices, text_bytes
 
 DIMENSIONS = 512
 SCALE = 10_000
+SLICE_BYTES = 1 << 19  #: Of texts that are bundled at a time, or one longer text.
 GRAMS = 1 << 14  #: Trigrams whose vectors are in memory at a time.
 UNDETERMINED = "und"
 _PAD = 0x20
@@ -110,7 +111,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             data, offsets = text_bytes(batch.column(0))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 vectors, count = document_vectors(data, offsets, lo, hi, dimensions)
                 scaled = np.rint(_unit(vectors) * SCALE).astype(np.int64)
                 for lang in set(langs[lo:hi]):
@@ -144,18 +145,18 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            names, scores = [], []
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 vectors, count = document_vectors(data, offsets, lo, hi, dimensions)
                 cosine = _unit(vectors) @ matrix
                 known = (count > 0) & bool(langs)
                 best = cosine.argmax(1) if langs else np.zeros(hi - lo, int)
-                names += [langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
-                scores += np.where(known, np.clip(cosine.max(1, initial=0), 0, 1), 0.0).tolist()
-            rest = dict(zip(batch.schema.names, batch.columns, strict=True))
-            if not passing:
-                rest.pop("text")
-            yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
+                names = [langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
+                scores = np.where(known, np.clip(cosine.max(1, initial=0), 0, 1), 0.0)
+                part = batch.slice(lo, hi - lo)
+                rest = dict(zip(part.schema.names, part.columns, strict=True))
+                if not passing:
+                    rest.pop("text")
+                yield pa.RecordBatch.from_pydict(rest | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([] if carry is None else [carry.alias("carried")]))
     schema = T.StructType([*(f for f in rows.schema if f.name != "text" or carry is not None), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

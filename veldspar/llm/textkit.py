@@ -86,11 +86,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of whole documents of at most SLICE_BYTES, or of one longer document."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of whole documents of at most ``most`` bytes, or of one longer document."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, side="right")) - 1
+        hi = int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1
         hi = min(n, max(hi, lo + 1))
         yield lo, hi
         lo = hi
