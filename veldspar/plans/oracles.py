@@ -96,7 +96,12 @@ WITH RECURSIVE {_REGISTERS}, shaped AS (
 SELECT doc_id, CASE WHEN kept THEN n END AS ord, CASE WHEN kept THEN 'kept' ELSE 'conflict' END AS status, address, data_name, reg_add, reg_type, grp FROM numbered
 """
 
-_TABLE = "[" + ", ".join(str(x) for x in __import__("veldspar.functions.frames", fromlist=["crc_table"]).crc_table()) + "]"
+#: Of each byte the checksum that eight shifts of the reflected polynomial make of it.
+_CRC = """
+crc_steps AS (
+  SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 40961) ELSE c // 2 END) AS v FROM range(256) t(i)
+), crc AS (SELECT list(v ORDER BY i) AS steps FROM crc_steps)
+"""
 _FRAMES = f"""
 bodies AS ({derive.HEX_BODIES}), shaped AS (
   SELECT *, printf('%02X', CAST(slave AS INT)) AS s, printf('%04X', CAST(start AS INT)) || printf('%04X', qty) AS range_hex, printf('%02X', qty * 2) AS n_hex,
@@ -152,8 +157,9 @@ ORACLE_SQL: dict[str, str] = {
     "naming_catalog": """WITH once AS (SELECT p_brand AS code, substr(p_type, 1, 6) AS meaning, min(p_partkey) AS ord FROM part GROUP BY ALL)
         SELECT code, string_agg(trim(meaning), ' / ' ORDER BY ord) AS meaning, min(ord) AS ord FROM (SELECT code, trim(meaning) AS meaning, min(ord) AS ord FROM once GROUP BY ALL) GROUP BY code""",
     "page_text": r"SELECT page_id, regexp_replace(replace(regexp_replace(replace(replace(html, '<br/>', ' '), '<br>', ' '), '<[^>]*(>|$)', '', 'g'), '>', ''), '^\s+|\s+$', '', 'g') AS text FROM pages",
-    "frame_checksums": f"""WITH {_FRAMES}
-        SELECT batch_id, CAST(list_reduce(list_prepend(65535, bytes), lambda c, b: xor(c >> 8, {_TABLE}[(xor(c, b) & 255) + 1])) AS BIGINT) AS crc, CAST(list_sum(bytes) % 256 AS BIGINT) AS additive FROM summed""",
+    "frame_checksums": f"""WITH {_FRAMES}, {_CRC}
+        SELECT batch_id, CAST(list_reduce(list_prepend(CAST(65535 AS BIGINT), CAST(bytes AS BIGINT[])), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])) AS BIGINT) AS crc, CAST(list_sum(bytes) % 256 AS BIGINT) AS additive
+        FROM summed, crc""",
     "frame_decoded": f"""WITH {_FRAMES}
         SELECT batch_id, 'modbusRtu' AS protocol, CAST(slave AS BIGINT) AS slave, CAST(CASE kind WHEN 2 THEN 16 WHEN 4 THEN 32 ELSE 3 END AS BIGINT) AS function_code,
           CASE WHEN kind <> 1 THEN start END AS start_address, CASE WHEN kind <> 1 THEN CAST(qty AS BIGINT) END AS quantity, CASE WHEN kind IN (1, 2, 4) THEN CAST(qty * 2 AS BIGINT) END AS byte_count,
@@ -168,8 +174,8 @@ ORACLE_SQL: dict[str, str] = {
     "register_match_diagnostics": f"""WITH {_FRAMES}, seen AS (
           SELECT DISTINCT unnest(range(start, start + qty)) AS address FROM bodies WHERE kind <> 2
         ), inside AS (SELECT address FROM seen WHERE address <= 65535)
-        SELECT (SELECT count(*) FROM part) AS extracted_count, count(*) FILTER (address IN (SELECT p_partkey FROM part)) AS matched_count,
-          count(*) FILTER (address NOT IN (SELECT p_partkey FROM part)) AS n_unmatched FROM inside""",
+        SELECT (SELECT count(*) FROM part) AS extracted_count, count(*) FILTER (address IN (SELECT p_partkey % 65536 FROM part)) AS matched_count,
+          count(*) FILTER (address NOT IN (SELECT p_partkey % 65536 FROM part)) AS n_unmatched FROM inside""",
     "register_interpretations": f"""WITH b AS ({derive.HEX_BODIES}), x AS (SELECT batch_id, CAST(value AS BIGINT) * 65536 + start AS u32, value // 256 AS b0, value % 256 AS b1, start // 256 AS b2, start % 256 AS b3 FROM b), y AS (
           SELECT batch_id, CAST(b0 AS BIGINT) AS u8, CAST(b0 * 256 + b1 AS BIGINT) AS u16, u32, CAST(b1 * 256 + b0 AS BIGINT) AS l16, CAST(b3 * 16777216 + b2 * 65536 + b1 * 256 + b0 AS BIGINT) AS l32 FROM x)
         SELECT batch_id, CASE WHEN u8 >= 128 THEN u8 - 256 ELSE u8 END AS big_int8, CASE WHEN u16 >= 32768 THEN u16 - 65536 ELSE u16 END AS big_int16, CASE WHEN u32 >= 2147483648 THEN u32 - 4294967296 ELSE u32 END AS big_int32,

@@ -24,11 +24,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.entries(derive.log_lines(spark, sf_dir))
+    return logs.parsed(derive.log_lines(spark, sf_dir))
 
 
 def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, sf_dir)
+    return logs.entries(derive.log_lines(spark, sf_dir))
 
 
 def log_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def log_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.summary(_entries(spark, sf_dir))
+    return logs.summary(logs.entries(derive.log_lines(spark, sf_dir)))
 
 
 def log_serial_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part")
     kind = F.col("p_partkey") % 9 + 4
     text = lambda c: c.cast("string")
-    address = F.pmod(F.col("p_partkey") - 1, F.lit(65535)) + 1  # 16 bits at any size; of all keys 1 to n, those up to 65535 are the addresses
+    address = F.col("p_partkey") % 65536  # 16 bits at any size
     endian = F.when(kind.isin(8, 9, 12), F.col("p_partkey") % 4).otherwise(F.col("p_partkey") % 2)
     rows = part.select(
         F.col("p_partkey").alias("ord"), F.lit("1").alias("id"), F.lit("1").alias("group"), F.concat(F.lit("DOC_"), "p_brand").alias("data_name"), F.lit("V").alias("unit"),
