@@ -54,6 +54,26 @@ def test_stacks_and_runs_do_not_depend_on_blocks(spark, monkeypatch, block):
     rows = logs.entries(_lines(spark, *files))
     assert sorted((r.file_ord, r.line_no, r.has_stack) for r in rows.collect()) == want
     assert [[r.hour, r.entries] for r in logs.heatmap(rows).collect()] == runs
+    assert sorted(map(tuple, logs.parsed(_lines(spark, *files)).collect())) == sorted(tuple(r)[:-1] for r in rows.collect())
+
+
+@pytest.mark.parametrize("block", [1, 3, 100_000])
+def test_stuck_threads_do_not_depend_on_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(logs, "BLOCK_LINES", block)
+    rng = random.Random(5)
+    files, want, open_at = [], [], {}
+    for _ in range(3):
+        lines = []
+        for _ in range(50):
+            thread, start, cost = rng.choice("ab"), rng.random() < 0.5, rng.choice([9000, 10_001, 20_000])
+            ts = f"2026-07-20 10:00:{rng.randrange(60):02d}.{rng.randrange(1000):03d}"
+            lines.append(f"{ts} [INFO][{thread}][c:1] " + ("[DISPATCH-START]" if start else f"[DISPATCH-END] cost={cost}ms"))
+            if not start and open_at.get(thread) and cost > 10_000:
+                want.append((thread, open_at[thread], ts, cost))
+            open_at[thread] = ts if start else None
+        files.append(lines)
+    got = logs.stuck_threads(logs.parsed(_lines(spark, *files))).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want
 
 
 def test_categories_and_extraction(spark):

@@ -17,31 +17,45 @@ BLOCK_LINES = 100_000
 ORDER = ("file_ord", "line_no")
 
 
+def _kept(lines: DataFrame) -> DataFrame:
+    """Stack lines and entries: file_ord, line_no, stack and the trimmed text, each matched once."""
+    rows = lines.select(*ORDER, fn.is_stack(F.col("line")).alias("stack"), fn.trimmed(F.col("line")).alias("text"))
+    return rows.where(F.col("stack") | F.col("text").rlike(fn.LINE))
+
+
+def _fields(rows: DataFrame, *more: str) -> DataFrame:
+    """Parts of texts that have the line layout. As that is known, signs that a part cannot hold bound it."""
+    rest = rows.withColumn("rest", F.expr("substring(text, 26)"))
+    for name, sign, gap in (("level", "]", 2), ("thread", "]", 2), ("class", ":", 1), ("line", "]", 2)):
+        rest = rest.withColumn(name, F.substring_index("rest", sign, 1))
+        rest = rest.withColumn("rest", F.expr(f"substring(rest, length({name}) + {gap + 1})"))
+    line = F.coalesce(fn.unsigned(F.col("line"), 2**32 - 1), F.lit(0)).cast("bigint")
+    return rest.select(*ORDER, F.substring("text", 1, 23).alias("ts"), "thread", "class", line.alias("line"), F.col("rest").alias("message"), *more)
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Entries of the lines with file_ord, line_no, ts, thread, class, line, message. Nothing is shuffled."""
+    return _fields(_kept(lines).where("not stack"))
+
+
 def entries(lines: DataFrame) -> DataFrame:
-    """Entries of the lines with file_ord, line_no, ts, thread, class, line, message, has_stack.
+    """Entries of the lines as ``parsed`` gives them, and has_stack.
 
     Lines that begin with a tab mark the entry before them in the same file; other lines
     that are not entries are dropped and change nothing.
     """
-    text = fn.trimmed(F.col("line"))
-    part = lambda k: F.regexp_extract(text, fn.LINE, k)
-    rows = lines.withColumn("stack", fn.is_stack(F.col("line"))).where(F.col("stack") | text.rlike(fn.LINE))
-    rows = rows.select(
-        *ORDER, "stack", part(1).alias("ts"), part(3).alias("thread"), part(4).alias("class"),
-        F.coalesce(fn.unsigned(part(5), 2**32 - 1), F.lit(0)).cast("bigint").alias("line"), part(6).alias("message"),
-        F.floor(F.col("line_no") / BLOCK_LINES).alias("block"),
-    )
+    rows = _kept(lines).withColumn("block", F.floor(F.col("line_no") / BLOCK_LINES))
     along = Window.partitionBy("file_ord", "block").orderBy("line_no")
     rows = rows.withColumn("follows", F.lead("stack").over(along))
     # A block that begins with stack lines marks the last entry of the blocks before it.
     first = F.min_by("stack", "line_no").alias("first_stack")
-    blocks = rows.groupBy("file_ord", "block").agg(first, F.max(F.when(~F.col("stack"), F.col("line_no"))).alias("last_entry"))
+    blocks = rows.select("file_ord", "line_no", "block", "stack").groupBy("file_ord", "block").agg(first, F.max(F.when(~F.col("stack"), F.col("line_no"))).alias("last_entry"))
     below = Window.partitionBy("file_ord").orderBy("block")
     spilled = blocks.withColumn("owner", F.last("last_entry", ignorenulls=True).over(below.rowsBetween(Window.unboundedPreceding, -1)))
     spilled = spilled.where("first_stack and owner is not null").select("file_ord", F.col("owner").alias("line_no"), F.lit(True).alias("spilled")).distinct()
     found = rows.where("not stack").join(spilled, list(ORDER), "left")
     marked = F.coalesce("follows", F.lit(False)) | F.coalesce("spilled", F.lit(False))
-    return found.select(*ORDER, "ts", "thread", "class", "line", "message", marked.alias("has_stack"))
+    return _fields(found.withColumn("has_stack", marked), "has_stack")
 
 
 def categorised(rows: DataFrame) -> DataFrame:
@@ -110,29 +124,42 @@ def summary(rows: DataFrame) -> DataFrame:
 def heatmap(rows: DataFrame, minutes: int = 10) -> DataFrame:
     """Runs of consecutive entries in one time bucket: run, hour, entries.
 
-    Unsorted input repeats buckets. Runs are found within blocks of lines and joined where
-    a block goes on with the bucket that ended the one before; the window over all holds a row a run.
+    Unsorted input repeats buckets. Runs are found within blocks of lines, and go on where a
+    block begins with the bucket that ended the one before. What is ordered as a whole is a
+    row a block: its first and last bucket and how many runs it has.
     """
     if minutes <= 0:
         raise ValueError("a bucket has a minute at least")
+    block = ["file_ord", "block"]
     keyed = rows.select(*ORDER, fn.bucket(F.col("ts"), minutes).alias("hour"), F.floor(F.col("line_no") / BLOCK_LINES).alias("block")).where("hour is not null")
-    along = Window.partitionBy("file_ord", "block").orderBy("line_no")
+    along = Window.partitionBy(*block).orderBy("line_no")
     keyed = keyed.withColumn("new", F.coalesce((F.col("hour") != F.lag("hour").over(along)).cast("int"), F.lit(1)))
     keyed = keyed.withColumn("piece", F.sum("new").over(along))
-    pieces = keyed.groupBy("file_ord", "block", "piece").agg(F.first("hour").alias("hour"), F.count(F.lit(1)).alias("entries"))
-    whole = Window.orderBy("file_ord", "block", "piece")
-    pieces = pieces.withColumn("new", F.coalesce((F.col("hour") != F.lag("hour").over(whole)).cast("int"), F.lit(1)))
-    return pieces.withColumn("run", F.sum("new").over(whole)).groupBy("run").agg(F.first("hour").alias("hour"), F.sum("entries").alias("entries")).orderBy("run")
+    pieces = keyed.groupBy(*block, "piece").agg(F.first("hour").alias("hour"), F.count(F.lit(1)).alias("entries"))
+    blocks = pieces.groupBy(*block).agg(F.min_by("hour", "piece").alias("first"), F.max_by("hour", "piece").alias("last"), F.max("piece").alias("pieces"))
+    whole = Window.orderBy(*block)
+    blocks = blocks.withColumn("goes_on", F.coalesce((F.col("first") == F.lag("last").over(whole)).cast("int"), F.lit(0)))
+    before = F.sum(F.col("pieces") - F.col("goes_on")).over(whole) - F.col("pieces")  # so that piece 1 of a block that goes on has the run before
+    runs = pieces.join(blocks.select(*block, before.alias("before")), block).withColumn("run", F.col("before") + F.col("piece"))
+    return runs.groupBy("run").agg(F.first("hour").alias("hour"), F.sum("entries").alias("entries")).orderBy("run")
 
 
 def stuck_threads(rows: DataFrame, threshold_ms: int = 10_000) -> DataFrame:
-    """Dispatches that took more than ``threshold_ms``: an end whose thread's dispatch mark before it is a start."""
+    """Dispatches that took more than ``threshold_ms``: an end whose thread's dispatch mark before it is a start.
+
+    Marks are paired within blocks of lines; what is ordered for a whole thread is a row a
+    block, its last mark.
+    """
     starts, ends = F.col("message").startswith("[DISPATCH-START]"), F.col("message").startswith("[DISPATCH-END]")
-    marks = rows.where(starts | ends).select(*ORDER, "thread", "ts", starts.alias("starts"), fn.dispatch_cost(F.col("message")).alias("duration_ms"))
-    along = Window.partitionBy("thread").orderBy(*ORDER)
-    marks = marks.withColumns({"opened": F.lag("starts").over(along), "start_time": F.lag("ts").over(along)})
-    found = marks.where(~F.col("starts") & F.col("opened") & (F.col("duration_ms") > threshold_ms))
-    return found.select("thread", "start_time", F.col("ts").alias("end_time"), F.col("duration_ms").cast("bigint").alias("duration_ms")).orderBy(F.desc("duration_ms"), "end_time", "thread")
+    mark = F.struct(starts.alias("starts"), "ts").alias("mark")
+    marks = rows.where(starts | ends).select("thread", *ORDER, F.floor(F.col("line_no") / BLOCK_LINES).alias("block"), mark, fn.dispatch_cost(F.col("message")).alias("duration_ms"))
+    block = ["thread", "file_ord", "block"]
+    last = marks.groupBy(*block).agg(F.max_by("mark", "line_no").alias("last"))
+    last = last.select(*block, F.lag("last").over(Window.partitionBy("thread").orderBy("file_ord", "block")).alias("earlier"))
+    marks = marks.withColumn("before", F.lag("mark").over(Window.partitionBy(*block).orderBy("line_no"))).join(last, block)
+    marks = marks.withColumn("before", F.coalesce("before", "earlier"))
+    found = marks.where(~F.col("mark.starts") & F.col("before.starts") & (F.col("duration_ms") > threshold_ms))
+    return found.select("thread", F.col("before.ts").alias("start_time"), F.col("mark.ts").alias("end_time"), F.col("duration_ms").cast("bigint").alias("duration_ms")).orderBy(F.desc("duration_ms"), "end_time", "thread")
 
 
 def samples(rows: DataFrame, per_category: int = 5) -> DataFrame:
