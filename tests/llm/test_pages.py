@@ -49,6 +49,33 @@ def test_markup_that_is_not_closed_loses_no_text():
     assert [b.text for b in html_text.leaf_blocks("<script>a</script><style>b</style><title>c</title><textarea>d</textarea><iframe>e</iframe>f")] == ["f"]
 
 
+def test_broken_markup_takes_linear_time():
+    import time
+
+    n = 20_000
+    pages = ['<a "' * n, '<a "' * n + ">", "<b " * n + '="' + '>"', '<a ="' * n + '>"', "<a ='\"" * n + ">", '<i ="<i =\'' * n, "<div>x" * n, "<div>" * n + "</x>" * n + "y", "<script>" + "</script" * n, "<!-- " * n, "</" * n, "<div class='a b c'>" * n + "z" + "</div>" * n]
+    for page in pages:
+        began = time.process_time()
+        html_text.leaf_blocks(page)
+        assert time.process_time() - began < 5, page[:20]
+
+
+def test_blocks_by_hand():
+    """Pages made from known blocks, with inline markup, raw elements and broken tags between and within them."""
+    import random
+
+    rng = random.Random(7)
+    inline = ["<b>{}</b>", "<a href='>'>{}</a>", "{}<script>if (a < b) x('<p>')</script>", "<svg viewBox='0 0 1 1'><path d='M0'/><title>no</title></svg>{}", "{}<!-- <p> -->", "<em class=\"x > y\">{}</em>", "<math><mi>{}</mi></math>", "{}<style>p > a {{}}</style>", "{}<img alt='<p>'>", "<span \" >{}</span>"]
+    around = ["<p>{}</p>", "<p>{}", "<div class='a'><div>{}</div></div>", "<ul><li>{}</ul>", "<table><tr><td>{}</table>", "<section id=s>{}</section>", "<h2>{}</h2>", "<blockquote><p>{}</blockquote>"]
+    for _ in range(300):
+        page, want = rng.choice(["", "<!DOCTYPE html><html><head><title>t</title>", "<head><meta charset=utf-8></head><body>"]), []
+        for _ in range(rng.randrange(1, 8)):
+            words = [f"w{rng.randrange(1000)}" for _ in range(rng.randrange(1, 6))]
+            want.append(" ".join(words))
+            page += rng.choice(around).format(" ".join(rng.choice([*inline, "{}", "{}"]).format(w) for w in words))
+        assert [b.text for b in html_text.leaf_blocks(page)] == want, page
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 import functools
 import html
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,13 +30,16 @@ OUTPUT_BYTES = 8 << 20
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 INLINE |= frozenset("math annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE |= frozenset("svg g path rect circle ellipse line polyline polygon text tspan textpath defs use symbol marker mask pattern lineargradient radialgradient stop clippath desc animate".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Skipped up to the closing tag: their content is not markup.
 RAW = frozenset("script style textarea title iframe".split())
 #: An opening tag of the key ends an open element of the value's tags, up to the nearest other block.
 ENDS = {"li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
+#: Quotes hold a tag open where they begin a value; what else they stand for is of no account.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*')|=)*+)>|<[!?/][^>]*>""", re.S)
+_VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _PARTS = re.compile(r"[A-Za-z][a-z]*")
@@ -67,6 +72,8 @@ def _own_features(tag: str, attributes: str) -> tuple[str, ...]:
 class _Scan:
     blocks: list[Block] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
+    tags: Counter = field(default_factory=Counter)  # of the open elements
+    above: Counter = field(default_factory=Counter)  # features of the open elements
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     link_depth: int = 0
@@ -75,9 +82,8 @@ class _Scan:
         if self.pieces:
             text = _SPACE.sub(" ", html.unescape("".join(self.pieces))).strip(" ")
             if text:
-                above = tuple(dict.fromkeys(f for o in self.stack for f in o.features))
                 own = f"own:{self.stack[-1].tag}" if self.stack else "own:"
-                self.blocks.append(Block(text, (*above, own), min(self.linked, len(text))))
+                self.blocks.append(Block(text, (*self.above, own), min(self.linked, len(text))))
         self.pieces, self.linked = [], 0
 
     def text(self, raw: str) -> None:
@@ -86,27 +92,65 @@ class _Scan:
             if self.link_depth:
                 self.linked += len(raw)
 
+    def pop(self) -> str:
+        last = self.stack.pop()
+        self.tags[last.tag] -= 1
+        for f in last.features:
+            self.above[f] -= 1
+            if not self.above[f]:
+                del self.above[f]
+        return last.tag
+
     def close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].tag == tag:
-                del self.stack[k:]
-                return
+        while self.tags[tag] and self.pop() != tag:
+            pass
 
     def open(self, tag: str, attributes: str) -> None:
         ends = ENDS.get(tag, {"p"})
         while self.stack and self.stack[-1].tag in ends:
-            self.stack.pop()
+            self.pop()
         if tag not in ("option", "optgroup", "hr"):  # nothing else stands in a select
             self.close("select")
         if tag not in VOID:
             self.stack.append(_Open(tag, _own_features(tag, attributes)))
+            self.tags[tag] += 1
+            self.above.update(self.stack[-1].features)
+
+
+class _Tags:
+    """Tags of a page, found from left to right in linear time.
+
+    A tag that does not end before the page does is text. It has then been read to the end,
+    and so fails each tag that begins within it but in none of its quoted values; ``failed``
+    keeps where those begin and end.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.last = source, source.rfind(">")
+        self.failed: list[tuple[list[int], list[int]]] = []
+
+    def after(self, at: int) -> re.Match | None:
+        """The first tag that begins at ``at`` or behind it."""
+        while 0 <= (at := self.source.find("<", at)):
+            comment = self.source.startswith(("<!--", "<![CDATA["), at)
+            if at > self.last and not comment:
+                at += 1
+                continue
+            if comment or not any((k := bisect_right(begins, at)) == 0 or ends[k - 1] <= at for begins, ends in self.failed):
+                if m := _TAG.match(self.source, at):
+                    return m
+                if re.match("</?[a-zA-Z]", self.source[at : at + 3]):
+                    values = [m.span() for m in _VALUE.finditer(self.source, at)]
+                    self.failed.append(([a for a, _ in values], [b for _, b in values]))
+            at += 1
+        return None
 
 
 def leaf_blocks(source: str) -> list[Block]:
     """Non-empty leaf blocks of a page in order. Markup that never closes ends with the page."""
-    scan, at, n = _Scan(), 0, len(source)
+    scan, tags, at, n = _Scan(), _Tags(source), 0, len(source)
     while at < n:
-        m = _TAG.search(source, at)
+        m = tags.after(at)
         if not m:
             scan.text(source[at:])
             break
@@ -115,14 +159,12 @@ def leaf_blocks(source: str) -> list[Block]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if m[3].endswith("/") and not closing and (tag == "svg" or any(o.tag == "svg" for o in scan.stack)):
-            scan.flush()
-        elif tag == "head":  # may lack its closing tag; what may stand in it has no text but that of RAW
-            scan.flush()
-        elif tag in RAW and not closing:
+        if tag == "head":  # may lack its closing tag; what may stand in it has no text but that of RAW
             scan.flush()
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
+        elif tag in RAW:
+            if not closing and not (tag in ("title", "style") and m[3].endswith("/")):
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+                at = source.find(">", end.end()) + 1 or n if end else n
         elif tag == "a":
             scan.link_depth = 0 if closing else 1
         elif tag == "br":
@@ -249,7 +291,8 @@ def main_text(source: str, model: Field) -> str:
 def extract(table: DataFrame, model: Field | None = None) -> DataFrame:
     """One row per page: page_id, url, text.
 
-    Null or empty html, and pages without an article, give the empty text. Repeated rows
+    Null or empty html, and pages without an article, give the empty text. Pages are read
+    whole, in time about linear in the length, however broken their markup. Repeated rows
     give repeated rows; extra columns are ignored; an empty table gives an empty table.
     """
     model = model or trained()
