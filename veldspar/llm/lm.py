@@ -46,7 +46,7 @@ LEAST = 2
 DISCOUNT = 0.6
 FLUSH_ROWS = 1 << 19
 #: Longer n-grams are counted, and n-grams meet their gains, in buckets of about so many tokens, and these in so many turns: what lies on disk at once is a part of them.
-BUCKET_TOKENS = 1 << 18
+BUCKET_TOKENS = 1 << 19
 PASSES = 3
 MEETINGS = 4
 NONE = np.uint64(0)  #: In place of the word before the first.
