@@ -48,7 +48,7 @@ FLUSH_ROWS = 1 << 19
 #: Longer n-grams are counted, and n-grams meet their gains, in buckets of about so many tokens, and these in so many turns: what lies on disk at once is a part of them.
 BUCKET_TOKENS = 1 << 19
 PASSES = 3
-MEETINGS = 4
+MEETINGS = 3
 NONE = np.uint64(0)  #: In place of the word before the first.
 END = np.uint64(0x656E64)
 
@@ -56,7 +56,10 @@ END = np.uint64(0x656E64)
 def tokens(found: Words) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of a slice, every document closed by END, and the index of its document."""
     n_docs = len(found.first) - 1
-    hashes = np.insert(found.hashes(), found.first[1:], END)
+    word = np.ones(len(found.start) + n_docs, bool)
+    word[found.first[1:] + np.arange(n_docs)] = False
+    hashes = np.full(len(word), END)
+    hashes[word] = found.hashes()
     return hashes, np.repeat(np.arange(n_docs), np.diff(found.first) + 1)
 
 
@@ -121,20 +124,26 @@ class Lookup:
         bits = len(table).bit_length() + 2
         self.shift = np.uint64(64 - bits)
         self.start = np.searchsorted(self.table >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.crowded = np.diff(self.start) > 1
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys in the table as it was given, -1 where they are not in it."""
         keys = keys.view(np.uint64)
+        if not len(self.table):
+            return np.full(len(keys), -1)
         lead = (keys >> self.shift).astype(np.int64)
-        at, end = self.start[lead], self.start[lead + 1]
-        out = np.full(len(keys), -1)
-        todo = np.flatnonzero(at < end)
-        at, end, keys = at[todo], end[todo], keys[todo]
+        at = np.minimum(self.start[lead], len(self.table) - 1)
+        hit = self.table[at] == keys
+        out = np.where(hit, self.order[at], -1)
+        todo = np.flatnonzero(~hit & self.crowded[lead])
+        at, end, keys = at[todo], self.start[lead[todo] + 1], keys[todo]
         while len(todo):
+            going = np.flatnonzero(at + 1 < end)
+            todo, at, end, keys = todo[going], at[going] + 1, end[going], keys[going]
             hit = self.table[at] == keys
             out[todo[hit]] = self.order[at[hit]]
-            going = np.flatnonzero(~hit & (at + 1 < end))
-            todo, at, end, keys = todo[going], at[going] + 1, end[going], keys[going]
+            going = np.flatnonzero(~hit)
+            todo, at, end, keys = todo[going], at[going], end[going], keys[going]
         return out
 
 
@@ -310,21 +319,38 @@ def _blocks(bucket: np.ndarray, columns: np.ndarray) -> tuple[pa.Array, pa.Array
     return pa.array(bucket[edge], pa.int32()), pa.array([columns[:, i:j].tobytes() for i, j in zip(edge, np.append(edge[1:], len(bucket)), strict=False)], pa.binary())
 
 
+def _sent(bucket: np.ndarray, own: np.ndarray, key: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Like ``_blocks``, of documents in 32 bits and keys in 64."""
+    edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return pa.array(bucket[edge], pa.int32()), pa.array([key[i:j].tobytes() + own[i:j].tobytes() for i, j in zip(edge, np.append(edge[1:], len(bucket)), strict=False)], pa.binary())
+
+
+def _received(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and keys of a block of ``_sent``."""
+    n = len(data) // 12
+    return np.frombuffer(data, np.uint32, n, 8 * n), np.frombuffer(data, np.uint64, n)
+
+
 def _unpacked(data: pa.ChunkedArray, columns: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(columns, -1) for x in data], 1)
 
 
 def _summed(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct triples (u, v, w) with their counts and identities (key, pair), sorted by the identity of (v, w)."""
+    """Distinct triples (u, v, w) with their counts and identities (key, pair)."""
     pair = _joined(v, w)
     key = _joined(_joined(u, v), pair)
     order = np.argsort(key)
     edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(key) else np.zeros(0, np.int64)
     c = np.add.reduceat(c[order], edge) if len(edge) else c
     first = order[edge]
-    by_pair = np.argsort(pair[first], kind="stable")
-    first = first[by_pair]
-    return u[first], v[first], w[first], c[by_pair], key[first], pair[first]
+    return u[first], v[first], w[first], c, key[first], pair[first]
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings keys together by bucket and else leaves them as they are, and their buckets in it."""
+    bucket = _bucket(keys, buckets)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")  # 16 bits are sorted by their digits
+    return order, bucket[order]
 
 
 def _repeated(docs: DataFrame, least: int, buckets: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -341,7 +367,8 @@ def _repeated(docs: DataFrame, least: int, buckets: int, scratch: Scratch) -> tu
 
             def block() -> pa.RecordBatch:
                 u, v, w, c, _, pair = _summed(*np.concatenate(held, 1), np.ones(sum(x.shape[1] for x in held), np.uint64))
-                return pa.RecordBatch.from_arrays(list(_blocks(_bucket(pair, buckets), np.stack([u, v, w, c]))), ["bucket", "data"])
+                order, bucket = _by_bucket(pair, buckets)
+                return pa.RecordBatch.from_arrays(list(_blocks(bucket, np.stack([u, v, w, c])[:, order])), ["bucket", "data"])
 
             for batch in batches:
                 for _, _, found in each_slice(batch.column(0), lower=True):
@@ -357,7 +384,9 @@ def _repeated(docs: DataFrame, least: int, buckets: int, scratch: Scratch) -> tu
                 yield block()
 
         def counted(table: pa.Table) -> pa.Table:
-            u, v, w, c, key, pair = _summed(*_unpacked(table["data"], 4))
+            sums = _summed(*_unpacked(table["data"], 4))
+            by_pair = np.argsort(sums[-1])
+            u, v, w, c, key, pair = (x[by_pair] for x in sums)
             edge = np.flatnonzero(np.concatenate([[True], np.diff(pair) != 0]))
             both = np.add.reduceat(c, edge)
             two, three = edge[both >= least], np.flatnonzero((c >= least) & (u != NONE))
@@ -433,7 +462,7 @@ def score_whole(docs: DataFrame, model: Whole, scratch: Scratch, id_col: str = "
     least = F.lit(float(np.log10(1 / (model.n_tokens + model.n_types + 1))))
 
     def emitted(turn: int):  # noqa: ANN202
-        """The n-grams of each slice that are in a bucket of this turn; in the first turn also what the head gives."""
+        """The n-grams of each slice that are in a bucket of this turn, and what the head gives for them; in the first turn also the tokens."""
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lookup, values = Lookup(shared.value[0]), shared.value[1]
@@ -446,17 +475,18 @@ def score_whole(docs: DataFrame, model: Whole, scratch: Scratch, id_col: str = "
                         h, part, own = _grams(hashes, owner, order)
                         keys.append(_joined(h, part))
                         owners.append(own)
-                    key, own = np.concatenate(keys), np.concatenate(owners)
+                    key, own = np.concatenate(keys), np.concatenate(owners).astype(np.uint32)
+                    mine = np.flatnonzero(_bucket(key, buckets) % MEETINGS == turn)
+                    key, own, n = key[mine], own[mine], hi - lo
                     at = lookup.find(key)
-                    rest = np.flatnonzero((at < 0) & (_bucket(key, buckets) % MEETINGS == turn))
-                    rest = rest[np.argsort(key[rest])]
-                    names, data = _blocks(_bucket(key[rest], buckets), np.stack([own[rest], key[rest].view(np.int64)]))
+                    rest = np.flatnonzero(at < 0)
+                    order, bucket = _by_bucket(key[rest], buckets)
+                    names, data = _sent(bucket, own[rest[order]], key[rest[order]])
                     yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), rows[lo])), data, pa.nulls(len(names), pa.binary())], ["bucket", "slice", "grams", "sums"])
-                    if turn == 0:
-                        hit, n = np.flatnonzero(at >= 0), hi - lo
-                        sums = [np.bincount(own[hit], values[at[hit], k] if len(values) else None, n) for k in range(3)]
-                        sums = np.stack([np.arange(n), *sums, np.diff(found.first) + 1]).astype(float)
-                        yield pa.RecordBatch.from_arrays([pa.array([int(rows[lo] % buckets)], pa.int32()), pa.array(rows[lo : lo + 1]), pa.nulls(1, pa.binary()), pa.array([sums.tobytes()], pa.binary())], ["bucket", "slice", "grams", "sums"])
+                    hit = np.flatnonzero(at >= 0)
+                    sums = [np.bincount(own[hit], values[at[hit], k] if len(values) else None, n) for k in range(3)]
+                    sums = np.stack([np.arange(n), *sums, np.diff(found.first) + 1 if turn == 0 else np.zeros(n)]).astype(float)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(rows[lo] % buckets)], pa.int32()), pa.array(rows[lo : lo + 1]), pa.nulls(1, pa.binary()), pa.array([sums.tobytes()], pa.binary())], ["bucket", "slice", "grams", "sums"])
 
         return emit
 
@@ -467,7 +497,7 @@ def score_whole(docs: DataFrame, model: Whole, scratch: Scratch, id_col: str = "
             if sums.is_valid:
                 out.append(sums.as_py())
                 continue
-            own, key = np.frombuffer(data.as_py(), np.int64).reshape(2, -1)
+            own, key = _received(data.as_py())
             at = lookup.find(key)
             hit = np.flatnonzero(at >= 0)
             mine, found = own[hit], at[hit]

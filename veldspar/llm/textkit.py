@@ -20,10 +20,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+#: Words of up to so many bytes are hashed by eight bytes at a time.
+_SHORT = 64
 
 
 def _powers(n: int, base: np.uint64) -> np.ndarray:
@@ -55,13 +53,30 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit identity of every word."""
-        n = len(self.data)
         if not len(self.start):
             return np.zeros(0, np.uint64)
+        size = self.end - self.start
+        eight = np.ndarray(len(self.data) + 1, "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), 0, 1)  # the eight bytes from each place on
+
+        def read(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+            return eight[at] << (np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8))
+
+        out = mix64(np.where(size > 0, read(self.start, np.maximum(size, 1)), np.uint64(0)) + size.astype(np.uint64) * _BASE)
+        going = np.flatnonzero((size > 8) & (size <= _SHORT))
+        for done in range(8, _SHORT, 8):
+            out[going] = mix64(out[going] + mix64(read(self.start[going] + done, size[going] - done)))
+            going = going[size[going] > done + 8]
+        long = np.flatnonzero(size > _SHORT)
+        if len(long):
+            out[long] = self._long(self.start[long], self.end[long])
+        return out
+
+    def _long(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Identities of words of any length, from running sums over all bytes."""
+        n = len(self.data)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE_CODE[self.data] * _cached(n, _BASE)[:n], out=total[1:])
-        raw = (total[self.end] - total[self.start]) * _cached(n, _INVERSE)[self.start]
-        return mix64(raw + (self.end - self.start).astype(np.uint64))
+        return mix64((total[end] - total[start]) * _cached(n, _INVERSE)[start] + (end - start).astype(np.uint64))
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -100,11 +115,11 @@ def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool)
     """The words of documents ``lo`` to ``hi``."""
     bounds = offsets[lo : hi + 1] - offsets[lo]
     part = data[offsets[lo] : offsets[hi]]
-    if lower:
-        part = _LOWER[part]
+    if lower:  # A to Z lack the bit that makes them a to z
+        part = part | ((part - np.uint8(ord("A"))) < 26).view(np.uint8) * np.uint8(32)
     inside = np.empty(len(part) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[part], out=inside[1:-1])
+    np.logical_not((part == 0x20) | ((part - np.uint8(0x09)) < 5), out=inside[1:-1])
     begins = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     edge = bounds[1:-1]
