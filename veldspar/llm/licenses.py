@@ -3,7 +3,7 @@
 A notice is a short phrase. A run of words that is at most k edits away from it keeps at least one
 of any k + 1 pieces of the phrase letter for letter (the pigeonhole rule). One automaton finds the
 pieces of all notices in one pass over the words of a slice of documents; where a piece stands tells
-where the run must begin, give or take k characters, and only runs of words that begin and end there
+where the run must begin, give or take what k edits can add or take away, and only runs of words that begin and end there
 are matched with the regex library's error bound. Nothing reaches beyond one task.
 """
 
@@ -58,6 +58,8 @@ NOTICES = (
 
 SPAN = "label string, first_word bigint, n_words bigint, start bigint, end bigint, text string, errors int"
 COLUMNS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
+#: Most bytes that an edit can add.
+WIDEST = 4
 _IS_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 
 
@@ -146,13 +148,13 @@ class Finder:
             k, place = self.pieces[p]
             n = self.notices[k]
             about = np.array(at) - place
-            lo, hi = np.searchsorted(found.begin, about - n.errors), np.searchsorted(found.begin, about + n.errors, side="right")
+            lo, hi = np.searchsorted(found.begin, about - WIDEST * n.errors), np.searchsorted(found.begin, about + n.errors, side="right")
             seen.setdefault(k, []).append(_ranges(lo, hi))
         for k, firsts in seen.items():
             n = self.notices[k]
             first = np.unique(np.concatenate(firsts))
             about = found.begin[first] + len(n.phrase)
-            lo, hi = np.searchsorted(found.end, about - n.errors), np.searchsorted(found.end, about + n.errors, side="right")
+            lo, hi = np.searchsorted(found.end, about - n.errors), np.searchsorted(found.end, about + WIDEST * n.errors, side="right")
             pair = np.stack([np.repeat(first, hi - lo), _ranges(lo, hi)], 1)
             pair = pair[pair[:, 1] >= pair[:, 0]]
             pair = pair[found.doc(pair[:, 0]) == found.doc(pair[:, 1])]
