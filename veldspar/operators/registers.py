@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from veldspar.functions import registers as fn
 from veldspar.functions.logs import trimmed
+from veldspar.operators import order
+from veldspar.scratch import Scratch
 
 ORDER = ("batch_ord", "row_ord")
+#: Most registers of a value, and addresses of a cell.
+WIDEST, CELL = 4, 1024
 
 #: Warnings of rows.
 UNREADABLE = "忽略了无法解析的 CSV 记录。"
@@ -104,47 +108,57 @@ def merge(sanitized: DataFrame) -> DataFrame:
     registers, unless all those begin at its address and both are bit types; a dropped
     record holds nothing. Kept records are numbered anew.
 
-    A record whose address lies beyond the end of all records before it, kept or not, can
-    conflict with none of them. Records between two such places are an island, and only
-    within an island are they weighed one after the other; an island is a run of touching
-    addresses, however large the document.
+    Only the first record at an address can take free registers, and what it takes decides
+    which address is looked at next. So kept addresses are the orbit of one step, from an
+    address to the first beyond the registers of its first record. It is cut into cells of
+    CELL addresses: a cell is entered with fewer than WIDEST of its registers held, so it is a
+    map of WIDEST ways in to as many out. Where all ways in lead to the same one out, the
+    next cell's is known at once, which touching records nearly always bring about; between
+    such places ways are followed from cell to cell by doubling. Then each cell, however
+    long its island, is weighed alone.
     """
-    rows = sanitized.where("status = 'valid'").withColumn("rest", F.slice("fields", 2, 11))
-    first = Window.partitionBy("doc_id", "rest").orderBy(*ORDER)
-    rows = rows.withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    kind = F.coalesce(fn.number(_at(F.col("fields"), 5)), F.lit(0)).cast("bigint")
-    rows = rows.select("doc_id", *ORDER, "fields", fn.number(_at(F.col("fields"), 4), fn.U64).cast("decimal(20,0)").alias("address"), kind.alias("kind"))
-    rows = fn.settled(rows.withColumn("width", fn.width(F.col("kind"))))
-    placed = rows.where("address is not null").withColumn("end", (F.col("address") + F.col("width") - 1).cast("decimal(20,0)"))
-    along = Window.partitionBy("doc_id").orderBy("address", "width", *ORDER)
-    placed = placed.withColumn("reach", F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)))
-    opens = F.when(F.col("reach").isNull() | (F.col("address") > F.col("reach")), 1).otherwise(0)
-    placed = placed.withColumn("opens", opens).withColumn("island", F.sum("opens").over(along))
-    item = F.struct("address", "width", *ORDER, "end", "kind", "fields")
-    islands = placed.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(item)).alias("items"))
-
-    start = F.struct(F.lit(-1).cast("decimal(20,0)").alias("most"), F.lit(-1).cast("decimal(20,0)").alias("at"), F.lit(False).alias("bits"), F.array().cast("array<boolean>").alias("kept"))
-
-    def step(state: Column, x: Column) -> Column:
-        free = x["address"] > state["most"]
-        shared = (x["address"] == state["at"]) & state["bits"] & fn.is_bit(x["kind"])
-        keep = free | shared
-        return F.struct(
-            F.when(keep, F.greatest(state["most"], x["end"])).otherwise(state["most"]).alias("most"),
-            F.when(keep, x["address"]).otherwise(state["at"]).alias("at"),
-            F.when(free, fn.is_bit(x["kind"])).otherwise(state["bits"]).alias("bits"),
-            F.concat(state["kept"], F.array(keep)).alias("kept"),
-        )
-
-    weighed = islands.withColumn("kept", F.aggregate("items", start, step, lambda s: s["kept"]))
-    weighed = weighed.select("doc_id", F.explode(F.arrays_zip("items", "kept")).alias("x")).select("doc_id", "x.items.*", F.col("x.kept").alias("kept"))
-    both = weighed.select("doc_id", *ORDER, "address", "width", "fields", "kept").unionByName(
-        rows.where("address is null").select("doc_id", *ORDER, "address", "width", "fields", F.lit(True).alias("kept"))
-    )
-    last = Window.partitionBy("doc_id", "kept").orderBy(F.col("address").isNull(), "address", "width", *ORDER)
-    both = both.withColumn("ord", F.row_number().over(last))
-    numbered = F.when(F.col("kept"), F.concat(F.array(F.col("ord").cast("string")), F.slice("fields", 2, 11))).otherwise(F.col("fields"))
-    return both.select("doc_id", "ord", F.when(F.col("kept"), "kept").otherwise("conflict").alias("status"), "address", numbered.alias("fields"))
+    scratch = Scratch(sanitized.sparkSession, "register-merge")
+    rows = sanitized.where("status = 'valid'").select("doc_id", *ORDER, _at(F.col("fields"), 0).alias("id"), F.slice("fields", 2, 11).alias("rest"))
+    rows = rows.groupBy("doc_id", "rest").agg(F.min(F.struct(*ORDER, "id")).alias("first"))  # equal records meet before they are shuffled
+    kind = F.coalesce(fn.number(_at(F.col("rest"), 4)), F.lit(0)).cast("bigint")
+    rows = rows.select("doc_id", "first.*", "rest", fn.number(_at(F.col("rest"), 3), fn.U64).cast("decimal(20,0)").alias("address"), kind.alias("kind"))
+    rows = scratch.save(fn.settled(rows.withColumn("width", fn.width(F.col("kind")))), "rows")
+    judged = _judged(rows.where("address is not null"), scratch)
+    rows = rows.join(judged, ["doc_id", "address"], "left")
+    is_head = (F.col("head.batch_ord") == F.col("batch_ord")) & (F.col("head.row_ord") == F.col("row_ord"))
+    kept = F.col("address").isNull() | (F.col("taken") & (is_head | (fn.is_bit(F.col("head.kind")) & fn.is_bit(F.col("kind")))))
+    rows = rows.select("doc_id", *ORDER, "id", "rest", "address", "width", kept.alias("kept"))
+    both = order.numbered(rows, ["doc_id", "kept"], [F.col("address").isNull(), F.col("address"), F.col("width"), *map(F.col, ORDER)], scratch, "ord")
+    first = F.when(F.col("kept"), F.col("ord").cast("string")).otherwise(F.col("id"))
+    return both.select("doc_id", "ord", F.when(F.col("kept"), "kept").otherwise("conflict").alias("status"), "address", F.concat(F.array(first), F.col("rest")).alias("fields"))
+
+
+def _judged(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """The first record (doc_id, address, head) of every address, and whether it is ``taken``."""
+    heads = placed.groupBy("doc_id", "address").agg(F.min(F.struct("width", *ORDER, "kind")).alias("head"))
+    cell = F.floor(F.col("address") / CELL).cast("decimal(20,0)")
+    at = (F.col("address") - F.col("cell") * CELL).cast("int")
+    heads = heads.withColumn("cell", cell).select("doc_id", "cell", F.struct(at.alias("at"), "address", "head").alias("item"))
+    cells = heads.groupBy("doc_id", "cell").agg(F.array_sort(F.collect_list("item")).alias("items"))  # CELL items at most
+    most = lambda x: x["at"] + x["head"]["width"] - 1
+    out = lambda way: F.aggregate("items", way - 1, lambda m, x: F.when(x["at"] > m, most(x)).otherwise(m), lambda m: F.greatest(m - (CELL - 1), F.lit(0)))
+    cells = scratch.save(cells.withColumn("out", F.transform(F.sequence(F.lit(0), F.lit(WIDEST - 1)), out)), "cells")
+
+    # Ways into cells as nodes: cell * WIDEST + the registers held.
+    sure = F.array_min("out") == F.array_max("out")
+    before = cells.select("doc_id", (F.col("cell") + 1).cast("decimal(20,0)").alias("cell"), F.when(sure, F.get("out", F.lit(0))).alias("sure"), F.lit(True).alias("follows"))
+    ways = cells.select("doc_id", "cell", "out", sure.alias("ends")).join(before, ["doc_id", "cell"], "left")
+    entered = F.when(F.col("follows").isNull(), 0).otherwise(F.col("sure"))
+    ways = ways.select("doc_id", "cell", "ends", entered.alias("entered"), F.posexplode("out").alias("way", "out"))
+    node = lambda cell, way: (cell * WIDEST + way).cast("decimal(20,0)")
+    nodes = ways.select("doc_id", node(F.col("cell"), F.col("way")).alias("at"), F.when(~F.col("ends"), node(F.col("cell") + 1, F.col("out"))).alias("to"), F.coalesce(F.col("entered") == F.col("way"), F.lit(False)).alias("start"))
+    ways = order.orbit(scratch.save(nodes, "ways"), ["doc_id"], scratch)
+    entries = ways.select("doc_id", F.floor(F.col("at") / WIDEST).cast("decimal(20,0)").alias("cell"), F.pmod("at", F.lit(WIDEST)).cast("int").alias("way"))
+
+    start = lambda way: F.struct((way - 1).alias("most"), F.array().cast("array<boolean>").alias("taken"))
+    step = lambda s, x: F.struct(F.when(x["at"] > s["most"], most(x)).otherwise(s["most"]).alias("most"), F.concat(s["taken"], F.array(x["at"] > s["most"])).alias("taken"))
+    weighed = cells.join(entries, ["doc_id", "cell"]).select("doc_id", F.inline(F.arrays_zip("items", F.aggregate("items", start(F.col("way")), step, lambda s: s["taken"]).alias("taken"))))
+    return weighed.select("doc_id", "items.address", "items.head", "taken")
 
 
 def conflict_warning(address: Column) -> Column:
