@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import gzip
-import zlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from veldspar.functions.registers import COLUMNS
 from veldspar.operators import registers
-from veldspar.sources import office
-from veldspar.sources.text import ParseFailed, decode_log, decode_resource, records
+from veldspar.sources import office, ranges
+from veldspar.sources.text import ParseFailed, decode_resource, records
 
 MOST_BYTES = 50 * 1024 * 1024
-LINES_A_BATCH = 10_000
+MOST_BROADCAST = 100_000
 
 
 def _name(path: Column) -> Column:
@@ -32,31 +32,37 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
 
 
-def log_lines(spark: SparkSession, path: str) -> DataFrame:
+def _ranges(spark: SparkSession, files: list[tuple[str, int]], mode: str, **options: int) -> DataFrame:
+    spark.dataSource.register(ranges.FileRanges)
+    return spark.read.format("file_ranges").options(mode=mode, files=json.dumps(files), **options).load()
+
+
+@F.arrow_udf(StringType())
+def _legacy(raw: pa.Array, encoding: pa.Array) -> pa.Array:
+    return pa.array([None if r is None else r.decode(e, "replace") for r, e in zip(raw.to_pylist(), encoding.to_pylist(), strict=True)], pa.string())
+
+
+def log_lines(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
     """Lines (file_ord, path, line_no, line) of the log files of a folder, files in the order of their paths.
 
-    .gz files in any case are unpacked. A line ends with a line feed; one carriage return before it goes too.
+    A plain file is read by ranges of ``range_bytes``, each a task, so one file may be of any size; a
+    packed one (.gz in any case) is one task, read as a stream. A first pass counts the lines of each
+    range, their running sum numbers the lines of the second; what meets them is a row a range. A line
+    ends with a line feed; one carriage return before it goes too. A file is UTF-8 unless a line of it
+    isn't or holds a replacement character, then GB18030 if all its lines are, else Windows-1252.
     """
-    files = _files(spark, path).where(is_log_name(_name(F.col("path"))))
-    order = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("file_ord"))  # names only
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for place, data, number in zip(*(batch.column(k) for k in range(3)), strict=True):
-                raw = data.as_py()
-                if place.as_py().lower().endswith(".gz"):
-                    try:
-                        raw = gzip.decompress(raw)
-                    except (OSError, EOFError, zlib.error) as error:
-                        raise ParseFailed(f"{place}: {error}") from error
-                text = decode_log(raw).split("\n")
-                if text and not text[-1]:
-                    text.pop()
-                for lo in range(0, len(text), LINES_A_BATCH):
-                    part = [t.removesuffix("\r") for t in text[lo : lo + LINES_A_BATCH]]
-                    yield pa.RecordBatch.from_arrays([pa.array([number.as_py()] * len(part), pa.int32()), pa.array([place.as_py()] * len(part)), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array(part, pa.string())], ["file_ord", "path", "line_no", "line"])
-
-    return files.join(order, "path").select("path", "content", "file_ord").mapInArrow(lines, "file_ord int, path string, line_no bigint, line string")
+    files = ranges.listed(path, (".log", ".gz"))
+    same = Window.partitionBy("file_ord")
+    counts = _ranges(spark, files, "counts", bytes=range_bytes).select(
+        "file_ord", "path", "start", (F.sum("lines").over(same.orderBy("start")) - F.col("lines")).alias("before"),
+        F.when(F.min("utf8").over(same), "utf-8").when(F.min("gb18030").over(same), "gb18030").otherwise("cp1252").alias("encoding"),
+    )
+    n_ranges = sum(1 if ranges.is_packed(p) else -(-size // range_bytes) for p, size in files)
+    counts = F.broadcast(counts) if n_ranges <= MOST_BROADCAST else counts  # beyond it, lines are shuffled by their range
+    rows = _ranges(spark, files, "lines", bytes=range_bytes).join(counts, ["file_ord", "start"])
+    plain = F.col("encoding") == "utf-8"
+    line = F.when(plain, F.col("raw").cast("string")).otherwise(_legacy(F.when(~plain, F.col("raw")), F.col("encoding")))
+    return rows.select("file_ord", "path", (F.col("before") + F.col("nth")).alias("line_no"), line.alias("line"))
 
 
 def document_status(name: Column, length: Column) -> Column:
