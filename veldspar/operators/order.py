@@ -57,3 +57,36 @@ def numbered(rows: DataFrame, key: list[str], order: list[Column], scratch: Scra
         same = same & inner[k].eqNullSafe(counts[f"_k{i}"])
     out = inner.join(counts, same).withColumn(name, F.col("_before") + F.col("_inside"))
     return out.select(*rows.columns, name)
+
+
+def entered(maps: DataFrame, key: list[str], scratch: Scratch, fan: int = 256, name: str = "scan") -> DataFrame:
+    """The way (key, place, way) by which each place is entered, where place 0 is entered by way 0.
+
+    ``maps`` has ``key``, ``place`` (0, 1, 2, ... without a gap) and ``out``: of each way in, the way out,
+    which is the next place's way in. Maps compose associatively, so ``fan`` places at a time become
+    one, up to a single one a key, and the ways go back down: about log(places) / log(fan) levels each way.
+    """
+    maps = scratch.save(maps.select(*key, "place", "out"), f"{name}-0")
+    most = maps.agg(F.max("place")).first()[0]
+    levels = []
+    while most is not None:
+        item = F.struct("place", "out")
+        groups = maps.groupBy(*key, F.floor(F.col("place") / fan).cast("bigint").alias("up")).agg(F.array_sort(F.collect_list(item)).alias("items"))  # ``fan`` maps at most
+        levels.append(groups)
+        if most < fan:
+            break
+        same = F.sequence(F.lit(0), F.size(F.get("items", F.lit(0))["out"]) - 1)
+        whole = F.aggregate("items", same, lambda way, x: F.transform(way, lambda w: F.get(x["out"], w)))
+        maps = scratch.save(groups.select(*key, F.col("up").alias("place"), whole.alias("out")), f"{name}-{len(levels)}")
+        most //= fan
+    if not levels:
+        return maps.select(*key, "place", F.lit(0).alias("way"))
+    start = F.lit(0)
+    down = levels.pop().withColumn("way", start)
+    while True:
+        step = lambda ways, x: F.concat(ways, F.array(F.get(x["out"], F.element_at(ways, -1))))
+        ways = F.aggregate("items", F.array("way"), step)
+        down = down.select(*key, F.inline(F.arrays_zip(F.transform("items", lambda x: x["place"]).alias("place"), F.slice(ways, 1, F.size("items")).alias("way"))))
+        if not levels:
+            return down
+        down = levels.pop().join(down.withColumnRenamed("place", "up"), [*key, "up"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from veldspar.functions.registers import COLUMNS
+from veldspar.operators import delimited as operators_delimited
 from veldspar.operators import registers
 from veldspar.sources import office, ranges
 from veldspar.sources.text import ParseFailed, decode_resource, records
@@ -112,6 +113,24 @@ def record_rows(texts: DataFrame, text_col: str = "csv") -> DataFrame:
     return texts.select(*others, without_fence(F.col(text_col)).alias(text_col)).mapInArrow(cut, ", ".join(columns))
 
 
+def delimited(spark: SparkSession, path: str, delimiter: str | None = None, block_bytes: int = 1 << 20, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """Records (path, row_ord, fields) of the .csv files of a folder, packed (.csv.gz) or not, each file of any size.
+
+    Files are read in blocks over many tasks (a packed one in one task). Without ``delimiter`` each
+    file's is found from the first rows of its first block. Files must be UTF-8, with or without its mark;
+    other encodings are an error here and are read by ``documents``.
+    """
+    listed = ranges.listed(path, (".csv", ".csv.gz"))
+    blocks = _ranges(spark, listed, "blocks", bytes=range_bytes, block_bytes=block_bytes)
+    names = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(listed)], "file_ord int, path string")
+    if delimiter is None:
+        whole = F.regexp_replace(F.col("data").cast("string"), "^﻿", "")
+        text = F.when(F.length(whole) < block_bytes // 4, whole).otherwise(F.regexp_replace(whole, r"[^\r\n]*\z", ""))  # no half row at the end
+        signs = operators_delimited.sniffed(blocks.where("block = 0").select("file_ord", text.alias("text")), ["file_ord"])
+        blocks = blocks.join(F.broadcast(signs) if len(listed) <= MOST_BROADCAST else signs, "file_ord")
+    return operators_delimited.records(blocks, ["file_ord"], delimiter).join(names, "file_ord").select("path", "row_ord", "fields")
+
+
 def register_map_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows (ord, the twelve columns) of a register map file. The first twelve headings must be the twelve columns; more may follow."""
     text = _files(spark, path).select(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿+", "").alias("csv"))
