@@ -115,6 +115,33 @@ bodies AS ({derive.HEX_BODIES}), shaped AS (
 )
 """
 
+#: Registers of answered requests, their definitions, and the words and bytes that a definition's type takes.
+_VALUES = f"""
+bodies AS ({derive.HEX_BODIES}), held AS (
+  SELECT batch_id, start, qty, unnest(range(qty)) AS place, value FROM bodies WHERE kind <> 2
+), defined AS (
+  SELECT p_partkey AS ord, p_partkey % 65536 AS address, p_brand, p_partkey % 9 + 4 AS kind, p_partkey % 3 AS dcm,
+    CASE WHEN p_partkey % 9 + 4 IN (8, 9, 12) THEN p_partkey % 4 ELSE p_partkey % 2 END AS endian,
+    CASE WHEN p_partkey % 9 + 4 IN (8, 9, 12) THEN 2 WHEN p_partkey % 9 + 4 IN (10, 11) THEN 4 ELSE 1 END AS width FROM part
+), joined AS (
+  SELECT h.*, CASE WHEN start + place <= 65535 THEN start + place END AS addr, d.* FROM held h LEFT JOIN defined d ON d.address = start + place AND start + place <= 65535
+), taken AS (
+  SELECT *, CASE WHEN place + width <= qty AND addr + width - 1 <= 65535 THEN list_transform(range(width), lambda j: CAST((value + place + 1 + j) % 65536 AS BIGINT)) END AS words FROM joined
+), ordered AS (
+  SELECT *, array_to_string(list_transform(words, lambda w: printf('%04X', CAST(w AS INT))), '') AS raw,
+    list_transform(CASE WHEN kind IN (4, 5) THEN [endian] WHEN kind IN (6, 7) THEN CASE endian WHEN 0 THEN [1, 0] ELSE [0, 1] END
+        WHEN kind IN (8, 9, 12) THEN CASE endian WHEN 0 THEN [0, 1, 2, 3] WHEN 1 THEN [3, 2, 1, 0] WHEN 2 THEN [2, 3, 0, 1] ELSE [1, 0, 3, 2] END
+        ELSE CASE endian WHEN 0 THEN [7, 6, 5, 4, 3, 2, 1, 0] ELSE [0, 1, 2, 3, 4, 5, 6, 7] END END,
+      lambda k: CAST(CASE WHEN k % 2 = 0 THEN words[k // 2 + 1] // 256 ELSE words[k // 2 + 1] % 256 END AS HUGEINT)) AS bytes FROM taken
+), summed AS (
+  SELECT *, CASE WHEN words IS NOT NULL THEN list_reduce(bytes, lambda a, b: a * 256 + b) END AS whole, CASE kind WHEN 5 THEN 8 WHEN 7 THEN 16 WHEN 9 THEN 32 WHEN 11 THEN 64 END AS signed FROM ordered
+), numbers AS (
+  SELECT *, CASE WHEN kind = 12 THEN CASE WHEN whole // 2147483648 = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN whole // 8388608 % 256 = 0 THEN CAST(whole % 8388608 AS DOUBLE) * pow(2.0::DOUBLE, -149)
+      ELSE (1 + CAST(whole % 8388608 AS DOUBLE) / 8388608.0::DOUBLE) * pow(2.0::DOUBLE, CAST(whole // 8388608 % 256 AS DOUBLE) - 127) END
+    WHEN signed IS NOT NULL AND whole >= CAST(pow(2.0::DOUBLE, signed - 1) AS HUGEINT) THEN CAST(whole - CAST(pow(2.0::DOUBLE, signed) AS HUGEINT) AS DOUBLE) ELSE CAST(whole AS DOUBLE) END * 0.5::DOUBLE / pow(10.0::DOUBLE, dcm) AS numeric_value FROM summed
+)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "log_entries": f"WITH {_ENTRIES} SELECT file_ord, line_no, ts, thread, class, line, message, has_stack FROM entries",
     "log_category_counts": f"WITH {_CATEGORISED} SELECT category, category_name, count(*) AS entries FROM categorised JOIN names USING (category) GROUP BY category, category_name",
@@ -176,6 +203,14 @@ ORACLE_SQL: dict[str, str] = {
         ), inside AS (SELECT address FROM seen WHERE address <= 65535)
         SELECT (SELECT count(*) FROM part) AS extracted_count, count(*) FILTER (address IN (SELECT p_partkey % 65536 FROM part)) AS matched_count,
           count(*) FILTER (address NOT IN (SELECT p_partkey % 65536 FROM part)) AS n_unmatched FROM inside""",
+    "register_explained": f"""WITH {_VALUES}
+        SELECT batch_id, CAST(place AS BIGINT) AS position, CAST(addr AS BIGINT) AS address, p_brand AS parameter_name,
+          coalesce(CASE WHEN words IS NOT NULL THEN raw END, printf('%04X', CAST((value + place + 1) % 65536 AS INT))) AS raw_hex, numeric_value,
+          CASE WHEN kind IN (4, 5) THEN CASE endian WHEN 0 THEN '高字节' ELSE '低字节' END END AS meaning,
+          CASE WHEN ord IS NULL THEN 'register_not_found' ELSE 'parameter_name_not_found' END AS warnings FROM numbers""",
+    "register_values": f"""WITH {_VALUES}
+        SELECT batch_id, CAST(place AS INT) AS position, CAST(addr AS INT) AS address,
+          CASE dcm WHEN 0 THEN printf('%.0f', numeric_value) WHEN 1 THEN printf('%.1f', numeric_value) ELSE printf('%.2f', numeric_value) END AS converted_value FROM numbers""",
     "register_interpretations": f"""WITH b AS ({derive.HEX_BODIES}), x AS (SELECT batch_id, CAST(value AS BIGINT) * 65536 + start AS u32, value // 256 AS b0, value % 256 AS b1, start // 256 AS b2, start % 256 AS b3 FROM b), y AS (
           SELECT batch_id, CAST(b0 AS BIGINT) AS u8, CAST(b0 * 256 + b1 AS BIGINT) AS u16, u32, CAST(b1 * 256 + b0 AS BIGINT) AS l16, CAST(b3 * 16777216 + b2 * 65536 + b1 * 256 + b0 AS BIGINT) AS l32 FROM x)
         SELECT batch_id, CASE WHEN u8 >= 128 THEN u8 - 256 ELSE u8 END AS big_int8, CASE WHEN u16 >= 32768 THEN u16 - 65536 ELSE u16 END AS big_int16, CASE WHEN u32 >= 2147483648 THEN u32 - 4294967296 ELSE u32 END AS big_int32,
