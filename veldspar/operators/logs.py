@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions import logs as fn
+from veldspar.functions.registers import let, settled
 
 BLOCK_LINES = 100_000
 ORDER = ("file_ord", "line_no")
+_FACTS = "array<struct<section:string,name:string,detail:string,at:int>>"
 
 
 def _kept(lines: DataFrame) -> DataFrame:
@@ -24,13 +26,16 @@ def _kept(lines: DataFrame) -> DataFrame:
 
 
 def _fields(rows: DataFrame, *more: str) -> DataFrame:
-    """Parts of texts that have the line layout. As that is known, signs that a part cannot hold bound it."""
-    rest = rows.withColumn("rest", F.expr("substring(text, 26)"))
-    for name, sign, gap in (("level", "]", 2), ("thread", "]", 2), ("class", ":", 1), ("line", "]", 2)):
-        rest = rest.withColumn(name, F.substring_index("rest", sign, 1))
-        rest = rest.withColumn("rest", F.expr(f"substring(rest, length({name}) + {gap + 1})"))
-    line = F.coalesce(fn.unsigned(F.col("line"), 2**32 - 1), F.lit(0)).cast("bigint")
-    return rest.select(*ORDER, F.substring("text", 1, 23).alias("ts"), "thread", "class", line.alias("line"), F.col("rest").alias("message"), *more)
+    """Parts of texts that have the line layout. As that is known, the signs that end a part are looked for one after the other, once."""
+    text, find = F.col("text"), lambda sign, at: F.call_function("locate", F.lit(sign), F.col("text"), at)
+    cut = lambda a, b: F.substring(text, a, b - a)
+    parts = lambda level, thread, cls, line: F.struct(  # noqa: E731  where each ends
+        F.substring(text, 1, 23).alias("ts"), cut(level + 2, thread).alias("thread"), cut(thread + 2, cls).alias("class"),
+        cut(cls + 1, line).alias("line"), F.substring(text, line + 2, F.length(text)).alias("message"),
+    )
+    found = let(find("]", F.lit(26)), lambda a: let(find("]", a + 2), lambda b: let(find(":", b + 2), lambda c: let(find("]", c + 1), lambda d: parts(a, b, c, d)))))
+    rows = settled(rows.select(*ORDER, found.alias("part"), *more)).select(*ORDER, "part.*", *more)
+    return rows.withColumn("line", F.coalesce(fn.unsigned(F.col("line"), 2**32 - 1), F.lit(0)).cast("bigint"))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -121,6 +126,34 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def overview(lines: DataFrame) -> DataFrame:
+    """All counts of the lines in one pass: section, name, detail, n, first_file, first_line, first_at.
+
+    Each line gives its facts: that it is a line, and if it is an entry that it is one, its category,
+    its serials with their category, its thread, its projects, a disabled rule and a leak.
+    One aggregate over all facts gives every section; what is shuffled are partial rows of distinct
+    facts. lines, entries and leaks are one row each; the detail of entries is the times of the first and last one.
+    """
+    entry = fn.trimmed(F.col("line")).rlike(fn.LINE) & ~fn.is_stack(F.col("line"))
+    rows = settled(lines.select(*ORDER, F.when(entry, fn.trimmed(F.col("line"))).alias("text"), F.when(entry, True).alias("entry")))
+    rows = settled(categorised(_fields(rows, "entry")))
+    fact = lambda section, name=F.lit(""), detail=F.lit(""), at=F.lit(0): F.struct(F.lit(section).alias("section"), name.alias("name"), detail.alias("detail"), at.cast("int").alias("at"))
+    each = lambda found, section, detail=F.lit(""): F.transform(found, lambda x, i: fact(section, x, detail, i))
+    message, code = F.col("message"), F.col("category")
+    of_entry = F.concat(
+        F.array(fact("entries"), fact("categories", F.col("category_name")), fact("threads", F.col("thread"))),
+        each(fn.serials(message), "serials", F.col("category_name")), each(fn.projects(message), "projects"),
+        F.when(code == "ConnectionLeak", F.array(fact("leaks"))).otherwise(F.array().cast(_FACTS)),
+        F.when((code == "DispatchDisabled") & fn.disabled_rule(message).isNotNull(), F.array(fact("rules", fn.disabled_rule(message)))).otherwise(F.array().cast(_FACTS)),
+    )
+    facts = F.when(F.col("entry"), F.concat(F.array(fact("lines")), of_entry)).otherwise(F.array(fact("lines")))
+    facts = rows.select(*ORDER, "ts", F.explode(facts).alias("fact")).select(*ORDER, "ts", "fact.*")
+    place = F.struct(*ORDER, "at")
+    out = facts.groupBy("section", "name", "detail").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("seen"), F.min_by("ts", place).alias("start"), F.max_by("ts", place).alias("end"))
+    times = F.when(F.col("section") == "entries", F.concat(F.col("start"), F.lit(" - "), F.col("end"))).otherwise(F.col("detail"))
+    return out.select("section", "name", times.alias("detail"), "n", F.col("seen.file_ord").alias("first_file"), F.col("seen.line_no").alias("first_line"), F.col("seen.at").alias("first_at"))
+
+
 def heatmap(rows: DataFrame, minutes: int = 10) -> DataFrame:
     """Runs of consecutive entries in one time bucket: run, hour, entries.
 

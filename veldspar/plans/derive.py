@@ -65,6 +65,11 @@ SELECT l_orderkey * 8 + l_linenumber AS batch_id, l_linenumber AS slave, l_partk
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) AS one
 """
 
+#: Turns as small tables: words are cells, sentences rows, in one of four delimiters.
+DELIMITED_TEXTS = """
+SELECT conv_id, turn, replace(replace(replace(coalesce(text, ''), '"', ''), '. ', chr(10)), ' ', CASE (conv_id + turn) % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END) AS text FROM conversations
+"""
+
 
 def _view(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for name in names:
@@ -92,3 +97,9 @@ def hex_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows batch_id, slave, start, qty, kind, value."""
     _view(spark, sf_dir, "lineitem")
     return spark.sql(HEX_BODIES)
+
+
+def delimited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows conv_id, turn, text."""
+    _view(spark, sf_dir, "conversations")
+    return spark.sql(DELIMITED_TEXTS)

@@ -142,7 +142,40 @@ bodies AS ({derive.HEX_BODIES}), held AS (
 )
 """
 
+#: Texts without quotes, so that cells are what stands between delimiters. The first 64 rows count.
+_DELIMITED = f"""
+texts AS ({derive.DELIMITED_TEXTS}), candidates(delimiter, nth) AS (VALUES (',', 1), (';', 2), (chr(9), 3), ('|', 4)), lines AS (
+  SELECT conv_id, turn, delimiter, nth, list_filter(regexp_split_to_array(text, '[\n\r]'), lambda x: x <> '')[1:64] AS lines, string_split(text, chr(10))[1:64] AS marked FROM texts, candidates
+), widths AS (
+  SELECT *, list_transform(list_filter(lines, lambda x: contains(x, delimiter) OR NOT regexp_full_match(x, '\\s*')), lambda x: CAST(len(string_split(x, delimiter)) AS BIGINT)) AS w,
+    CAST(list_sum(list_prepend(0, list_transform(marked, lambda x: len(string_split(x, delimiter)) - 1))) AS BIGINT) AS outside FROM lines
+), counted AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n_rows, CAST(len(list_filter(w, lambda x: x > 1)) AS BIGINT) AS n_split,
+    list_reverse_sort(list_transform(list_distinct(w), lambda x: [CAST(len(list_filter(w, lambda y: y = x)) AS BIGINT), x])) AS sizes FROM widths
+), stats AS (
+  SELECT conv_id, turn, delimiter, nth, n_rows, n_split, coalesce(sizes[1][2], 0) AS common, coalesce(sizes[1][1], 0) AS n_common,
+    CAST(coalesce(list_sum(list_transform(w, lambda x: (x - sizes[1][2]) * (x - sizes[1][2]))), 0) AS DOUBLE) / greatest(n_rows, 1) AS spread, CAST(0 AS BIGINT) AS errors, outside, CAST(0 AS BIGINT) AS quoted FROM counted
+)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "delimiter_stats": f"WITH {_DELIMITED} SELECT * EXCLUDE (nth) FROM stats",
+    "delimiter_choice": f"""WITH {_DELIMITED} SELECT conv_id, turn, delimiter FROM stats
+        QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY common > 1 DESC, CAST(n_split AS DOUBLE) / greatest(n_rows, 1) DESC, CAST(n_common AS DOUBLE) / greatest(n_rows, 1) DESC, spread, common DESC, outside DESC, nth) = 1""",
+    "delimited_records": """SELECT coalesce(source, '') AS file, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id, text) - 1 AS row_ord, CAST(doc_id AS VARCHAR) AS doc_id,
+          coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents""",
+    "log_overview": f"""WITH {_CATEGORISED}, facts AS (
+          SELECT 'lines' AS section, '' AS name, '' AS detail, file_ord, line_no, 0 AS spot, NULL AS ts FROM log_lines
+          UNION ALL SELECT 'entries', '', '', file_ord, line_no, 0, ts FROM categorised
+          UNION ALL SELECT 'categories', category_name, '', file_ord, line_no, 0, ts FROM categorised JOIN names USING (category)
+          UNION ALL SELECT 'threads', thread, '', file_ord, line_no, 0, ts FROM categorised
+          UNION ALL SELECT 'leaks', '', '', file_ord, line_no, 0, ts FROM categorised WHERE category = 'ConnectionLeak'
+          UNION ALL SELECT 'rules', regexp_extract(message, 'disabled ruleId=([0-9]+)', 1), '', file_ord, line_no, 0, ts FROM categorised WHERE category = 'DispatchDisabled' AND regexp_extract(message, 'disabled ruleId=([0-9]+)', 1) <> ''
+          UNION ALL SELECT 'serials', unnest(sns), category_name, file_ord, line_no, unnest(range(len(sns))), ts FROM (SELECT *, regexp_extract_all(message, '\\b(\\d{{14,}})\\b', 1) AS sns FROM categorised JOIN names USING (category))
+          UNION ALL SELECT 'projects', unnest(ps), '', file_ord, line_no, unnest(range(len(ps))), ts FROM (SELECT *, list_filter(regexp_extract_all(message, '"name":"([^"]+)"', 1), lambda p: NOT regexp_full_match(p, '[0-9]*')) AS ps FROM categorised)
+        ), placed AS (SELECT *, {{'f': file_ord, 'l': line_no, 'a': CAST(spot AS INT)}} AS place FROM facts
+        ), grouped AS (SELECT section, name, detail, count(*) AS n, min(place) AS seen, arg_min(ts, place) AS first_ts, arg_max(ts, place) AS last_ts FROM placed GROUP BY ALL)
+        SELECT section, name, CASE WHEN section = 'entries' THEN first_ts || ' - ' || last_ts ELSE detail END AS detail, n, seen.f AS first_file, seen.l AS first_line, seen.a AS first_at FROM grouped""",
     "log_entries": f"WITH {_ENTRIES} SELECT file_ord, line_no, ts, thread, class, line, message, has_stack FROM entries",
     "log_category_counts": f"WITH {_CATEGORISED} SELECT category, category_name, count(*) AS entries FROM categorised JOIN names USING (category) GROUP BY category, category_name",
     "log_summary": f"""WITH {_CATEGORISED}

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from veldspar.functions import frames as hexes
 from veldspar.functions import logs as log_fn
 from veldspar.functions import registers as reg_fn
-from veldspar.operators import chunks, explain, frames, logs, registers
+from veldspar.operators import chunks, delimited, explain, frames, logs, order, registers
 from veldspar.plans import derive
 from veldspar.plans.oracles import ORACLE_SQL
+from veldspar.scratch import Scratch
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -80,6 +81,10 @@ def log_dispatch_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir).select("file_ord", "line_no", cost.alias("cost_ms")).where("cost_ms is not null")
 
 
+def log_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.overview(derive.log_lines(spark, sf_dir))
+
+
 def log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.report(_entries(spark, sf_dir))
 
@@ -130,6 +135,27 @@ def naming_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registers.reference_lines(registers.catalog(_brands(spark, sf_dir)))
 
 
+def delimiter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delimited.delimiter_stats(derive.delimited_texts(spark, sf_dir), ["conv_id", "turn"])
+
+
+def delimiter_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delimited.sniffed(derive.delimited_texts(spark, sf_dir), ["conv_id", "turn"])
+
+
+def delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as delimited text, a text a source, in blocks that cut a record in two, and read back."""
+    fields = ("doc_id", "lang", "source", "text")
+    docs = _table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("file"), "doc_id", registers.csv_line(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields))).alias("line"))
+    rows = order.numbered(docs, ["file"], [F.col("doc_id"), F.col("line")], Scratch(spark, "delimited-query"))
+    cut, line = F.pmod(F.col("doc_id") * 7919, F.length("line")).cast("int"), F.concat("line", F.lit("\n"))
+    pieces = F.array(F.struct((F.col("nth") - 1).alias("block"), F.lit(1).alias("side"), line.substr(F.lit(1), cut).alias("part")), F.struct(F.col("nth").alias("block"), F.lit(0).alias("side"), line.substr(cut + 1, F.length(line)).alias("part")))
+    halves = rows.select("file", F.inline(pieces)).groupBy("file", "block").agg(F.array_sort(F.collect_list(F.struct("side", "part"))).alias("parts"))  # two a block
+    blocks = halves.select("file", "block", F.array_join(F.transform("parts", lambda p: p["part"]), "").cast("binary").alias("data"))
+    found = delimited.records(blocks, ["file"])
+    return found.select("file", "row_ord", *(F.get("fields", F.lit(k)).alias(c) for k, c in enumerate(fields)))
+
+
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", reg_fn.without_tags(F.col("html")).alias("text"))
 
@@ -246,8 +272,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         log_entries, log_category_counts, log_summary, log_serial_errors, log_unique_serials, log_serial_totals, log_projects, log_disabled_rules, log_threads,
-        log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_report, register_sanitized, register_diagnostics, register_merged, register_addresses,
-        naming_catalog, naming_reference, page_text, frame_checksums, frame_decoded, frame_pairs, register_explained, register_values, register_match_diagnostics,
+        log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_overview, log_report, register_sanitized, register_diagnostics, register_merged, register_addresses,
+        naming_catalog, naming_reference, delimiter_stats, delimiter_choice, delimited_records, page_text, frame_checksums, frame_decoded, frame_pairs, register_explained, register_values, register_match_diagnostics,
         register_interpretations, chunk_documents, chunk_contexts, conversation_pairs, redacted_events,
     )
 }
