@@ -65,6 +65,25 @@ SELECT l_orderkey * 8 + l_linenumber AS batch_id, l_linenumber AS slave, l_partk
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) AS one
 """
 
+#: Segments of calls, several a call: DL/T 645 and CJ/T 188 frames, enveloped and bare Modbus requests before their checksums, a frame
+#: whose checksum is wrong, and faulty segments. ``wake`` goes before a frame and ``serial`` around it.
+SEGMENTS = """
+SELECT batch_id, line, kind, wake, serial, address, CASE kind
+  WHEN 0 THEN '68' || low6 || '68' || CASE WHEN partkey % 2 = 0 THEN '11' ELSE '91' END || '0633343535' || lpad(hex(partkey % 65536), 4, '0')
+  WHEN 5 THEN '68' || low6 || '68' || '110633343535' || lpad(hex(partkey % 65536), 4, '0')
+  WHEN 1 THEN '6810' || low6 || '00' || '81' || lpad(hex(line), 2, '0') || '04' || lpad(hex(partkey), 8, '0')
+  WHEN 3 THEN 'ABC' WHEN 4 THEN 'ZZ' || lpad(hex(line), 2, '0') WHEN 7 THEN 'AA&BB' WHEN 8 THEN ''
+  ELSE lpad(hex(line), 2, '0') || '03' || lpad(hex(partkey % 65536), 4, '0') || '000' || CAST(line AS STRING) END AS body
+FROM (
+  SELECT *, CASE kind WHEN 0 THEN 'FEFEFEFE' WHEN 1 THEN 'FEFE' WHEN 5 THEN 'FE' ELSE '' END AS wake, CASE WHEN kind = 2 THEN '25' || address ELSE '' END AS serial,
+         substring(address, 11, 2) || substring(address, 9, 2) || substring(address, 7, 2) || substring(address, 5, 2) || substring(address, 3, 2) || substring(address, 1, 2) AS low6
+  FROM (
+    SELECT l_orderkey AS batch_id, CAST(l_linenumber AS INT) AS line, CAST((l_orderkey + l_linenumber) % 9 AS INT) AS kind, min(l_partkey) AS partkey, lpad(CAST(l_orderkey * 8 + l_linenumber AS STRING), 12, '0') AS address
+    FROM lineitem GROUP BY l_orderkey, l_linenumber
+  ) AS one
+) AS two
+"""
+
 #: Turns as small tables: words are cells, sentences rows, in one of four delimiters.
 DELIMITED_TEXTS = """
 SELECT conv_id, turn, replace(replace(replace(coalesce(text, ''), '"', ''), '. ', chr(10)), ' ', CASE (conv_id + turn) % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END) AS text FROM conversations
@@ -99,6 +118,12 @@ def hex_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(HEX_BODIES)
 
 
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows batch_id, line, kind, wake, serial, address, body."""
+    _view(spark, sf_dir, "lineitem")
+    return spark.sql(SEGMENTS)
+
+
 def delimited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows conv_id, turn, text."""
     _view(spark, sf_dir, "conversations")

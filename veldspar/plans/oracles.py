@@ -228,6 +228,21 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN kind IN (2, 4) THEN data_hex ELSE '' END AS register_hex,
           concat_ws(',', CASE WHEN kind = 3 THEN 'invalid_crc' END, CASE WHEN kind = 1 THEN 'response_without_request_context' END, CASE WHEN kind IN (0, 3) AND start + qty - 1 > 65535 THEN 'register_address_overflow' END) AS warnings
         FROM summed""",
+    "frame_calls": f"""WITH {_CRC}, segments AS ({derive.SEGMENTS}), summed AS (
+          SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY line) - 1 AS index, CASE WHEN kind IN (0, 1, 2, 5, 6) THEN list_transform(range(0, length(body) // 2), lambda i: CAST('0x' || substr(body, i * 2 + 1, 2) AS INT)) ELSE [0] END AS bytes FROM segments
+        ), checked AS (
+          SELECT *, printf('%02X', CAST(list_sum(bytes) % 256 AS INT)) AS additive,
+            printf('%04X', CAST(list_reduce(list_prepend(CAST(65535 AS BIGINT), CAST(bytes AS BIGINT[])), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])) AS INT)) AS crc FROM summed, crc
+        )
+        SELECT batch_id, index, CASE kind WHEN 3 THEN 'odd_hex_length' WHEN 4 THEN 'invalid_hex' WHEN 7 THEN 'invalid_separator' WHEN 8 THEN 'empty_segment' END AS error_code,
+          CASE WHEN kind = 0 THEN 'dlt645' WHEN kind = 1 THEN 'cjt188' WHEN kind IN (2, 6) THEN 'modbusRtu' ELSE 'unknown' END AS protocol, nullif(wake, '') AS "wakeupBytes",
+          CASE kind WHEN 0 THEN address WHEN 1 THEN '00' || address END AS address, CASE kind WHEN 0 THEN substr(body, 17, 2) WHEN 1 THEN substr(body, 19, 2) END AS "controlCode",
+          CASE kind WHEN 0 THEN substr(body, 21) WHEN 1 THEN substr(body, 25) END AS data, nullif(serial, '') AS platform_serial,
+          CAST(CASE kind WHEN 0 THEN 4 WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 5 THEN 1 WHEN 6 THEN 5 ELSE 0 END AS BIGINT) AS n_fields,
+          CAST(CASE WHEN kind IN (2, 6) THEN least(line, 65536 - CAST('0x' || substr(body, 5, 4) AS INT)) ELSE 0 END AS BIGINT) AS n_registers,
+          CASE WHEN kind IN (0, 1) THEN 'additive8' WHEN kind IN (2, 6) THEN 'modbusCrc16' END AS checksum, CASE WHEN kind IN (0, 1) THEN additive WHEN kind IN (2, 6) THEN crc END AS received,
+          CASE WHEN kind IN (0, 1, 2, 6) THEN true END AS valid,
+          CASE WHEN kind = 5 THEN 'protocol_evidence_conflict' WHEN kind IN (2, 6) AND CAST('0x' || substr(body, 5, 4) AS INT) + line - 1 > 65535 THEN 'register_address_overflow' ELSE '' END AS warnings FROM checked""",
     "frame_pairs": f"""WITH {_FRAMES}
         SELECT batch_id, CASE WHEN kind <> 2 THEN start END AS first_address, CASE WHEN kind = 2 THEN 0 ELSE CAST(qty AS BIGINT) END AS n_registers,
           CASE WHEN kind = 2 THEN 'response_without_request_context,request_response_quantity_mismatch' ELSE '' END AS warnings FROM summed""",

@@ -190,6 +190,25 @@ def frame_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def frame_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of several messages of all protocols, some in an envelope or after wake-up bytes, some faulty."""
+    rows = reg_fn.settled(derive.segments(spark, sf_dir))
+    body, kind = F.col("body"), F.col("kind")
+    crc = hexes.to_hex(hexes.modbus_crc(body), 4)
+    total = (hexes.additive_checksum(body) + F.when(kind == 5, 1).otherwise(0)) % 256
+    framed = F.when(kind.isin(0, 1, 5), F.concat("wake", body, hexes.to_hex(total, 2), F.lit("16"))).when(kind.isin(2, 6), F.concat(body, crc.substr(3, 2), crc.substr(1, 2))).otherwise(body)
+    rows = reg_fn.settled(rows.select("batch_id", "line", "kind", "serial", framed.alias("framed")))
+    framed = F.when(F.col("kind") == 2, F.concat(F.lit("68"), F.hex("serial"), F.lit("68"), "framed")).otherwise(F.col("framed"))
+    calls = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("line", framed.alias("framed")))).alias("parts"))  # the lines of an order
+    found = frames.parse_messages(calls.select("batch_id", F.array_join(F.transform("parts", lambda p: p["framed"]), "&&").alias("text")))
+    part = lambda name: F.get(F.filter("fields", lambda f: f["name"] == name), F.lit(0))["raw_hex"].alias(name)
+    return found.select(
+        "batch_id", F.col("index").cast("bigint").alias("index"), "error_code", "protocol", part("wakeupBytes"), part("address"), part("controlCode"), part("data"), "platform_serial",
+        F.size("fields").cast("bigint").alias("n_fields"), F.size("registers").cast("bigint").alias("n_registers"), F.col("checksum.kind").alias("checksum"), F.col("checksum.received").alias("received"),
+        F.col("checksum.valid").alias("valid"), F.array_join("warnings.code", ",").alias("warnings"),
+    )
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = derive.hex_bodies(spark, sf_dir)
     ask = _messages(bodies.withColumn("kind", F.lit(0))).select("batch_id", F.col("message").alias("request_hex"))
@@ -273,7 +292,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         log_entries, log_category_counts, log_summary, log_serial_errors, log_unique_serials, log_serial_totals, log_projects, log_disabled_rules, log_threads,
         log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_overview, log_report, register_sanitized, register_diagnostics, register_merged, register_addresses,
-        naming_catalog, naming_reference, delimiter_stats, delimiter_choice, delimited_records, page_text, frame_checksums, frame_decoded, frame_pairs, register_explained, register_values, register_match_diagnostics,
+        naming_catalog, naming_reference, delimiter_stats, delimiter_choice, delimited_records, page_text, frame_checksums, frame_decoded, frame_calls, frame_pairs, register_explained, register_values, register_match_diagnostics,
         register_interpretations, chunk_documents, chunk_contexts, conversation_pairs, redacted_events,
     )
 }
