@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.functions.registers import COLUMNS
+from veldspar.functions.registers import COLUMNS, safe_stem
 from veldspar.operators.registers import csv_line
+from veldspar.sources.named_files import NamedFiles
 
 
-def write_register_files(csv_texts: DataFrame, folder: str, stamp: str, stem_col: str = "stem") -> str:
-    """Write each document's CSV text (stem, csv) as files below ``folder``, one sub-folder a stem, and return the folder.
+def write_register_files(merged: DataFrame, stems: DataFrame, folder: str, stamp: str) -> None:
+    """Write the kept records of each merged document as ``{stem}_{stamp}_{six hex digits}.csv`` in ``folder``.
 
-    A file begins with a byte-order mark. The folder's name holds the stamp and six random
-    hex digits; an existing one is never overwritten.
+    ``stems`` has doc_id and stem; documents without one are called output. A file begins with a
+    byte-order mark and the twelve columns. Files appear all together when the last is written, never
+    over an existing one; documents of equal stems differ in their digits. One task writes a whole file,
+    row by row, so a document may have any size.
     """
-    from veldspar.functions.registers import safe_stem
-
-    out = f"{folder}/{stamp}_{uuid.uuid4().hex[:6]}"
-    rows = csv_texts.select(safe_stem(F.col(stem_col)).alias("stem"), F.concat(F.lit("﻿"), F.col("csv")).alias("value"))
-    rows.write.partitionBy("stem").mode("errorifexists").text(out)
-    return out
+    merged.sparkSession.dataSource.register(NamedFiles)
+    kept = merged.where("status = 'kept'").select("doc_id", "ord", csv_line(F.col("fields")).alias("line"))
+    named = stems.groupBy("doc_id").agg(safe_stem(F.coalesce(F.min("stem"), F.lit(""))).alias("stem"))
+    rows = kept.join(named, "doc_id", "left").withColumn("stem", F.coalesce("stem", F.lit("output")))
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "ord").select(F.col("doc_id").cast("string").alias("doc"), "stem", "line")
+    rows.write.format("named_files").mode("append").options(path=folder, stamp=stamp, header=",".join(COLUMNS)).save()
 
 
 def write_register_rows(merged: DataFrame, folder: str) -> None:
