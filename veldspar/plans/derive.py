@@ -65,6 +65,14 @@ SELECT l_orderkey * 8 + l_linenumber AS batch_id, l_linenumber AS slave, l_partk
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) AS one
 """
 
+#: Names as register tables write them, one of ten forms a part, and type and endian codes.
+CIRCUIT_NAMES = """
+SELECT p_partkey, CAST(p_partkey % 14 AS INT) AS kind, CAST(p_size % 20 AS INT) AS endian, CAST(p_partkey % 10 AS INT) AS form, n, CASE p_partkey % 10
+  WHEN 0 THEN 'CH' || n || '_Ua' WHEN 1 THEN 'channel ' || n || ': Ia' WHEN 2 THEN '第' || n || '路 Ua' WHEN 3 THEN n || ' 号回路电压' WHEN 4 THEN '回路' || n || ': Ep'
+  WHEN 5 THEN 'CH1-CH' || n || ' Registers' WHEN 6 THEN '第1路至第' || n || '路遥测数据' WHEN 7 THEN 'Channel 1 to ' || n WHEN 8 THEN 'DOC_ DOC_CH ' || n || ' Ep' ELSE 'plain ' || n END AS name
+FROM (SELECT p_partkey, p_size, CASE WHEN p_partkey % 3 = 0 THEN '十二' ELSE CAST(p_partkey % 40 + 1 AS STRING) END AS n FROM part) AS t
+"""
+
 #: Segments of calls, several a call: DL/T 645 and CJ/T 188 frames, enveloped and bare Modbus requests before their checksums, a frame
 #: whose checksum is wrong, and faulty segments. ``wake`` goes before a frame and ``serial`` around it.
 SEGMENTS = """
@@ -118,6 +126,12 @@ def hex_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(HEX_BODIES)
 
 
+def circuit_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows p_partkey, kind, endian, form, n, name."""
+    _view(spark, sf_dir, "part")
+    return spark.sql(CIRCUIT_NAMES)
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows batch_id, line, kind, wake, serial, address, body."""
     _view(spark, sf_dir, "lineitem")

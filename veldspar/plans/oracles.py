@@ -209,6 +209,22 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN valid THEN new_group ELSE c_group END AS grp, CASE WHEN valid THEN new_name ELSE c_name END AS data_name,
           CAST(CASE WHEN NOT valid THEN 1 ELSE CASE WHEN repaired THEN 1 ELSE 0 END + CASE WHEN shape IN (4, 5) THEN 1 ELSE 0 END END AS BIGINT) AS n_warnings
         FROM sanitized""",
+    "register_texts": f"""WITH {_REGISTERS}
+        SELECT row_ord // 50 AS doc_id, row_number() OVER (PARTITION BY row_ord // 50 ORDER BY row_ord) + 1 AS row_ord, CASE WHEN valid THEN 'valid' ELSE 'rejected' END AS status, repaired,
+          CASE WHEN valid THEN new_group ELSE c_group END AS grp, CASE WHEN valid THEN new_name ELSE c_name END AS data_name FROM sanitized""",
+    "circuit_names": f"""WITH named AS ({derive.CIRCUIT_NAMES})
+        SELECT p_partkey, CASE WHEN form IN (0, 1, 2, 3, 4, 8) THEN CASE n WHEN '十二' THEN 12 ELSE CAST(n AS BIGINT) END END AS number,
+          CASE form WHEN 0 THEN 'Ua' WHEN 1 THEN 'Ia' WHEN 2 THEN 'Ua' WHEN 3 THEN '电压' WHEN 4 THEN 'Ep' WHEN 8 THEN 'Ep' END AS attribute, form IN (5, 6, 7) AS heading, form <> 9 AS ambiguous,
+          CASE kind WHEN 1 THEN endian <= 15 WHEN 2 THEN endian <= 7 WHEN 3 THEN endian <= 3 WHEN 8 THEN endian <= 3 WHEN 9 THEN endian <= 3 WHEN 12 THEN endian <= 3 WHEN 0 THEN false WHEN 13 THEN false ELSE endian <= 1 END AS legal FROM named""",
+    "validated_candidates": """WITH c AS (
+          SELECT l_orderkey * 8 + l_linenumber AS ord, min(l_partkey) AS register_address, min(l_suppkey) % 12 AS e, min(l_quantity) % 5 = 0 AS bare FROM lineitem GROUP BY l_orderkey, l_linenumber
+        ), allowed AS (SELECT DISTINCT s_suppkey % 12 AS e FROM supplier WHERE s_suppkey % 12 < 10
+        ), judged AS (
+          SELECT ord, register_address, CASE WHEN register_address NOT IN (SELECT p_partkey FROM part WHERE p_size > 10) THEN 'ai_fact_conflict'
+            WHEN bare OR e NOT IN (SELECT e FROM allowed) OR 1 NOT IN (SELECT e FROM allowed) THEN 'missing_evidence' END AS fault FROM c)
+        SELECT ord, register_address, coalesce(fault, CASE WHEN row_number() OVER (PARTITION BY register_address, fault IS NULL ORDER BY ord) = 1 THEN 'accepted' ELSE 'duplicate' END) AS status FROM judged""",
+    "register_unmatched": f"""WITH {_FRAMES}, seen AS (SELECT DISTINCT unnest(range(start, start + qty)) AS address FROM bodies WHERE kind <> 2)
+        SELECT CAST(address AS BIGINT) AS address FROM seen WHERE address <= 65535 AND (address % 3 = 0 OR address NOT IN (SELECT p_partkey % 65536 FROM part))""",
     "register_diagnostics": f"""WITH {_REGISTERS}
         SELECT doc_id, count(*) FILTER (valid) AS valid_records, count(*) FILTER (repaired) AS repaired_missing_unit, count(*) FILTER (NOT valid) AS rejected_records,
           count(*) FILTER (c_width = 12) AS width_12, count(*) FILTER (c_width = 11) AS width_11, count(*) FILTER (c_width = 5) AS width_5 FROM sanitized GROUP BY doc_id""",

@@ -14,6 +14,7 @@ from veldspar.operators import chunks, delimited, explain, frames, logs, order,
 from veldspar.plans import derive
 from veldspar.plans.oracles import ORACLE_SQL
 from veldspar.scratch import Scratch
+from veldspar.sources import files
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -127,6 +128,45 @@ def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("code"), F.substring("p_type", 1, 6).alias("meaning"))
 
 
+def register_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register tables as CSV texts of fifty records with headings and comments, every other one fenced, read back and sanitized."""
+    lines = derive.register_rows(spark, sf_dir).select((F.col("row_ord") / 50).cast("bigint").alias("doc_id"), "row_ord", registers.csv_line(F.col("fields")).alias("line"))
+    texts = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_ord", "line"))).alias("lines"))  # fifty at most
+    head, comment = ",".join(reg_fn.COLUMNS), ",".join([*reg_fn.COMMENT_ROW, *[""] * 9])
+    body = F.concat(F.lit(f"{head}\n{comment}\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\r\n"))
+    texts = texts.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```csv\n"), body, F.lit("\n```\n"))).otherwise(body).alias("csv"))
+    rows = files.record_rows(texts).withColumn("batch_ord", F.lit(0))
+    rows = registers.sanitize(rows, _catalog(spark))
+    return rows.select("doc_id", F.col("row_ord").cast("bigint").alias("row_ord"), "status", "repaired", F.get("fields", F.lit(1)).alias("grp"), F.get("fields", F.lit(2)).alias("data_name"))
+
+
+def circuit_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of circuits and ranges in all their forms, and whether endian codes are legal."""
+    rows = derive.circuit_names(spark, sf_dir)
+    found = reg_fn.settled(rows.withColumn("found", reg_fn.circuit(F.col("name"))))
+    legal = reg_fn.valid_endian(F.col("kind"), F.col("endian"))
+    return found.select("p_partkey", F.col("found.number").alias("number"), F.col("found.attribute").alias("attribute"), reg_fn.is_range_heading(F.col("name")).alias("heading"), reg_fn.is_ambiguous(F.col("name")).alias("ambiguous"), legal.alias("legal"))
+
+
+def validated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed explanations of registers, with evidence that is allowed, unknown or missing."""
+    line = _table(spark, sf_dir, "lineitem")
+    cited = F.when(F.col("l_quantity") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("e"), (F.col("l_suppkey") % 12).cast("string")), F.lit("e1")))
+    candidates = line.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.min("l_quantity").alias("l_quantity"))
+    candidates = candidates.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.col("l_partkey").alias("register_address"), cited.alias("evidence_ids"))
+    known = _table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("address"))
+    evidence = _table(spark, sf_dir, "supplier").where("s_suppkey % 12 < 10").select(F.concat(F.lit("e"), (F.col("s_suppkey") % 12).cast("string")).alias("id"))
+    found = explain.validate_candidates(candidates, known, evidence)
+    return found.select("ord", "register_address", "status")
+
+
+def register_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of messages that no definition has."""
+    answers = _pairs(spark, sf_dir).where("role = 'response'").select("registers")
+    found = explain.match_diagnostics(answers, _definitions(spark, sf_dir).where("address % 3 > 0"))
+    return found.select(F.explode(F.col("unmatched_addresses").cast("array<bigint>")).alias("address"))
+
+
 def naming_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registers.catalog(_brands(spark, sf_dir))
 
@@ -291,8 +331,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         log_entries, log_category_counts, log_summary, log_serial_errors, log_unique_serials, log_serial_totals, log_projects, log_disabled_rules, log_threads,
-        log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_overview, log_report, register_sanitized, register_diagnostics, register_merged, register_addresses,
-        naming_catalog, naming_reference, delimiter_stats, delimiter_choice, delimited_records, page_text, frame_checksums, frame_decoded, frame_calls, frame_pairs, register_explained, register_values, register_match_diagnostics,
+        log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_overview, log_report, register_sanitized, register_diagnostics, register_merged, register_addresses, register_texts, circuit_names,
+        naming_catalog, naming_reference, delimiter_stats, delimiter_choice, delimited_records, page_text, frame_checksums, frame_decoded, frame_calls, frame_pairs, register_explained, register_values, register_match_diagnostics, register_unmatched, validated_candidates,
         register_interpretations, chunk_documents, chunk_contexts, conversation_pairs, redacted_events,
     )
 }
