@@ -61,28 +61,34 @@ def _any(column: Column, *needles: str) -> Column:
     return found
 
 
+#: Marks of categories in order of precedence, as (category, where, texts). A leak counts only if something leaked, and ends the search.
+RULES = (
+    ("HttpRequest", "class", ("RequestRouterAspect",)),
+    ("DeviceNotRegistered", "message", ("device not register",)),
+    ("DispatchLifecycle", "message", ("[DISPATCH-START]", "[DISPATCH-END]", "[DISPATCH-COST]")),
+    ("DispatchDisabled", "message", ("DispatchStrategyCount fail", "disable window", "disabled ruleId=")),
+    ("ProtocolTransformError", "class", ("ComposeHandler",)),
+    ("ProtocolTransformError", "message", ("未包含协议网关转换规则",)),
+    ("MqttAuthError", "class", ("MqttAuthService",)),
+    ("MqttAuthError", "message", ("URISyntaxException",)),
+    ("DeviceRegisterError", "message", ("参数缺失",)),
+    ("TokenAuthError", "message", ("登录信息错误",)),
+    ("ModbusTcpError", "message", ("CommonService.getData error",)),
+    ("ConnectionLeak", "message", ("Clear leak clients end:",)),
+    ("ByteBufError", "class", ("AlgorithmHandler",)),
+    ("SafeElectricError", "class", ("SafeElectricServiceImpl",)),
+    ("EnergyProcessError", "class", ("EnergyStatusCacheImpl", "FrEnergyServiceImpl")),
+    ("AttachmentError", "class", ("AttachmentServiceImpl",)),
+    ("AttachmentError", "message", ("TokenFilter Exception",)),
+)
+
+
 def category(cls: Column, message: Column) -> Column:
     """The first category whose marks the class or message has."""
-    rules = [
-        ("HttpRequest", _any(cls, "RequestRouterAspect")),
-        ("DeviceNotRegistered", _any(message, "device not register")),
-        ("DispatchLifecycle", _any(message, "[DISPATCH-START]", "[DISPATCH-END]", "[DISPATCH-COST]")),
-        ("DispatchDisabled", _any(message, "DispatchStrategyCount fail", "disable window", "disabled ruleId=")),
-        ("ProtocolTransformError", _any(cls, "ComposeHandler") | _any(message, "未包含协议网关转换规则")),
-        ("MqttAuthError", _any(cls, "MqttAuthService") | _any(message, "URISyntaxException")),
-        ("DeviceRegisterError", _any(message, "参数缺失")),
-        ("TokenAuthError", _any(message, "登录信息错误")),
-        ("ModbusTcpError", _any(message, "CommonService.getData error")),
-        ("ConnectionLeak", _any(message, "Clear leak clients end:") & (leaked(message) > 0)),
-        ("Other", _any(message, "Clear leak clients end:")),  # nothing leaked: later rules are not asked
-        ("ByteBufError", _any(cls, "AlgorithmHandler")),
-        ("SafeElectricError", _any(cls, "SafeElectricServiceImpl")),
-        ("EnergyProcessError", _any(cls, "EnergyStatusCacheImpl", "FrEnergyServiceImpl")),
-        ("AttachmentError", _any(cls, "AttachmentServiceImpl") | _any(message, "TokenFilter Exception")),
-    ]
-    out = F.when(rules[0][1], rules[0][0])
-    for name, condition in rules[1:]:
-        out = out.when(condition, name)
+    out = F.when(F.lit(False), "Other")
+    for name, where, texts in RULES:
+        mark = _any(cls if where == "class" else message, *texts)
+        out = out.when(mark, F.when(leaked(message) > 0, name).otherwise("Other") if name == "ConnectionLeak" else F.lit(name))
     return out.otherwise("Other")
 
 

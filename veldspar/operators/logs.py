@@ -8,11 +8,12 @@ so one very long file is no single task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions import logs as fn
 from veldspar.functions.registers import let, settled
+from veldspar.operators import needles
 
 BLOCK_LINES = 100_000
 ORDER = ("file_ord", "line_no")
@@ -69,6 +70,19 @@ def categorised(rows: DataFrame) -> DataFrame:
     return rows.withColumn("category", code).withColumn("category_name", fn.category_name(F.col("category")))
 
 
+def rules(spark: SparkSession) -> DataFrame:
+    """The marks of categories as a table (ord, place, needle, category)."""
+    rows = [(k, place, text, name) for k, (name, place, texts) in enumerate(fn.RULES) for text in texts]
+    return spark.createDataFrame(rows, "ord bigint, place string, needle string, category string")
+
+
+def categorised_by_table(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Entries with ``category`` by a table of rules as ``rules`` gives it, of any length. A connection leak of nothing is Other."""
+    out = needles.categorised(rows, table, {"class": F.col("class"), "message": F.col("message")}, "Other")
+    nothing = (F.col("category") == "ConnectionLeak") & (fn.leaked(F.col("message")) <= 0)
+    return out.withColumn("category", F.when(nothing, "Other").otherwise(F.col("category")))
+
+
 def category_counts(rows: DataFrame) -> DataFrame:
     """Entries of each category, most frequent first, ties by code."""
     return categorised(rows).groupBy("category", "category_name").agg(F.count(F.lit(1)).alias("entries")).orderBy(F.desc("entries"), "category")

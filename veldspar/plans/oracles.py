@@ -178,6 +178,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT section, name, CASE WHEN section = 'entries' THEN first_ts || ' - ' || last_ts ELSE detail END AS detail, n, seen.f AS first_file, seen.l AS first_line, seen.a AS first_at FROM grouped""",
     "log_entries": f"WITH {_ENTRIES} SELECT file_ord, line_no, ts, thread, class, line, message, has_stack FROM entries",
     "log_category_counts": f"WITH {_CATEGORISED} SELECT category, category_name, count(*) AS entries FROM categorised JOIN names USING (category) GROUP BY category, category_name",
+    "log_rule_counts": f"WITH {_CATEGORISED} SELECT category, count(*) AS entries FROM categorised GROUP BY category",
+    "redacted_parts": """WITH s AS (SELECT list(p_brand ORDER BY ord) AS brands FROM (SELECT p_brand, min(p_partkey) AS ord FROM part GROUP BY p_brand))
+        SELECT p_partkey, list_reduce(list_prepend(p_brand || p_name || ' ' || p_type || ' ' || p_brand || '7 x' || p_brand, brands), lambda t, b: replace(t, b, '[REDACTED]')) AS text FROM part, s""",
     "log_summary": f"""WITH {_CATEGORISED}
         SELECT count(*) AS entry_count, count(*) + count(*) FILTER (has_stack) AS total_lines, arg_min(ts, CAST(file_ord AS BIGINT) * 1000000000 + line_no) AS time_start,
                arg_max(ts, CAST(file_ord AS BIGINT) * 1000000000 + line_no) AS time_end, count(*) FILTER (category = 'ConnectionLeak') AS connection_leaks, count(DISTINCT thread) AS thread_count

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veldspar.functions import frames as hexes
 from veldspar.functions import logs as log_fn
 from veldspar.functions import registers as reg_fn
-from veldspar.operators import chunks, delimited, explain, frames, logs, order, registers
+from veldspar.operators import chunks, delimited, explain, frames, logs, needles, order, registers
 from veldspar.plans import derive
 from veldspar.plans.oracles import ORACLE_SQL
 from veldspar.scratch import Scratch
@@ -86,6 +86,19 @@ def log_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.overview(derive.log_lines(spark, sf_dir))
 
 
+def log_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories by a table of rules."""
+    return logs.categorised_by_table(_entries(spark, sf_dir), logs.rules(spark)).groupBy("category").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def redacted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as secrets in the descriptions of parts; some are the beginning of others."""
+    part = _table(spark, sf_dir, "part")
+    secrets = part.groupBy(F.col("p_brand").alias("needle")).agg(F.min("p_partkey").alias("ord"))
+    text = F.concat_ws(" ", F.concat("p_brand", "p_name"), "p_type", F.concat("p_brand", F.lit("7")), F.concat(F.lit("x"), "p_brand"))
+    return needles.redacted(part.select("p_partkey", text.alias("text")), "text", secrets)
+
+
 def log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.report(_entries(spark, sf_dir))
 
@@ -331,8 +344,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         log_entries, log_category_counts, log_summary, log_serial_errors, log_unique_serials, log_serial_totals, log_projects, log_disabled_rules, log_threads,
-        log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_overview, log_report, register_sanitized, register_diagnostics, register_merged, register_addresses, register_texts, circuit_names,
+        log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_overview, log_rule_counts, log_report, register_sanitized, register_diagnostics, register_merged, register_addresses, register_texts, circuit_names,
         naming_catalog, naming_reference, delimiter_stats, delimiter_choice, delimited_records, page_text, frame_checksums, frame_decoded, frame_calls, frame_pairs, register_explained, register_values, register_match_diagnostics, register_unmatched, validated_candidates,
-        register_interpretations, chunk_documents, chunk_contexts, conversation_pairs, redacted_events,
+        register_interpretations, chunk_documents, chunk_contexts, conversation_pairs, redacted_events, redacted_parts,
     )
 }
