@@ -162,6 +162,8 @@ ORACLE_SQL: dict[str, str] = {
     "delimiter_stats": f"WITH {_DELIMITED} SELECT * EXCLUDE (nth) FROM stats",
     "delimiter_choice": f"""WITH {_DELIMITED} SELECT conv_id, turn, delimiter FROM stats
         QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY common > 1 DESC, CAST(n_split AS DOUBLE) / greatest(n_rows, 1) DESC, CAST(n_common AS DOUBLE) / greatest(n_rows, 1) DESC, spread, common DESC, outside DESC, nth) = 1""",
+    "detected_encodings": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'cp1252' WHEN 2 THEN 'cp850' WHEN 3 THEN 'mac_roman' WHEN 4 THEN 'utf-16-le' ELSE 'utf-16-be' END AS written,
+          doc_id // 6 % 2 = 1 AS held_out, true AS right FROM documents""",
     "delimited_records": """SELECT coalesce(source, '') AS file, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id, text) - 1 AS row_ord, CAST(doc_id AS VARCHAR) AS doc_id,
           coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents""",
     "log_overview": f"""WITH {_CATEGORISED}, facts AS (

@@ -14,7 +14,7 @@ from veldspar.operators import chunks, delimited, explain, frames, logs, needles
 from veldspar.plans import derive
 from veldspar.plans.oracles import ORACLE_SQL
 from veldspar.scratch import Scratch
-from veldspar.sources import files
+from veldspar.sources import encodings, files
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -188,6 +188,20 @@ def naming_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registers.reference_lines(registers.catalog(_brands(spark, sf_dir)))
 
 
+def detected_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written in six encodings by id, their encoding found by a model of the other half of the documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    written = ("utf-8", "cp1252", "cp850", "mac_roman", "utf-16-le", "utf-16-be")
+    half = F.floor(F.col("doc_id") / len(written)) % 2 == 0
+    model = encodings.train(docs.where(half), encodings=written)
+    true = F.get(F.array(*map(F.lit, written)), F.pmod("doc_id", F.lit(len(written))).cast("int"))
+    files = encodings.encoded(docs.withColumn("written", true), "written")
+    found = encodings.detect(encodings.blocks_of(files, ["doc_id"]), ["doc_id"], model)
+    read = encodings.decoded(files.drop("text").join(found, "doc_id"))
+    again = encodings.decoded(read.withColumnRenamed("text", "read"), "data", "written")
+    return again.select("doc_id", "written", (~half).alias("held_out"), (F.col("read") == F.col("text")).alias("right"))
+
+
 def delimiter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.delimiter_stats(derive.delimited_texts(spark, sf_dir), ["conv_id", "turn"])
 
@@ -345,7 +359,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         log_entries, log_category_counts, log_summary, log_serial_errors, log_unique_serials, log_serial_totals, log_projects, log_disabled_rules, log_threads,
         log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_overview, log_rule_counts, log_report, register_sanitized, register_diagnostics, register_merged, register_addresses, register_texts, circuit_names,
-        naming_catalog, naming_reference, delimiter_stats, delimiter_choice, delimited_records, page_text, frame_checksums, frame_decoded, frame_calls, frame_pairs, register_explained, register_values, register_match_diagnostics, register_unmatched, validated_candidates,
+        naming_catalog, naming_reference, detected_encodings, delimiter_stats, delimiter_choice, delimited_records, page_text, frame_checksums, frame_decoded, frame_calls, frame_pairs, register_explained, register_values, register_match_diagnostics, register_unmatched, validated_candidates,
         register_interpretations, chunk_documents, chunk_contexts, conversation_pairs, redacted_events, redacted_parts,
     )
 }

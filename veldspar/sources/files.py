@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 from veldspar.functions.registers import COLUMNS
 from veldspar.operators import delimited as operators_delimited
 from veldspar.operators import registers
-from veldspar.sources import office, ranges
+from veldspar.sources import encodings, office, ranges
 from veldspar.sources.text import ParseFailed, decode_resource, records
 
 MOST_BYTES = 50 * 1024 * 1024
@@ -43,14 +43,15 @@ def _legacy(raw: pa.Array, encoding: pa.Array) -> pa.Array:
     return pa.array([None if r is None else r.decode(e, "replace") for r, e in zip(raw.to_pylist(), encoding.to_pylist(), strict=True)], pa.string())
 
 
-def log_lines(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+def log_lines(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES, model: encodings.Model | None = None) -> DataFrame:
     """Lines (file_ord, path, line_no, line) of the log files of a folder, files in the order of their paths.
 
     A plain file is read by ranges of ``range_bytes``, each a task, so one file may be of any size; a
     packed one (.gz in any case) is one task, read as a stream. A first pass counts the lines of each
     range, their running sum numbers the lines of the second; what meets them is a row a range. A line
     ends with a line feed; one carriage return before it goes too. A file is UTF-8 unless a line of it
-    isn't or holds a replacement character, then GB18030 if all its lines are, else Windows-1252.
+    isn't or holds a replacement character, then GB18030 if all its lines are, else what a ``model``
+    of encodings finds in its blocks, or Windows-1252 without one.
     """
     files = ranges.listed(path, (".log", ".gz"))
     same = Window.partitionBy("file_ord")
@@ -58,6 +59,9 @@ def log_lines(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BY
         "file_ord", "path", "start", (F.sum("lines").over(same.orderBy("start")) - F.col("lines")).alias("before"),
         F.when(F.min("utf8").over(same), "utf-8").when(F.min("gb18030").over(same), "gb18030").otherwise("cp1252").alias("encoding"),
     )
+    if model is not None:
+        guessed = encodings.detect(_ranges(spark, files, "blocks", bytes=range_bytes), ["file_ord"], model).withColumnRenamed("encoding", "guess")
+        counts = counts.join(guessed, "file_ord", "left").withColumn("encoding", F.when(F.col("encoding") == "cp1252", F.coalesce("guess", "encoding")).otherwise(F.col("encoding"))).drop("guess")
     n_ranges = sum(1 if ranges.is_packed(p) else -(-size // range_bytes) for p, size in files)
     counts = F.broadcast(counts) if n_ranges <= MOST_BROADCAST else counts  # beyond it, lines are shuffled by their range
     rows = _ranges(spark, files, "lines", bytes=range_bytes).join(counts, ["file_ord", "start"])
