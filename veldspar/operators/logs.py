@@ -8,12 +8,13 @@ so one very long file is no single task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions import logs as fn
 from veldspar.functions.registers import let, settled
 from veldspar.operators import needles
+from veldspar.scratch import Scratch
 
 BLOCK_LINES = 100_000
 ORDER = ("file_ord", "line_no")
@@ -216,18 +217,43 @@ def samples(rows: DataFrame, per_category: int = 5) -> DataFrame:
     return ranked.select("category", "nth", *ORDER, "ts", "thread", "message")
 
 
-def report(rows: DataFrame, minutes: int = 10, threshold_ms: int = 10_000) -> DataFrame:
-    """Lines of a plain-text report: section, nth, line. Each section keeps its display limit."""
-    def numbered(frame: DataFrame, section: str, limit: int, text, *order) -> DataFrame:  # noqa: ANN001
-        top = frame.orderBy(*order).limit(limit)
-        return top.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("nth"), text.alias("line"))
+def report(lines: DataFrame, minutes: int = 10, threshold_ms: int = 10_000) -> DataFrame:
+    """Lines of a plain-text report: section, nth, line. Each section keeps its display limit.
 
-    count = lambda name: F.concat(F.lit("- "), F.col(name), F.lit(": "), F.col("entries").cast("string"), F.lit(" 条"))
+    Sections are overview, categories, stuck, heatmap, serials, rules and, for each category, its first entries.
+    What is counted comes from one overview of the lines, which is a small table, so the lines are not read again for it.
+    """
+    facts = Scratch(lines.sparkSession, "log-report").save(overview(lines), "facts")
+    rows = entries(lines)
+
+    def numbered(frame: DataFrame, section: Column | str, limit: int | None, text: Column, *order: Column) -> DataFrame:
+        top = frame.orderBy(*order).limit(limit) if limit else frame  # a display limit, or a table of one row a distinct fact
+        name = F.lit(section) if isinstance(section, str) else section
+        return top.select(name.alias("section"), F.row_number().over(Window.orderBy(*order)).alias("nth"), text.alias("line"))
+
+    of = lambda section: facts.where(F.col("section") == section).drop("section")
+    seen = (F.col("first_file"), F.col("first_line"), F.col("first_at"))
+    text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
+    total = lambda section: F.sum(F.when(F.col("section") == section, F.col("n")).otherwise(0))
+    distinct = lambda section: F.count_distinct(F.when(F.col("section") == section, F.col("name")))
+    sums = facts.agg(
+        F.max(F.when(F.col("section") == "entries", F.replace("detail", F.lit(" - "), F.lit(" ~ ")))).alias("times"), total("entries").alias("entries"), total("leaks").alias("leaks"),
+        distinct("threads").alias("threads"), distinct("serials").alias("serials"),
+        F.lit(1).alias("one"),
+    ).join(rows.agg(F.count_if("has_stack").alias("stacks"), F.lit(1).alias("one")), "one")  # one row each
+    said = F.array(
+        text("- 时间范围: ", F.coalesce("times", F.lit("N/A ~ N/A"))), text("- 总行数: ", F.col("entries") + F.col("stacks"), ", 条目: ", F.col("entries"), ", 线程数: ", F.col("threads")),
+        text("- 涉及设备 SN: ", F.col("serials"), " 个"), text("- 连接泄漏次数: ", F.col("leaks")),
+    )
+    count = lambda name, n: text("- ", F.col(name), ": ", F.col(n), " 条")
     parts = [
-        numbered(category_counts(rows), "categories", 15, count("category_name"), F.desc("entries"), F.col("category")),
-        numbered(stuck_threads(rows, threshold_ms), "stuck", 10, F.concat(F.lit("- `"), F.col("thread"), F.lit("`: "), F.col("duration_ms").cast("string"), F.lit("ms")), F.desc("duration_ms"), F.col("end_time"), F.col("thread")),
-        numbered(heatmap(rows, minutes), "heatmap", 20, count("hour"), F.col("run")),
-        numbered(unique_serials(rows), "serials", 20, F.concat(F.lit("- `"), F.col("sn"), F.lit("`")), F.col("sn")),
+        sums.select(F.lit("overview").alias("section"), F.posexplode(said).alias("nth", "line")).withColumn("nth", F.col("nth") + 1),
+        numbered(of("categories"), "categories", 15, count("name", "n"), F.desc("n"), F.col("name")),
+        numbered(stuck_threads(rows, threshold_ms), "stuck", 10, text("- `", F.col("thread"), "`: ", F.col("duration_ms"), "ms"), F.desc("duration_ms"), F.col("end_time"), F.col("thread")),
+        numbered(heatmap(rows, minutes), "heatmap", 20, count("hour", "entries"), F.col("run")),
+        numbered(of("serials").select("name").distinct(), "serials", 20, text("- `", F.col("name"), "`"), F.col("name")),
+        numbered(of("rules"), "rules", None, text("- ", F.col("name")), *seen),
+        samples(rows, 3).select(text("samples: ", fn.category_name(F.col("category"))).alias("section"), "nth", text("- `", F.col("ts"), "` [", F.col("thread"), "] ", F.col("message")).alias("line")),
     ]
     out = parts[0]
     for p in parts[1:]:

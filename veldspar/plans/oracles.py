@@ -290,3 +290,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT q.conv_id, q.position, q.text AS question, a.text AS answer FROM t q LEFT JOIN t a ON a.conv_id = q.conv_id AND a.position = q.position AND a.role = 'assistant' WHERE q.role = 'user'""",
     "redacted_events": "SELECT event_id, replace(replace(props, 'click', '[REDACTED]'), 'view', '[REDACTED]') AS props FROM events",
 }
+
+#: The report is made of what other queries state.
+_PLACE = "CAST(file_ord AS BIGINT) * 1000000000 + line_no"
+_SECTIONS = {
+    "overview": f"""SELECT unnest([1, 2, 3, 4]) AS nth, unnest(['- 时间范围: ' || time_start || ' ~ ' || time_end, '- 总行数: ' || total_lines || ', 条目: ' || entry_count || ', 线程数: ' || thread_count,
+        '- 涉及设备 SN: ' || (SELECT count(*) FROM ({ORACLE_SQL["log_unique_serials"]})) || ' 个', '- 连接泄漏次数: ' || connection_leaks]) AS line FROM ({ORACLE_SQL["log_summary"]})""",
+    "categories": f"SELECT row_number() OVER (ORDER BY entries DESC, category_name) AS nth, '- ' || category_name || ': ' || entries || ' 条' AS line FROM ({ORACLE_SQL['log_category_counts']}) QUALIFY nth <= 15",
+    "stuck": f"SELECT row_number() OVER (ORDER BY duration_ms DESC, end_time, thread) AS nth, '- `' || thread || '`: ' || duration_ms || 'ms' AS line FROM ({ORACLE_SQL['log_stuck_threads']}) QUALIFY nth <= 10",
+    "heatmap": f"SELECT run AS nth, '- ' || hour || ': ' || entries || ' 条' AS line FROM ({ORACLE_SQL['log_heatmap']}) WHERE run <= 20",
+    "serials": f"SELECT row_number() OVER (ORDER BY sn) AS nth, '- `' || sn || '`' AS line FROM ({ORACLE_SQL['log_unique_serials']}) QUALIFY nth <= 20",
+    "rules": f"SELECT row_number() OVER (ORDER BY first_file, first_line) AS nth, '- ' || rule_id AS line FROM ({ORACLE_SQL['log_disabled_rules']})",
+}
+_SAMPLES = f"""SELECT 'samples: ' || category_name AS section, nth, '- `' || ts || '` [' || thread || '] ' || message AS line
+    FROM ({ORACLE_SQL["log_samples"]}) JOIN (SELECT DISTINCT category, category_name FROM ({ORACLE_SQL["log_category_counts"]})) USING (category) WHERE nth <= 3"""
+ORACLE_SQL["log_report"] = " UNION ALL ".join([*(f"SELECT '{name}' AS section, CAST(nth AS INT) AS nth, line FROM ({sql})" for name, sql in _SECTIONS.items()), _SAMPLES])

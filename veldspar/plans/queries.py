@@ -100,7 +100,7 @@ def redacted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.report(_entries(spark, sf_dir))
+    return logs.report(derive.log_lines(spark, sf_dir))
 
 
 def _catalog(spark: SparkSession) -> DataFrame:
