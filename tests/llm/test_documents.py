@@ -501,3 +501,20 @@ def test_toxicity_triples_by_hand(monkeypatch):
             assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], rel_tol=1e-9) for x in want)
         own = toxicity.kernel(texts, texts)
         assert np.allclose(np.diag(own)[[1, 2, 3, 5, 6]], 1) and (own <= 1 + 1e-9).all()
+
+
+def test_runs_of_single_letters_end_with_their_document():
+    from veldspar.llm.textkit import words
+
+    def found(texts):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
+        return toxicity.spans(words(data, offsets, 0, len(texts), True))
+
+    texts = ["i d i o t", "a b", "c d e x f g h long i", "", "j k l", "m n", "plain words"]
+    data, start, end, doc = found(texts)
+    joined = [(int(d), data[a:b].tobytes().decode()) for a, b, d in zip(start, end, doc, strict=True) if a >= len("".join(texts))]
+    assert joined == [(0, "idiot"), (2, "cdexfgh"), (4, "jkl")]
+    began = time.time()
+    assert len(found([" ".join("abcdefghijklm" * 8)] * 16_000)[0]) > 0
+    assert time.time() - began < 10

@@ -140,13 +140,13 @@ def spans(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     doc = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
     data, extra = found.data, []
     single = (end - start == 1) & (_SYMBOL[data[start]] > 0) if len(start) else np.zeros(0, bool)
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    long_run = np.diff(edge)[::2] >= 3
-    for a, b in zip(edge[::2][long_run], edge[1::2][long_run], strict=True):
-        for d in np.unique(doc[a:b]):
-            run = np.flatnonzero(doc[a:b] == d) + a
-            if len(run) >= 3:
-                extra.append((data[start[run]], d))
+    other = np.diff(doc, prepend=-1) != 0  # a run ends with its document
+    begins = single & (other | ~np.append(False, single[:-1])) if len(single) else single
+    stops = single & (np.append(other[1:], True) | ~np.append(single[1:], False)) if len(single) else single
+    begin, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    long_run = stop - begin >= 3
+    for a, b in zip(begin[long_run], stop[long_run], strict=True):
+        extra.append((data[start[a:b]], doc[a]))
     hashes = found.hashes()
     key = mix64(hashes + mix64(doc.astype(np.uint64)))
     kept = np.sort(np.unique(key, return_index=True)[1]) if len(key) else np.zeros(0, np.int64)
