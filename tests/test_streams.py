@@ -27,7 +27,7 @@ def events():
     return rows
 
 
-def _ran(spark, tmp_path, events, query, mode, seed=1, batches=6):
+def _ran(spark, tmp_path, events, query, mode, seed=1, batches=3):
     """Batches of events, shuffled within nine neighbours so that some come late, then one far ahead that moves the watermark past all."""
     rng = random.Random(seed)
     order = sorted(range(len(events)), key=lambda k: k + rng.randrange(9))
