@@ -141,6 +141,12 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def latest(rows: DataFrame, key: str = "thread", n: int = 64) -> DataFrame:
+    """The last ``n`` entries of each key, with their place from the end; earlier ones give way. Each task keeps ``n`` a key before the shuffle."""
+    along = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in ORDER))
+    return rows.withColumn("from_end", F.row_number().over(along)).where(F.col("from_end") <= n)
+
+
 def overview(lines: DataFrame) -> DataFrame:
     """All counts of the lines in one pass: section, name, detail, n, first_file, first_line, first_at.
 

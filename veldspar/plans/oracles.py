@@ -180,6 +180,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT section, name, CASE WHEN section = 'entries' THEN first_ts || ' - ' || last_ts ELSE detail END AS detail, n, seen.f AS first_file, seen.l AS first_line, seen.a AS first_at FROM grouped""",
     "log_entries": f"WITH {_ENTRIES} SELECT file_ord, line_no, ts, thread, class, line, message, has_stack FROM entries",
     "log_category_counts": f"WITH {_CATEGORISED} SELECT category, category_name, count(*) AS entries FROM categorised JOIN names USING (category) GROUP BY category, category_name",
+    "log_latest": f"""WITH {_ENTRIES} SELECT thread, CAST(row_number() OVER (PARTITION BY thread ORDER BY file_ord DESC, line_no DESC) AS INT) AS from_end, file_ord, line_no, message FROM entries QUALIFY from_end <= 64""",
+    "log_file_names": """WITH names AS (
+          SELECT 'app.' || user_id || '.log' AS name, false AS packed, user_id AS n FROM events UNION SELECT 'App.' || event_id || '.log.gz', true, event_id FROM events WHERE event_id % 2 <> 0
+        ) SELECT name, CAST(row_number() OVER (ORDER BY packed, n DESC) AS INT) AS natural, CAST(row_number() OVER (ORDER BY name DESC) AS INT) AS falling FROM names""",
     "log_rule_counts": f"WITH {_CATEGORISED} SELECT category, count(*) AS entries FROM categorised GROUP BY category",
     "redacted_parts": """WITH s AS (SELECT list(p_brand ORDER BY ord) AS brands FROM (SELECT p_brand, min(p_partkey) AS ord FROM part GROUP BY p_brand))
         SELECT p_partkey, list_reduce(list_prepend(p_brand || p_name || ' ' || p_type || ' ' || p_brand || '7 x' || p_brand, brands), lambda t, b: replace(t, b, '[REDACTED]')) AS text FROM part, s""",

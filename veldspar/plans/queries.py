@@ -99,6 +99,22 @@ def redacted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return needles.redacted(part.select("p_partkey", text.alias("text")), "text", secrets)
 
 
+def log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.latest(_entries(spark, sf_dir), "thread", 64).select("thread", "from_end", "file_ord", "line_no", "message")
+
+
+def log_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of log files in two listings, each once, with their places in natural order and by falling name."""
+    from pyspark.sql import Window
+
+    event = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user"))
+    plain = event.select(F.concat(F.lit("app."), "user", F.lit(".log")).alias("name"))
+    both = files.together(plain, event.select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("app."), "user", F.lit(".log"))).otherwise(F.concat(F.lit("App."), "id", F.lit(".log.gz"))).alias("name")))
+    found = files.search_names(both, " .LOG ")
+    place = lambda *order: F.row_number().over(Window.orderBy(*order))  # noqa: E731  distinct names only
+    return found.select("name", place(*files.natural_key(F.col("name"))).alias("natural"), place(F.col("name").desc()).alias("falling"))
+
+
 def log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.report(derive.log_lines(spark, sf_dir))
 
@@ -358,7 +374,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         log_entries, log_category_counts, log_summary, log_serial_errors, log_unique_serials, log_serial_totals, log_projects, log_disabled_rules, log_threads,
-        log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_overview, log_rule_counts, log_report, register_sanitized, register_diagnostics, register_merged, register_addresses, register_texts, circuit_names,
+        log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_overview, log_rule_counts, log_latest, log_file_names, log_report, register_sanitized, register_diagnostics, register_merged, register_addresses, register_texts, circuit_names,
         naming_catalog, naming_reference, detected_encodings, delimiter_stats, delimiter_choice, delimited_records, page_text, frame_checksums, frame_decoded, frame_calls, frame_pairs, register_explained, register_values, register_match_diagnostics, register_unmatched, validated_candidates,
         register_interpretations, chunk_documents, chunk_contexts, conversation_pairs, redacted_events, redacted_parts,
     )

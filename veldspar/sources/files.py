@@ -187,14 +187,29 @@ def naming_catalog(spark: SparkSession, csv_path: str, markdown_path: str) -> Da
     return found
 
 
-def natural_order(files: DataFrame, name_col: str = "name") -> DataFrame:
-    """Files in natural order: plain ones before .gz, then by dotted parts, numbers and words falling; of a name and one that goes on the shorter comes first."""
-    name = F.col(name_col)
+def natural_key(name: Column) -> list[Column]:
+    """What names are ordered by: plain ones before .gz, then dotted parts, numbers and words falling; of a name and one that goes on the shorter comes first."""
     parts = F.split(F.regexp_replace(name, r"\.gz$", ""), r"\.")
     # Padded digits sort as numbers do. A high mark ends each key, so that in falling order the shorter of two names comes first.
     key = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(p, 20, "0"))).otherwise(F.concat(F.lit("1"), p)))
-    key = F.concat(key, F.array(F.lit("2")))
-    return files.orderBy(name.endswith(".gz"), key.desc(), name)
+    return [name.endswith(".gz"), F.concat(key, F.array(F.lit("2"))).desc(), name]
+
+
+def natural_order(files: DataFrame, name_col: str = "name") -> DataFrame:
+    """Files in natural order of their names."""
+    return files.orderBy(*natural_key(F.col(name_col)))
+
+
+def newest_first(files: DataFrame, name_col: str = "name") -> DataFrame:
+    """Files by falling name, which for dated names puts the newest first."""
+    return files.orderBy(F.col(name_col).desc())
+
+
+def together(first: DataFrame, *more: DataFrame) -> DataFrame:
+    """Rows of several listings, each once."""
+    for other in more:
+        first = first.unionByName(other)
+    return first.distinct()
 
 
 def search_names(files: DataFrame, wanted: str, name_col: str = "name") -> DataFrame:
