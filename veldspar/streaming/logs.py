@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.functions import logs as fn
+from veldspar.operators import logs
 
 
 def lines(spark: SparkSession, folder: str, files_a_trigger: int = 64) -> DataFrame:
@@ -17,11 +18,10 @@ def lines(spark: SparkSession, folder: str, files_a_trigger: int = 64) -> DataFr
 
 
 def entries(stream: DataFrame) -> DataFrame:
-    """Entries of a stream of lines, with ``time`` beside the timestamp's text; lines that are no entries are dropped."""
-    text = fn.trimmed(F.col("line"))
-    part = lambda k: F.regexp_extract(text, fn.LINE, k)
-    rows = stream.where(text.rlike(fn.LINE) & ~fn.is_stack(F.col("line")))
-    rows = rows.select(part(1).alias("ts"), part(3).alias("thread"), part(4).alias("class"), part(6).alias("message"))
+    """Entries of a stream of lines, with ``time`` beside the timestamp's text; lines that are no entries are dropped. file_ord and line_no stay if they are there."""
+    given = [c for c in logs.ORDER if c in stream.columns]
+    place = (F.col(c) if c in given else F.lit(0).cast("bigint").alias(c) for c in logs.ORDER)
+    rows = logs.parsed(stream.select(*place, "line")).select(*given, "ts", "thread", "class", "message")
     return rows.withColumn("time", F.to_timestamp("ts", "yyyy-MM-dd HH:mm:ss.SSS")).withColumn("category", fn.category(F.col("class"), F.col("message")))
 
 
