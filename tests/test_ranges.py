@@ -55,6 +55,15 @@ def test_log_folder_by_ranges(spark, tmp_path, monkeypatch):
         files.log_lines(spark, str(tmp_path)).collect()
 
 
+def test_names_of_all_kinds(spark, tmp_path):
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    for name in ("x y.log", "电压#1.log", "50%.log"):
+        (folder / name).write_text(f"{name}\n")
+    for path in (str(folder), f"file://{folder}"):
+        assert {r.line for r in files.log_lines(spark, path).collect()} == {"x y.log", "电压#1.log", "50%.log"}
+
+
 def test_one_large_file_is_many_tasks(spark, tmp_path):
     """200 MB in ranges of 8 MB: every line in its place, no task with more than its range."""
     piece = "".join(f"2026-07-20 16:50:00.001 [INFO][exec-{k % 8}][com.app.Worker:{k}] message {k}\n" for k in range(10_000)).encode()

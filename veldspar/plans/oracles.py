@@ -180,6 +180,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT section, name, CASE WHEN section = 'entries' THEN first_ts || ' - ' || last_ts ELSE detail END AS detail, n, seen.f AS first_file, seen.l AS first_line, seen.a AS first_at FROM grouped""",
     "log_entries": f"WITH {_ENTRIES} SELECT file_ord, line_no, ts, thread, class, line, message, has_stack FROM entries",
     "log_category_counts": f"WITH {_CATEGORISED} SELECT category, category_name, count(*) AS entries FROM categorised JOIN names USING (category) GROUP BY category, category_name",
+    "log_file_lines": f"WITH {_ENTRIES} SELECT row_number() OVER (ORDER BY file_ord, line_no) - 1 AS nth, line FROM log_lines",
     "log_latest": f"""WITH {_ENTRIES} SELECT thread, CAST(row_number() OVER (PARTITION BY thread ORDER BY file_ord DESC, line_no DESC) AS INT) AS from_end, file_ord, line_no, message FROM entries QUALIFY from_end <= 64""",
     "log_file_names": """WITH names AS (
           SELECT 'app.' || user_id || '.log' AS name, false AS packed, user_id AS n FROM events UNION SELECT 'App.' || event_id || '.log.gz', true, event_id FROM events WHERE event_id % 2 <> 0
@@ -238,6 +239,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) FILTER (valid) AS valid_records, count(*) FILTER (repaired) AS repaired_missing_unit, count(*) FILTER (NOT valid) AS rejected_records,
           count(*) FILTER (c_width = 12) AS width_12, count(*) FILTER (c_width = 11) AS width_11, count(*) FILTER (c_width = 5) AS width_5 FROM sanitized GROUP BY doc_id""",
     "register_merged": _MERGED,
+    "register_files": f"SELECT doc_id, ord, ord AS row_ord, data_name, reg_add, reg_type, grp FROM ({_MERGED}) WHERE status = 'kept'",
     "register_addresses": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_partkey END AS address FROM part",
     "naming_catalog": """WITH once AS (SELECT p_brand AS code, substr(p_type, 1, 6) AS meaning, min(p_partkey) AS ord FROM part GROUP BY ALL)
         SELECT code, string_agg(trim(meaning), ' / ' ORDER BY ord) AS meaning, min(ord) AS ord FROM (SELECT code, trim(meaning) AS meaning, min(ord) AS ord FROM once GROUP BY ALL) GROUP BY code""",

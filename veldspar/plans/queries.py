@@ -14,7 +14,7 @@ from veldspar.operators import chunks, delimited, explain, frames, logs, needles
 from veldspar.plans import derive
 from veldspar.plans.oracles import ORACLE_SQL
 from veldspar.scratch import Scratch
-from veldspar.sources import encodings, files
+from veldspar.sources import encodings, files, sinks
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -99,6 +99,19 @@ def redacted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return needles.redacted(part.select("p_partkey", text.alias("text")), "text", secrets)
 
 
+def log_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines written to text files in the shared folder and read back by byte ranges, numbered through all files."""
+    from pyspark.sql import Window
+
+    folder = f"{Scratch(spark, 'log-files').root}/lines"
+    lines = derive.log_lines(spark, sf_dir).repartitionByRange("file_ord", "line_no").sortWithinPartitions("file_ord", "line_no")
+    lines.select("line").write.text(folder)
+    found = files.log_lines(spark, folder, 1 << 20, suffixes=(".txt",))
+    sizes = found.groupBy("file_ord").agg((F.max("line_no") + 1).alias("n"))
+    before = sizes.select("file_ord", (F.sum("n").over(Window.orderBy("file_ord")) - F.col("n")).alias("before"))  # a row a file
+    return found.join(before, "file_ord").select((F.col("before") + F.col("line_no")).alias("nth"), "line")
+
+
 def log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.latest(_entries(spark, sf_dir), "thread", 64).select("thread", "from_end", "file_ord", "line_no", "message")
 
@@ -147,6 +160,18 @@ def register_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("doc_id", F.when(F.col("status") == "kept", F.col("ord").cast("bigint")).alias("ord"), "status", F.col("address").cast("bigint").alias("address"), pick(2).alias("data_name"), pick(4).alias("reg_add"), pick(5).alias("reg_type"), pick(1).alias("grp"))
 
 
+def register_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged tables written as one CSV file a document in the shared folder, and read back."""
+    folder = f"{Scratch(spark, 'register-files').root}/tables"
+    merged = registers.merge(_sanitized(spark, sf_dir))
+    stems = derive.register_rows(spark, sf_dir).select("doc_id", F.concat(F.lit("table: "), F.col("doc_id").cast("string")).alias("stem")).distinct()
+    sinks.write_register_files(merged, stems, folder, "20260102_030405")
+    rows = files.delimited(spark, folder, ",").where("row_ord > 0")
+    doc = F.regexp_extract("path", r"table ([0-9]+)_20260102_030405_[0-9a-f]{6}\.csv$", 1).cast("bigint")
+    pick = lambda k: F.get("fields", F.lit(k))
+    return rows.select(doc.alias("doc_id"), pick(0).cast("bigint").alias("ord"), "row_ord", pick(2).alias("data_name"), pick(4).alias("reg_add"), pick(5).alias("reg_type"), pick(1).alias("grp"))
+
+
 def register_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("p_partkey")
     text = F.when(number % 4 == 0, F.concat(F.lit("0x"), F.lower(F.hex(number)))).when(number % 4 == 1, F.concat(F.hex(number), F.lit("H"))).when(number % 4 == 2, F.concat(F.lit(" "), number.cast("string"), F.lit(" "))).otherwise(F.concat(number.cast("string"), F.lit("x")))
@@ -374,7 +399,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         log_entries, log_category_counts, log_summary, log_serial_errors, log_unique_serials, log_serial_totals, log_projects, log_disabled_rules, log_threads,
-        log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_overview, log_rule_counts, log_latest, log_file_names, log_report, register_sanitized, register_diagnostics, register_merged, register_addresses, register_texts, circuit_names,
+        log_heatmap, log_stuck_threads, log_samples, log_dispatch_costs, log_overview, log_rule_counts, log_file_lines, log_latest, log_file_names, log_report, register_sanitized, register_diagnostics, register_merged, register_files, register_addresses, register_texts, circuit_names,
         naming_catalog, naming_reference, detected_encodings, delimiter_stats, delimiter_choice, delimited_records, page_text, frame_checksums, frame_decoded, frame_calls, frame_pairs, register_explained, register_values, register_match_diagnostics, register_unmatched, validated_candidates,
         register_interpretations, chunk_documents, chunk_contexts, conversation_pairs, redacted_events, redacted_parts,
     )

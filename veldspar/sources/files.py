@@ -43,8 +43,8 @@ def _legacy(raw: pa.Array, encoding: pa.Array) -> pa.Array:
     return pa.array([None if r is None else r.decode(e, "replace") for r, e in zip(raw.to_pylist(), encoding.to_pylist(), strict=True)], pa.string())
 
 
-def log_lines(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES, model: encodings.Model | None = None) -> DataFrame:
-    """Lines (file_ord, path, line_no, line) of the log files of a folder, files in the order of their paths.
+def log_lines(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES, model: encodings.Model | None = None, suffixes: tuple[str, ...] = (".log", ".gz")) -> DataFrame:
+    """Lines (file_ord, path, line_no, line) of the log files of a folder (those that end in one of ``suffixes``), files in the order of their paths.
 
     A plain file is read by ranges of ``range_bytes``, each a task, so one file may be of any size; a
     packed one (.gz in any case) is one task, read as a stream. A first pass counts the lines of each
@@ -53,7 +53,7 @@ def log_lines(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BY
     isn't or holds a replacement character, then GB18030 if all its lines are, else what a ``model``
     of encodings finds in its blocks, or Windows-1252 without one.
     """
-    files = ranges.listed(path, (".log", ".gz"))
+    files = ranges.listed(path, suffixes)
     same = Window.partitionBy("file_ord")
     counts = _ranges(spark, files, "counts", bytes=range_bytes).select(
         "file_ord", "path", "start", (F.sum("lines").over(same.orderBy("start")) - F.col("lines")).alias("before"),

@@ -16,6 +16,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ LF, CR = 0x0A, 0x0D
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
+    """The file system of a path or URI, and the path in it. Names in it stand as they are, not escaped."""
+    path = quote(path, safe="/:@?=&,+~") if ":/" in path else path
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
