@@ -59,3 +59,15 @@ def test_register_map_of_many_parts(spark, tmp_path):
     assert tuple(got) == db.sql(queries.ORACLE_SQL["register_match_diagnostics"]).fetchall()[0]
     assert queries.QUERIES["register_explained"](spark, str(tmp_path)).where("parameter_name is not null").limit(1).count() == 1
     assert queries.QUERIES["register_values"](spark, str(tmp_path)).where("converted_value is not null").limit(1).count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the driver's tables are not here")
+def test_lines_are_dealt_before_they_are_grouped(spark, monkeypatch):
+    """Groups are of one line nearly all, so held before the shuffle they only spill; and parts grow in number with the lines."""
+    from veldspar.plans import derive
+
+    monkeypatch.setattr(derive, "DEALT_LINES", 500)
+    for rows in (derive.hex_bodies(spark, SF_DIR), derive.segments(spark, SF_DIR)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.index("partial_min") < plan.index("Exchange hashpartitioning")
+        assert rows.rdd.getNumPartitions() >= 12
