@@ -101,3 +101,20 @@ def test_one_island_of_a_million_records_is_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     kept = _greedy((a, (4, 2, 1)[a % 3], a, (10, 8, 6)[a % 3]) for a in range(n))
     assert tuple(got) == (len(kept), sum(kept), len(kept), sum(i * a % 997 for i, a in enumerate(kept, 1)))
+
+
+def test_rows_numbered_without_keys_and_falling(spark, monkeypatch):
+    """One group of all rows, some columns falling; no task sorts all of it."""
+    frame = spark.range(2000).select((F.col("id") % 7).alias("a"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("b"))
+    found = order.numbered(frame, [], [F.col("a"), F.col("b")], Scratch(spark, "test-falling"), falling=(1,))
+    rows = sorted(sorted(((k % 7, f"n{k}") for k in range(2000)), key=lambda r: r[1], reverse=True), key=lambda r: r[0])
+    assert [(r.a, r.b) for r in found.orderBy("nth").collect()] == rows
+    assert [r.nth for r in found.orderBy("nth").collect()] == list(range(1, 2001))
+
+
+def test_names_are_placed_by_ranges(spark):
+    from veldspar.plans import queries
+
+    seen = queries.log_file_names(spark, "/root/testdata/sf0.001")
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(_part" in plan and "row_number() windowspecdefinition(name" not in plan

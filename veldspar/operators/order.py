@@ -36,21 +36,23 @@ def orbit(nodes: DataFrame, key: list[str], scratch: Scratch, name: str = "orbit
     return now.where("reached").select(*key, "at").unionByName(alone)
 
 
-def numbered(rows: DataFrame, key: list[str], order: list[Column], scratch: Scratch, name: str = "nth", table: str = "numbered") -> DataFrame:
+def numbered(rows: DataFrame, key: list[str], order: list[Column], scratch: Scratch, name: str = "nth", table: str = "numbered", falling: tuple[int, ...] = ()) -> DataFrame:
     """Rows with their number within ``key`` along rising ``order``, from 1.
 
     Rows are dealt by ranges of (key, order) and stored; rows are numbered within each range, and what
     the ranges before hold of a key is a running sum over one row a key and range. A key that holds a
-    third of all rows spans many ranges, if ``order`` tells its rows apart.
+    third of all rows spans many ranges, if ``order`` tells its rows apart. Without keys all
+    rows are one group. The columns of ``order`` at the places ``falling`` fall.
     """
     ends = {f"_o{k}": c for k, c in enumerate(order)}
-    dealt = rows.withColumns(ends).repartitionByRange(*key, *ends).withColumn("_part", F.spark_partition_id())
+    along = [F.desc(c) if k in falling else F.asc(c) for k, c in enumerate(ends)]
+    dealt = rows.withColumns(ends).repartitionByRange(*key, *along).withColumn("_part", F.spark_partition_id())
     dealt = scratch.save(dealt, table)
     counts = dealt.groupBy("_part", *key).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*key).orderBy("_part")) - F.col("_n")  # a row a range
     counts = counts.select("_part", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), before.alias("_before"))
     same = F.col("_part") == counts["_part"]
-    inside = F.row_number().over(Window.partitionBy("_part", *key).orderBy(*ends))
+    inside = F.row_number().over(Window.partitionBy("_part", *key).orderBy(*along))
     inner = dealt.withColumn("_inside", inside).withColumnRenamed("_part", "_p")
     same = inner["_p"] == counts["_part"]
     for i, k in enumerate(key):

@@ -118,14 +118,14 @@ def log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of log files in two listings, each once, with their places in natural order and by falling name."""
-    from pyspark.sql import Window
-
     event = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user"))
     plain = event.select(F.concat(F.lit("app."), "user", F.lit(".log")).alias("name"))
     both = files.together(plain, event.select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("app."), "user", F.lit(".log"))).otherwise(F.concat(F.lit("App."), "id", F.lit(".log.gz"))).alias("name")))
     found = files.search_names(both, " .LOG ")
-    place = lambda *order: F.row_number().over(Window.orderBy(*order))  # noqa: E731  distinct names only
-    return found.select("name", place(*files.natural_key(F.col("name"))).alias("natural"), place(F.col("name").desc()).alias("falling"))
+    scratch, name = Scratch(spark, "log-file-names"), F.col("name")
+    found = order.numbered(scratch.save(found, "names"), [], files.natural_parts(name), scratch, "natural", "by-key", falling=(1,))
+    found = order.numbered(found, [], [name], scratch, "falling", "by-name", falling=(0,))
+    return found.select("name", F.col("natural").cast("int").alias("natural"), F.col("falling").cast("int").alias("falling"))
 
 
 def log_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,12 +187,18 @@ def naming_catalog(spark: SparkSession, csv_path: str, markdown_path: str) -> Da
     return found
 
 
-def natural_key(name: Column) -> list[Column]:
-    """What names are ordered by: plain ones before .gz, then dotted parts, numbers and words falling; of a name and one that goes on the shorter comes first."""
+def natural_parts(name: Column) -> list[Column]:
+    """The columns that ``natural_key`` orders by; the second of them falls."""
     parts = F.split(F.regexp_replace(name, r"\.gz$", ""), r"\.")
     # Padded digits sort as numbers do. A high mark ends each key, so that in falling order the shorter of two names comes first.
     key = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(p, 20, "0"))).otherwise(F.concat(F.lit("1"), p)))
-    return [name.endswith(".gz"), F.concat(key, F.array(F.lit("2"))).desc(), name]
+    return [name.endswith(".gz"), F.concat(key, F.array(F.lit("2"))), name]
+
+
+def natural_key(name: Column) -> list[Column]:
+    """What names are ordered by: plain ones before .gz, then dotted parts, numbers and words falling; of a name and one that goes on the shorter comes first."""
+    packed, key, whole = natural_parts(name)
+    return [packed, key.desc(), whole]
 
 
 def natural_order(files: DataFrame, name_col: str = "name") -> DataFrame:
