@@ -108,3 +108,27 @@ def test_delimiters_equal_the_rule_for_one_text(spark):
     blocks = delimited.blocks_of(frame, ["doc"], chars=7).join(delimited.sniffed(frame, ["doc"]), "doc")
     rows = delimited.records(blocks, ["doc"], None).groupBy("doc").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r.doc: r.n for r in rows} == {k: n for k, t in enumerate(texts) if (n := len(_rows(t or "", got[k])))}
+
+
+def test_many_blocks_are_followed_side_by_side(monkeypatch):
+    rng = random.Random(11)
+    for run in (1, 3, 512):
+        monkeypatch.setattr(delimited, "RUN", run)
+        blocks = [_noise(rng, rng.randint(0, 60)).encode() for _ in range(80)] + [b"", b'"' * 1500 + b"\n"]
+        signs = [rng.choice(",;|") for _ in blocks]
+        entered = [rng.randrange(4) for _ in blocks]
+        found = delimited.all_ways(blocks, signs)
+        ends = delimited.all_ends(blocks, signs, entered)
+        for k, (data, sign, start) in enumerate(zip(blocks, signs, entered, strict=True)):
+            assert (found[:, k] & 3).tolist() == delimited.ways(data, sign)
+            assert ends[k].tolist() == delimited.record_ends(data, sign, start).tolist()
+            assert (found[:, k] >= delimited.ENDED).tolist() == [len(delimited.record_ends(data, sign, s)) > 0 for s in range(4)]
+
+
+def test_records_of_small_blocks_are_followed_in_few_calls(monkeypatch):
+    blocks, calls = [b"a,b\n" * 20] * 2000, []
+    runs = delimited._runs
+    monkeypatch.setattr(delimited, "_runs", lambda kinds: calls.append(kinds.shape) or runs(kinds))
+    delimited.all_ends(blocks, [","] * 2000, [0] * 2000)
+    assert calls == [(delimited.RUN, 2000)]
+    assert [p.stop - p.start for p in delimited._parts([b"x" * delimited.TOGETHER, b"", b"y"])] == [3] and list(delimited._parts([])) == []

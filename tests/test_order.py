@@ -118,3 +118,13 @@ def test_names_are_placed_by_ranges(spark):
     seen = queries.log_file_names(spark, "/root/testdata/sf0.001")
     plan = seen._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(_part" in plan and "row_number() windowspecdefinition(name" not in plan
+
+
+def test_running_folds_over_spans(spark):
+    rows = [(k, p, None if p % 4 == 1 else (p * 7) % 11) for k in ("a", "b") for p in range(-1, 23 if k == "a" else 2)]
+    frame = spark.createDataFrame(rows, "k string, place long, v long").repartition(3)
+    for span in (1, 5, 100):
+        for fold, both in ((F.sum, sum), (F.max, max)):
+            got = {(r.k, r.place): r.out for r in order.running(frame, ["k"], "place", F.col("v"), fold, "out", span).collect()}
+            want = {(k, p): [v for k2, q, v in rows if k2 == k and q < p and v is not None] for k, p, _ in rows}
+            assert got == {x: both(v) if v else None for x, v in want.items()}

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.operators import order
@@ -34,52 +34,96 @@ NEXT = np.array([
     [QUOTED, CLOSING, QUOTED, QUOTED, QUOTED],
     [PLAIN, QUOTED, BEGIN, BEGIN, CLOSING],
 ], np.uint8)
+#: Beside a state: a record has ended on the way to it.
+ENDED = 4
+#: NEXT of states with and without ENDED.
+STEPS = np.concatenate([NEXT, NEXT | ENDED]).astype(np.uint8)
+STEPS[[BEGIN, PLAIN, CLOSING], NEWLINE] |= ENDED
 #: Bytes that are followed one after the other; so many rows of them are followed at once.
 RUN = 512
 MARK = b"\xef\xbb\xbf"
+#: Bytes of blocks that are followed side by side, about.
+TOGETHER = 1 << 22
 MOST_BROADCAST = 100_000
 
 
-def _kinds(data: bytes, delimiter: str) -> np.ndarray:
-    """Kinds of bytes, a column for each run of RUN bytes, the last filled up."""
-    table = np.full(256, OTHER, np.uint8)
-    table[ord('"')], table[ord(delimiter)] = QUOTE, DELIMITER
-    table[[0x0A, 0x0D]] = NEWLINE
-    raw = np.frombuffer(data, np.uint8)
-    runs = np.full(-(-len(raw) // RUN) * RUN, NOTHING, np.uint8)
-    runs[: len(raw)] = table[raw]
-    return np.ascontiguousarray(runs.reshape(-1, RUN).T)
+def _kinds(blocks: list[bytes], delimiters: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of bytes, a column for each run of RUN bytes, the last of a block filled up; and the first run of each block, with their number."""
+    first = np.cumsum([0, *(-(-len(data) // RUN) for data in blocks)])
+    runs = np.full(first[-1] * RUN, NOTHING, np.uint8)
+    tables = {}
+    for sign in set(delimiters):
+        tables[sign] = table = np.full(256, OTHER, np.uint8)
+        table[ord('"')], table[ord(sign)] = QUOTE, DELIMITER
+        table[[0x0A, 0x0D]] = NEWLINE
+    for data, sign, at in zip(blocks, delimiters, first.tolist(), strict=False):
+        runs[at * RUN : at * RUN + len(data)] = tables[sign][np.frombuffer(data, np.uint8)]
+    return np.ascontiguousarray(runs.reshape(-1, RUN).T), first
 
 
 def _runs(kinds: np.ndarray) -> np.ndarray:
-    """For each run, the states that its four states lead to: shape (4, runs)."""
+    """For each run, the states that its four states lead to, and ENDED beside if a record ends on the way: shape (4, runs)."""
     state = np.repeat(np.arange(4, dtype=np.uint8)[:, None], kinds.shape[1], 1)
-    flat = NEXT.ravel()
+    flat = STEPS.ravel()
     for row in kinds:
-        state = flat[state * np.uint8(NEXT.shape[1]) + row]
+        state = flat[state * np.uint8(STEPS.shape[1]) + row]
     return state
 
 
+def _followed(runs: np.ndarray, first: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What blocks entered in states (shape (n, blocks)) lead to, with ENDED, and the states that their runs are entered in. Blocks go on side by side."""
+    state, entered = state.astype(np.uint8), np.zeros((len(state), runs.shape[1]), np.uint8)
+    many, longest = np.diff(first), 0
+    order = np.argsort(-many, kind="stable")
+    going = np.searchsorted(-many[order], -np.arange(many.max(initial=0)), side="left")  # how many blocks have a run of this place
+    for longest, n in enumerate(going.tolist()):
+        mine = order[:n]
+        now, at = state[:, mine], first[mine] + longest
+        entered[:, at] = now & 3
+        state[:, mine] = runs[now & 3, at] | now & ENDED
+    return state, entered
+
+
+def all_ways(blocks: list[bytes], delimiters: list[str]) -> np.ndarray:
+    """The states that the four states of each block lead to, with ENDED beside where a record ends in it: shape (4, blocks)."""
+    kinds, first = _kinds(blocks, delimiters)
+    return _followed(_runs(kinds), first, np.repeat(np.arange(4)[:, None], len(blocks), 1))[0]
+
+
+def all_ends(blocks: list[bytes], delimiters: list[str], entered: list[int]) -> list[np.ndarray]:
+    """For each block, entered in a state, the places just behind the bytes that end a record."""
+    kinds, first = _kinds(blocks, delimiters)
+    now = _followed(_runs(kinds), first, np.array(entered, np.uint8)[None])[1][0]
+    ends = np.zeros(kinds.shape, bool)
+    flat = STEPS.ravel()
+    for j, row in enumerate(kinds):
+        now = flat[(now & np.uint8(3)) * np.uint8(STEPS.shape[1]) + row]
+        ends[j] = now >= ENDED
+    places = np.flatnonzero(ends.T.ravel())
+    cuts = np.searchsorted(places, first * RUN)
+    return [places[i:j] - at * RUN + 1 for i, j, at in zip(cuts[:-1], cuts[1:], first.tolist(), strict=False)]
+
+
 def ways(data: bytes, delimiter: str) -> list[int]:
     """The states that a block's four states lead to."""
-    out = list(range(4))
-    for run in _runs(_kinds(data, delimiter)).T.tolist():
-        out = [run[s] for s in out]
-    return out
+    return (all_ways([data], [delimiter])[:, 0] & 3).tolist()
 
 
 def record_ends(data: bytes, delimiter: str, entered: int) -> np.ndarray:
     """Places just behind the bytes that end a record, in a block entered in a state."""
-    kinds = _kinds(data, delimiter)
-    states = np.empty_like(kinds)
-    now = np.empty(kinds.shape[1], np.uint8)
-    for k, run in enumerate(_runs(kinds).T.tolist()):
-        now[k], entered = entered, run[entered]
-    flat = NEXT.ravel()
-    for j, row in enumerate(kinds):
-        states[j] = now
-        now = flat[now * np.uint8(NEXT.shape[1]) + row]
-    return np.flatnonzero(((kinds == NEWLINE) & (states != QUOTED)).T.ravel()) + 1
+    return all_ends([data], [delimiter], [entered])[0]
+
+
+def _parts(blocks: list[bytes]) -> Iterator[slice]:
+    """Blocks in turns of TOGETHER bytes, about."""
+    start, held = 0, 0
+    for k, data in enumerate(blocks):
+        held += len(data)
+        if held > TOGETHER:
+            yield slice(start, k + 1)
+            start, held = k + 1, 0
+    if start < len(blocks):
+        yield slice(start, len(blocks))
 
 
 def _rows(data: bytes, delimiter: str) -> list[list[str]]:
@@ -109,35 +153,43 @@ def records(blocks: DataFrame, key: list[str], delimiter: str | None = ",") -> D
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [ways(_unmarked(b, d), m) for b, d, m in zip(*(batch.column(n + k).to_pylist() for k in range(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(out, pa.list_(pa.int32()))], [*key, "place", "out"])
-
-    entries = order.entered(blocks.mapInArrow(mapped, f"{head}, place bigint, out array<int>"), key, scratch).withColumnRenamed("place", "block")
-    entries = scratch.save(entries, "entries")
+            block, data, signs = (batch.column(n + k).to_pylist() for k in range(3))
+            data = list(map(_unmarked, block, data))
+            out = np.concatenate([np.zeros((0, 4), np.uint8), *(all_ways(data[p], signs[p]).T for p in _parts(data))])
+            arrays = [pa.array((out & 3).tolist(), pa.list_(pa.int32())), pa.array((out >= ENDED).tolist(), pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], *arrays], [*key, "place", "out", "ended"])
+
+    maps = scratch.save(blocks.mapInArrow(mapped, f"{head}, place bigint, out array<int>, ended array<boolean>"), "maps")
+    entries = maps.join(order.entered(maps, key, scratch), [*key, "place"]).select(*key, F.col("place").alias("block"), "way", F.get("ended", F.col("way")).alias("ends"))
+    entries = order.running(scratch.save(entries, "entries"), key, "block", F.when(F.col("ends"), F.col("block")), F.max, "start")  # the block before in which a record ended last
+    entries = scratch.save(entries.select(*key, "block", "way", F.coalesce("start", F.lit(-1)).alias("start")), "entered")
     small = entries.count() <= MOST_BROADCAST
     met = blocks.join(F.broadcast(entries) if small else entries, [*key, "block"])  # so that blocks stay where they are
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*key, "block", "nth", "fields", "piece", "ends", "delimiter"]
-        kinds = [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.bool_(), pa.string()]
+        names = [*key, "block", "nth", "fields", "piece", "start", "delimiter"]
+        kinds = [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.int64(), pa.string()]
         for batch in batches:
-            for r in range(batch.num_rows):
-                block, data, sign, way = (batch.column(n + k)[r].as_py() for k in range(4))
-                data = _unmarked(block, data)
-                ends = record_ends(data, sign, way)
-                first, last = (int(ends[0]), int(ends[-1])) if len(ends) else (len(data), len(data))
-                rows = [(None, None, data[:first], bool(len(ends)), sign)]  # goes on from the block before
-                rows += [(k, f, None, None, None) for k, f in enumerate(_rows(data[first:last], sign))]
-                if len(ends):
-                    rows.append((-1, None, data[last:], None, sign))  # goes on in the next
-                same = [pa.repeat(batch.column(c)[r], len(rows)) for c in range(n + 1)]
-                yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
-
-    found = scratch.save(met.select(*key, "block", "data", "delimiter", "way").mapInArrow(cut, f"{head}, block bigint, nth bigint, fields array<string>, piece binary, ends boolean, delimiter string"), "found")
+            block, data, signs, way, starts = (batch.column(n + k).to_pylist() for k in range(5))
+            data = list(map(_unmarked, block, data))
+            for p in _parts(data):
+                rows: list[tuple] = []
+                for r, ends in enumerate(all_ends(data[p], signs[p], way[p]), p.start):
+                    text, sign = data[r], signs[r]
+                    first, last = (int(ends[0]), int(ends[-1])) if len(ends) else (len(text), len(text))
+                    if first:
+                        rows.append((r, None, None, text[:first], starts[r], sign))  # goes on from the block before
+                    if first < last:
+                        rows += [(r, k, f, None, None, None) for k, f in enumerate(_rows(text[first:last], sign))]
+                    if last < len(text):
+                        rows.append((r, None, None, text[last:], block[r], sign))  # goes on in the next
+                if rows:
+                    at, *columns = zip(*rows, strict=True)
+                    same = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(n + 1)]
+                    yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+
+    found = scratch.save(met.select(*key, "block", "data", "delimiter", "way", "start").mapInArrow(cut, f"{head}, block bigint, nth bigint, fields array<string>, piece binary, start bigint, delimiter string"), "found")
     pieces = found.where("piece is not null")
-    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
-    heads = pieces.where("nth is null").withColumn("start", F.coalesce(F.max(F.when(F.col("ends"), F.col("block"))).over(before), F.lit(-1)))
-    pieces = heads.unionByName(pieces.where("nth = -1").withColumn("start", F.col("block")))
     crossing = pieces.groupBy(*key, "start").agg(F.array_sort(F.collect_list(F.struct("block", F.col("piece").cast("string").alias("text")))).alias("parts"), F.first("delimiter").alias("delimiter"))  # of one record
     crossing = crossing.select(*key, "start", F.array_join(F.transform("parts", lambda p: p["text"]), "").cast("binary").alias("data"), "delimiter").where("octet_length(data) > 0")
 
@@ -149,11 +201,9 @@ def records(blocks: DataFrame, key: list[str], delimiter: str | None = ",") -> D
     crossing = crossing.mapInArrow(parsed, f"{head}, block bigint, fields array<string>").where("fields is not null")
     whole = found.where("fields is not null").select(*key, "block", "nth", "fields")
     crossing = scratch.save(crossing, "crossing")
-    per = whole.groupBy(*key, "block").agg(F.count(F.lit(1)).alias("n"))
-    per = per.unionByName(crossing.select(*key, "block", F.lit(0).cast("bigint").alias("n")))  # so that a block with only such a record counts
-    per = per.groupBy(*key, "block").agg(F.sum("n").alias("n")).join(crossing.select(*key, "block", F.lit(1).alias("more")), [*key, "block"], "left")
-    total = F.col("n") + F.coalesce("more", F.lit(0))
-    per = per.select(*key, "block", "n", (F.sum(total).over(Window.partitionBy(*key).orderBy("block")) - total).alias("before"))
+    per = whole.select(*key, "block", F.lit(1).alias("n"), F.lit(0).alias("more")).unionByName(crossing.select(*key, "block", F.lit(0).alias("n"), F.lit(1).alias("more")))
+    per = scratch.save(per.groupBy(*key, "block").agg(F.sum("n").alias("n"), F.sum("more").alias("more")), "sizes")
+    per = order.running(per, key, "block", F.col("n") + F.col("more"), F.sum, "before").select(*key, "block", "n", F.coalesce("before", F.lit(0)).alias("before"))
     per = scratch.save(per, "counts")
     per = F.broadcast(per) if small else per
     rows = whole.unionByName(crossing.select(*key, "block", F.lit(None).cast("bigint").alias("nth"), "fields")).join(per, [*key, "block"])

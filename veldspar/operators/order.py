@@ -7,6 +7,8 @@ global order, whose counts alone are summed up.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,22 @@ def numbered(rows: DataFrame, key: list[str], order: list[Column], scratch: Scra
     return out.select(*rows.columns, name)
 
 
+def running(rows: DataFrame, key: list[str], place: str, value: Column, fold: Callable[[Column], Column], name: str, span: int = 1 << 14) -> DataFrame:
+    """Rows with the fold (F.sum or F.max) of ``value`` over the places of ``key`` before theirs, null where there is none.
+
+    ``place`` is a whole number, unique within ``key``. What is ordered as a whole is a row a ``span`` of places. ``rows``
+    are read twice, so they should be stored; null keys drop out.
+    """
+    rows = rows.withColumns({"_span": F.floor(F.col(place) / span), "_value": value})
+    earlier = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy(*key, "_span").agg(fold(F.col("_value")).alias("_value"))
+    spans = spans.select(*key, "_span", fold(F.col("_value")).over(earlier(Window.partitionBy(*key).orderBy("_span"))).alias("_far"))
+    near = fold(F.col("_value")).over(earlier(Window.partitionBy(*key, "_span").orderBy(place)))
+    pair = F.array_compact(F.array("_far", "_near"))
+    both = F.try_element_at(F.sort_array(pair), F.lit(-1)) if fold is F.max else F.when(F.size(pair) > 0, F.aggregate(pair, F.lit(0).cast("bigint"), lambda a, x: a + x))
+    return rows.withColumn("_near", near).join(spans, [*key, "_span"]).withColumn(name, both).drop("_span", "_value", "_far", "_near")
+
+
 def entered(maps: DataFrame, key: list[str], scratch: Scratch, fan: int = 256, name: str = "scan") -> DataFrame:
     """The way (key, place, way) by which each place is entered, where place 0 is entered by way 0.
 

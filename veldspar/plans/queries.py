@@ -255,12 +255,13 @@ def delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as delimited text, a text a source, in blocks that cut a record in two, and read back."""
     fields = ("doc_id", "lang", "source", "text")
     docs = _table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("file"), "doc_id", registers.csv_line(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields))).alias("line"))
-    rows = order.numbered(docs, ["file"], [F.col("doc_id"), F.col("line")], Scratch(spark, "delimited-query"))
+    scratch = Scratch(spark, "delimited-query")
+    rows = order.numbered(docs, ["file"], [F.col("doc_id"), F.col("line")], scratch)
     cut, line = F.pmod(F.col("doc_id") * 7919, F.length("line")).cast("int"), F.concat("line", F.lit("\n"))
     pieces = F.array(F.struct((F.col("nth") - 1).alias("block"), F.lit(1).alias("side"), line.substr(F.lit(1), cut).alias("part")), F.struct(F.col("nth").alias("block"), F.lit(0).alias("side"), line.substr(cut + 1, F.length(line)).alias("part")))
     halves = rows.select("file", F.inline(pieces)).groupBy("file", "block").agg(F.array_sort(F.collect_list(F.struct("side", "part"))).alias("parts"))  # two a block
     blocks = halves.select("file", "block", F.array_join(F.transform("parts", lambda p: p["part"]), "").cast("binary").alias("data"))
-    found = delimited.records(blocks, ["file"])
+    found = delimited.records(scratch.save(blocks, "blocks"), ["file"])
     return found.select("file", "row_ord", *(F.get("fields", F.lit(k)).alias(c) for k, c in enumerate(fields)))
 
 
