@@ -53,3 +53,14 @@ def test_logs_in_an_encoding_that_is_neither(spark, tmp_path):
     got = files.log_lines(spark, str(tmp_path), 1 << 12, model).orderBy("file_ord", "line_no").collect()
     assert [r.line for r in got] == [*lines, "电压 ok"]
     assert files.log_lines(spark, str(tmp_path)).where(F.col("file_ord") == 0).first().line != lines[0] or lines[0].isascii()
+
+
+def test_a_lone_letter_is_read_as_its_line_suggests(spark):
+    german, french = ["der erst Äen schen", "Äen pfen der sch"], ["le beau Çen voi", "Çen que le elle", "Éa le que", "le fête que"]
+    rows = [(t, g) for g, lines in (("de", german), ("fr", french)) for t in lines for _ in range(20)] + [("the thing is\nof an other", None)] * 9
+    model = encodings.train(spark.createDataFrame(rows, "text string, lang string"), encodings=("cp1252", "cp850", "mac_roman"), group_col="lang")
+    texts = ["the thing\npfen Äen sch", "of an other\nque Çen elle\nthe thing", "Éa que"]
+    for e, ks in (("cp850", (0, 1, 2)), ("mac_roman", (0, 1))):
+        frame = encodings.encoded(spark.createDataFrame([(k, texts[k], e) for k in ks], "k int, text string, encoding string"))
+        found = encodings.detect(encodings.blocks_of(frame, ["k"]), ["k"], model)
+        assert {r.k: r.encoding for r in found.collect()} == dict.fromkeys(ks, e)

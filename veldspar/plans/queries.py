@@ -231,10 +231,10 @@ def naming_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detected_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written in six encodings by id, their encoding found by a model of the other half of the documents."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     written = ("utf-8", "cp1252", "cp850", "mac_roman", "utf-16-le", "utf-16-be")
     half = F.floor(F.col("doc_id") / len(written)) % 2 == 0
-    model = encodings.train(docs.where(half), encodings=written)
+    model = encodings.train(docs.where(half), encodings=written, group_col="lang")
     true = F.get(F.array(*map(F.lit, written)), F.pmod("doc_id", F.lit(len(written))).cast("int"))
     files = encodings.encoded(docs.withColumn("written", true), "written")
     found = encodings.detect(encodings.blocks_of(files, ["doc_id"]), ["doc_id"], model)
