@@ -103,3 +103,32 @@ def test_stuck_threads(spark):
     rows = logs.entries(_lines(spark, [LINE.format(m=1, k=k % 10, t=t, c="X", n=1, msg=m) for k, (t, m) in enumerate(msg)]))
     assert [(r.thread, r.start_time[-3:], r.end_time[-3:], r.duration_ms) for r in logs.stuck_threads(rows).collect()] == [("a", "001", "003", 64195)]
     assert logs.summary(rows).first().entry_count == 10
+
+
+def test_report_counts_stacks_without_texts(spark, monkeypatch):
+    """Stack lines mark the entry before them, once, across blocks too; the count needs no text and is that of entries."""
+    monkeypatch.setattr(logs, "BLOCK_LINES", 3)
+    entry, stack = "2026-01-02 03:04:05.678 [INFO][t][a.B:1] auth failed", "\tat x"
+    text = lambda marks: [(f, n, {"e": entry, "s": stack, "-": "noise"}[c]) for f, line in enumerate(marks) for n, c in enumerate(line)]
+    for marks in (["ees", "s"], ["eesssssse", "sse"], ["e-ss-s-s", "-e-", "eee" "sss" "---" "s"], ["ess" "s", "ee" "-" "s"], ["---"]):
+        lines = spark.createDataFrame(text(marks), "file_ord int, line_no bigint, line string").repartition(3)
+        want = logs.entries(lines).where("has_stack").count()
+        assert logs._stacks(logs._noted(lines)).first().stacks == want
+        said = {r.nth: r.line for r in logs.report(lines).where("section = 'overview'").collect()}
+        entries = sum(m.count("e") for m in marks)
+        assert said[2].startswith(f"- 总行数: {entries + want}, 条目: {entries}, ")
+
+
+def test_report_parses_each_line_once(spark):
+    """No section goes back to the lines."""
+    read = spark.sparkContext.accumulator(0)
+    lines = [(0, n, "2026-01-02 03:04:05.678 [INFO][t][a.B:1] disabled ruleId=7 sn 12345678901234") for n in range(5)]
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    found = spark.createDataFrame(lines, "file_ord int, line_no bigint, line string").mapInArrow(counted, "file_ord int, line_no bigint, line string")
+    rows = logs.report(found).collect()
+    assert read.value == 5 and {r.section.split(":")[0] for r in rows} == {"overview", "categories", "heatmap", "serials", "rules", "samples"}

@@ -35,7 +35,8 @@ CATEGORY_NAMES = {
 
 def trimmed(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))  # few texts have any, and the pattern tries every place of them
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")).otherwise(text)
 
 
 def unsigned(digits: Column, most: int) -> Column:

@@ -24,7 +24,7 @@ _FACTS = "array<struct<section:string,name:string,detail:string,at:int>>"
 def _kept(lines: DataFrame) -> DataFrame:
     """Stack lines and entries: file_ord, line_no, stack and the trimmed text, each matched once."""
     rows = lines.select(*ORDER, fn.is_stack(F.col("line")).alias("stack"), fn.trimmed(F.col("line")).alias("text"))
-    return rows.where(F.col("stack") | F.col("text").rlike(fn.LINE))
+    return settled(rows).where(F.col("stack") | F.col("text").rlike(fn.LINE))
 
 
 def _fields(rows: DataFrame, *more: str) -> DataFrame:
@@ -216,37 +216,68 @@ def stuck_threads(rows: DataFrame, threshold_ms: int = 10_000) -> DataFrame:
     return found.select("thread", F.col("before.ts").alias("start_time"), F.col("mark.ts").alias("end_time"), F.col("duration_ms").cast("bigint").alias("duration_ms")).orderBy(F.desc("duration_ms"), "end_time", "thread")
 
 
+def _ranked(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of each category."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy(*ORDER))).where(F.col("nth") <= n)
+
+
 def samples(rows: DataFrame, per_category: int = 5) -> DataFrame:
     """The first entries of each category."""
-    along = Window.partitionBy("category").orderBy(*ORDER)
-    ranked = categorised(rows).withColumn("nth", F.row_number().over(along)).where(F.col("nth") <= per_category)
-    return ranked.select("category", "nth", *ORDER, "ts", "thread", "message")
+    return _ranked(categorised(rows), per_category).select("category", "nth", *ORDER, "ts", "thread", "message")
+
+
+def _noted(lines: DataFrame) -> DataFrame:
+    """Stack lines and entries with all that a report says of an entry: ts, thread, message, category, serials, rule. Each line is parsed once."""
+    kept = _kept(lines).withColumn("text", F.when(~F.col("stack"), F.col("text")))
+    rows = settled(_fields(kept, "stack").withColumn("category", fn.category(F.col("class"), F.col("message"))))
+    rule = F.when(F.col("category") == "DispatchDisabled", fn.disabled_rule(F.col("message")))
+    return rows.select(*ORDER, "stack", "ts", "thread", "message", "category", fn.serials(F.col("message")).alias("serials"), rule.alias("rule"))
+
+
+def _stacks(rows: DataFrame) -> DataFrame:
+    """One row: how many entries of ``rows`` (file_ord, line_no, stack) have a stack, as ``entries`` marks them. What is shuffled has no text."""
+    block = ["file_ord", "block"]
+    rows = rows.select(*ORDER, "stack", F.floor(F.col("line_no") / BLOCK_LINES).alias("block"))
+    follows = F.lead("stack").over(Window.partitionBy(*block).orderBy("line_no"))
+    blocks = rows.withColumn("marked", ~F.col("stack") & F.coalesce(follows, F.lit(False))).groupBy(*block).agg(
+        F.count_if("marked").alias("marked"), F.min_by("stack", "line_no").alias("first_stack"),
+        F.max(F.when(~F.col("stack"), F.col("line_no"))).alias("last_entry"), F.max("line_no").alias("last_line"),
+    )
+    # A block that begins with stack lines marks the last entry before it, unless lines of its own block have done so.
+    above = Window.partitionBy("file_ord").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    owner = F.when(F.col("last_entry").isNotNull(), F.struct(F.col("last_entry").alias("at"), (F.col("last_entry") == F.col("last_line")).alias("open")))
+    blocks = blocks.withColumn("owner", F.last(owner, ignorenulls=True).over(above))
+    spilled = F.when(F.col("first_stack") & F.col("owner.open"), F.struct("file_ord", "owner.at"))
+    return blocks.agg((F.coalesce(F.sum("marked"), F.lit(0)) + F.count_distinct(spilled)).alias("stacks"))
 
 
 def report(lines: DataFrame, minutes: int = 10, threshold_ms: int = 10_000) -> DataFrame:
     """Lines of a plain-text report: section, nth, line. Each section keeps its display limit.
 
     Sections are overview, categories, stuck, heatmap, serials, rules and, for each category, its first entries.
-    What is counted comes from one overview of the lines, which is a small table, so the lines are not read again for it.
+    Lines are parsed once, into a table; each section reads the columns of it that it needs, and none shuffles texts that it does not show.
     """
-    facts = Scratch(lines.sparkSession, "log-report").save(overview(lines), "facts")
-    rows = entries(lines)
+    scratch = Scratch(lines.sparkSession, "log-report")
+    noted = scratch.save(_noted(lines), "noted")
+    rows = noted.where("not stack")
+    serial = scratch.save(rows.select(F.explode("serials").alias("name")).distinct(), "serials")
 
     def numbered(frame: DataFrame, section: Column | str, limit: int | None, text: Column, *order: Column) -> DataFrame:
         top = frame.orderBy(*order).limit(limit) if limit else frame  # a display limit, or a table of one row a distinct fact
         name = F.lit(section) if isinstance(section, str) else section
         return top.select(name.alias("section"), F.row_number().over(Window.orderBy(*order)).alias("nth"), text.alias("line"))
 
-    of = lambda section: facts.where(F.col("section") == section).drop("section")
-    seen = (F.col("first_file"), F.col("first_line"), F.col("first_at"))
     text = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
-    total = lambda section: F.sum(F.when(F.col("section") == section, F.col("n")).otherwise(0))
-    distinct = lambda section: F.count_distinct(F.when(F.col("section") == section, F.col("name")))
-    sums = facts.agg(
-        F.max(F.when(F.col("section") == "entries", F.replace("detail", F.lit(" - "), F.lit(" ~ ")))).alias("times"), total("entries").alias("entries"), total("leaks").alias("leaks"),
-        distinct("threads").alias("threads"), distinct("serials").alias("serials"),
-        F.lit(1).alias("one"),
-    ).join(rows.agg(F.count_if("has_stack").alias("stacks"), F.lit(1).alias("one")), "one")  # one row each
+    place = F.struct(*ORDER)
+    times = text(F.min_by("ts", place), " ~ ", F.max_by("ts", place))
+    sums = rows.agg(times.alias("times"), F.count(F.lit(1)).alias("entries"), F.count_if(F.col("category") == "ConnectionLeak").alias("leaks"))
+    for one in (rows.select("thread").distinct().agg(F.count(F.lit(1)).alias("threads")), serial.agg(F.count(F.lit(1)).alias("serials")), _stacks(noted)):
+        sums = sums.crossJoin(one)  # one row each
+    kinds = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n")).select(fn.category_name(F.col("category")).alias("name"), "n")
+    seen = rows.where("rule is not null").groupBy(F.col("rule").alias("name"), "file_ord").agg(F.min("line_no").alias("line_no"))
+    seen = seen.groupBy("name").agg(F.min(place).alias("seen"))
+    first = _ranked(rows.select("category", *ORDER), 3).select("category", *ORDER).distinct()  # three rows a category at most
+    first = _ranked(rows.join(F.broadcast(first), ["category", *ORDER]), 3)
     said = F.array(
         text("- 时间范围: ", F.coalesce("times", F.lit("N/A ~ N/A"))), text("- 总行数: ", F.col("entries") + F.col("stacks"), ", 条目: ", F.col("entries"), ", 线程数: ", F.col("threads")),
         text("- 涉及设备 SN: ", F.col("serials"), " 个"), text("- 连接泄漏次数: ", F.col("leaks")),
@@ -254,12 +285,12 @@ def report(lines: DataFrame, minutes: int = 10, threshold_ms: int = 10_000) -> D
     count = lambda name, n: text("- ", F.col(name), ": ", F.col(n), " 条")
     parts = [
         sums.select(F.lit("overview").alias("section"), F.posexplode(said).alias("nth", "line")).withColumn("nth", F.col("nth") + 1),
-        numbered(of("categories"), "categories", 15, count("name", "n"), F.desc("n"), F.col("name")),
+        numbered(kinds, "categories", 15, count("name", "n"), F.desc("n"), F.col("name")),
         numbered(stuck_threads(rows, threshold_ms), "stuck", 10, text("- `", F.col("thread"), "`: ", F.col("duration_ms"), "ms"), F.desc("duration_ms"), F.col("end_time"), F.col("thread")),
-        numbered(heatmap(rows, minutes), "heatmap", 20, count("hour", "entries"), F.col("run")),
-        numbered(of("serials").select("name").distinct(), "serials", 20, text("- `", F.col("name"), "`"), F.col("name")),
-        numbered(of("rules"), "rules", None, text("- ", F.col("name")), *seen),
-        samples(rows, 3).select(text("samples: ", fn.category_name(F.col("category"))).alias("section"), "nth", text("- `", F.col("ts"), "` [", F.col("thread"), "] ", F.col("message")).alias("line")),
+        numbered(heatmap(rows, minutes).where("run <= 20"), "heatmap", 20, count("hour", "entries"), F.col("run")),
+        numbered(serial, "serials", 20, text("- `", F.col("name"), "`"), F.col("name")),
+        numbered(seen, "rules", None, text("- ", F.col("name")), F.col("seen")),
+        first.select(text("samples: ", fn.category_name(F.col("category"))).alias("section"), "nth", text("- `", F.col("ts"), "` [", F.col("thread"), "] ", F.col("message")).alias("line")),
     ]
     out = parts[0]
     for p in parts[1:]:
