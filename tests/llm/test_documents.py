@@ -518,3 +518,17 @@ def test_runs_of_single_letters_end_with_their_document():
     began = time.time()
     assert len(found([" ".join("abcdefghijklm" * 8)] * 16_000)[0]) > 0
     assert time.time() - began < 10
+
+
+@pytest.mark.parametrize("low, high", [(0, 2**64 - 1), (3 << 56, (3 << 56) + 2**57), (2**63 - 5000, 2**63 + 5000), (7, 8)])
+def test_lookup_of_keys_that_begin_with_the_same_bits(low, high):
+    """The keys of one bucket are spread over the index, so a search meets few others; keys beyond the range are not found."""
+    rng = np.random.default_rng(5)
+    table = np.unique(rng.integers(low, high, 3000, dtype=np.uint64))
+    rng.shuffle(table)
+    found = lm.Lookup(table.view(np.int64))
+    odd = np.array([0, 1, low, max(low, 1) - 1, high, 2**64 - 1], np.uint64)
+    keys = np.concatenate([table, odd, rng.integers(low, high, 3000, dtype=np.uint64)])
+    place = {int(k): n for n, k in enumerate(table)}
+    assert found.find(keys.view(np.int64)).tolist() == [place.get(int(k), -1) for k in keys]
+    assert np.diff(found.start).max() < 20

@@ -116,14 +116,20 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Places of keys in a table of well mixed ones, by an index of their leading bits."""
+    """Places of keys in a table of ones well mixed from the least to the greatest, by an index of the leading bits of how far they are from the least.
+
+    A bucket's keys lie in a narrow range: all begin with the same bits.
+    """
 
     def __init__(self, table: np.ndarray) -> None:
         self.order = np.argsort(table.view(np.uint64))
         self.table = table.view(np.uint64)[self.order]
+        self.least = self.table[0] if len(table) else np.uint64(0)
+        far = int(self.table[-1] - self.least) if len(table) else 0
         bits = len(table).bit_length() + 2
-        self.shift = np.uint64(64 - bits)
-        self.start = np.searchsorted(self.table >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.shift = np.uint64(max(0, far.bit_length() - bits))
+        self.slots = (far >> int(self.shift)) + 1  # one more, which is empty, is for keys out of the range
+        self.start = np.searchsorted((self.table - self.least) >> self.shift, np.arange(self.slots + 2, dtype=np.uint64)).astype(np.int32)
         self.crowded = np.diff(self.start) > 1
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -131,7 +137,7 @@ class Lookup:
         keys = keys.view(np.uint64)
         if not len(self.table):
             return np.full(len(keys), -1)
-        lead = (keys >> self.shift).astype(np.int64)
+        lead = np.minimum((keys - self.least) >> self.shift, np.uint64(self.slots)).astype(np.int64)
         at = np.minimum(self.start[lead], len(self.table) - 1)
         hit = self.table[at] == keys
         out = np.where(hit, self.order[at], -1)
@@ -427,22 +433,24 @@ def train_whole(docs: DataFrame, scratch: Scratch, least: int = LEAST, share: fl
         left = (F.col("c") - F.col("taken") + F.col("arcs") * DISCOUNT) / F.col("c")
         return grams.join(taken.hint("shuffle_hash"), "key", "left").withColumn("left", left).drop("taken", "arcs")
 
-    def arcs(grams: DataFrame, shorter: DataFrame, name: str) -> DataFrame:
-        """Add ``q``, the probability of the arc, and ``gain``. An n-gram that counts has parts that count."""
+    def arcs(grams: DataFrame, shorter: DataFrame, name: str, *done: str) -> DataFrame:
+        """Add ``q``, the probability of the arc, and ``gain``. An n-gram that counts has parts that count. Tables ``done`` go when ``grams`` is read."""
         history, lower = shorter.select(F.col("key").alias("h"), F.col("c").alias("total"), F.col("left").alias("spare")), shorter.select(F.col("key").alias("part"), F.col("q").alias("lower"))
         grams = scratch.save(grams.join(history.hint("shuffle_hash"), "h").withColumn("share", (F.col("c") - DISCOUNT) / F.col("total")).drop("h", "total"), f"{name}-shares")
+        scratch.drop(*done)
         way = F.col("spare") * F.col("lower")
         grams = grams.join(lower.hint("shuffle_hash"), "part").withColumns({"q": F.col("share") + way, "gain": F.log10((F.col("share") + way) / way)})
-        return scratch.save(grams.drop("part", "lower", "share", "spare"), name)
+        return scratch.save(grams.drop("part", "lower", "share", "spare", *(() if "left" in grams.columns else ("q",))), name)  # the longest are no part of others
 
     buckets = max(1, -(-n_tokens // BUCKET_TOKENS))
     two, three = _repeated(docs, least, buckets, scratch)
     one = vocabulary.withColumn("q", (F.col("c") + 1) * unseen).withColumn("gain", F.log10("q") - none)
     one = scratch.save(states(one, two), "one")
-    two = arcs(scratch.save(states(two, three), "two-left"), one, "two")
-    scratch.drop("two-left", "two-shares")
-    three = arcs(three, two, "three")
-    scratch.drop("three-shares", "vocabulary", *(f"grams-{turn}" for turn in range(PASSES)))
+    scratch.drop("vocabulary")
+    two = arcs(scratch.save(states(two, three), "two-left"), one, "two", "two-left")
+    scratch.drop("two-shares")
+    three = arcs(three, two, "three", *(f"grams-{turn}" for turn in range(PASSES)))
+    scratch.drop("three-shares")
     failing = F.coalesce(F.log10("left"), F.lit(0.0))
     gains = one.select("key", "c", (F.col("gain") + failing).alias("gain"), F.col("gain").alias("base"), F.lit(1.0).alias("known"))
     for longer, own in ((two, failing), (three, F.lit(0.0))):
