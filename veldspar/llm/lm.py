@@ -304,16 +304,6 @@ def _joined(h: np.ndarray, part: np.ndarray) -> np.ndarray:
     return mix64(mix64(h) + part * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _grams(hashes: np.ndarray, owner: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The parts (first words, last words) of each n-gram of ``order`` 2 or 3 within a document, and its document."""
-    one = owner[1:] == owner[:-1]
-    if order == 2:
-        return hashes[:-1][one], hashes[1:][one], owner[1:][one]
-    pair = _joined(hashes[:-1], hashes[1:])
-    two = one[1:] & one[:-1]
-    return pair[:-1][two], pair[1:][two], owner[2:][two]
-
-
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """A bucket for each key, rising with it."""
     return ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -466,7 +456,7 @@ def score_whole(docs: DataFrame, model: Whole, scratch: Scratch, id_col: str = "
     comes back is added up for each document. Frequent n-grams are looked up in the broadcast
     head on the spot, so a bucket has no hot key.
     """
-    shared, buckets = docs.sparkSession.sparkContext.broadcast((model.head, model.head_values)), model.buckets
+    shared, buckets = docs.sparkSession.sparkContext.broadcast((model.head, model.head_values)), -(-2 * model.buckets // 3)  # wider ones than of counting: each returns a row for nearly every document
     least = F.lit(float(np.log10(1 / (model.n_tokens + model.n_types + 1))))
 
     def emitted(turn: int):  # noqa: ANN202
@@ -478,14 +468,15 @@ def score_whole(docs: DataFrame, model: Whole, scratch: Scratch, id_col: str = "
                 rows = batch.column(0).to_numpy(zero_copy_only=False)
                 for lo, hi, found in each_slice(batch.column(1), lower=True):
                     hashes, owner = tokens(found)
-                    keys, owners = [hashes], [owner]
-                    for order in (2, 3):
-                        h, part, own = _grams(hashes, owner, order)
-                        keys.append(_joined(h, part))
-                        owners.append(own)
-                    key, own = np.concatenate(keys), np.concatenate(owners).astype(np.uint32)
-                    mine = np.flatnonzero(_bucket(key, buckets) % MEETINGS == turn)
-                    key, own, n = key[mine], own[mine], hi - lo
+                    owner, n = owner.astype(np.uint32), hi - lo
+                    one, pair = owner[1:] == owner[:-1], _joined(hashes[:-1], hashes[1:])
+                    two = one[1:] & one[:-1]
+                    keys, owners = [], []
+                    for key, own in ((hashes, owner), (pair[one], owner[1:][one]), (_joined(pair[:-1][two], pair[1:][two]), owner[2:][two])):
+                        mine = np.flatnonzero(_bucket(key, buckets).astype(np.uint32) % np.uint32(MEETINGS) == turn)
+                        keys.append(key[mine])
+                        owners.append(own[mine])
+                    key, own = np.concatenate(keys), np.concatenate(owners)
                     at = lookup.find(key)
                     rest = np.flatnonzero(at < 0)
                     order, bucket = _by_bucket(key[rest], buckets)
@@ -499,7 +490,7 @@ def score_whole(docs: DataFrame, model: Whole, scratch: Scratch, id_col: str = "
         return emit
 
     def met(gains: pa.Table, texts: pa.Table) -> pa.Table:
-        lookup, values = Lookup(gains["key"].to_numpy()), [gains[c].to_numpy() for c in ("gain", "base", "known")]
+        lookup, gain, base, known = Lookup(gains["key"].to_numpy()), gains["gain"].to_numpy(), gains["base"].to_numpy(), gains["known"].to_numpy() > 0
         out = []
         for data, sums in zip(texts["grams"], texts["sums"], strict=True):
             if sums.is_valid:
@@ -509,8 +500,10 @@ def score_whole(docs: DataFrame, model: Whole, scratch: Scratch, id_col: str = "
             at = lookup.find(key)
             hit = np.flatnonzero(at >= 0)
             mine, found = own[hit], at[hit]
-            docs = np.flatnonzero(np.bincount(mine))
-            out.append(np.stack([docs, *(np.bincount(mine, v[found])[docs] for v in values), np.zeros(len(docs))]).astype(float).tobytes())
+            docs, word = np.flatnonzero(np.bincount(mine)), np.flatnonzero(known[found])  # only words have a base
+            size = docs[-1] + 1 if len(docs) else 0
+            sums = (np.bincount(mine, gain[found], size), np.bincount(mine[word], base[found[word]], size), np.bincount(mine[word], minlength=size))
+            out.append(np.stack([docs, *(x[docs] for x in sums), np.zeros(len(docs))]).astype(float).tobytes())
         return pa.table([texts["slice"], pa.array(out, pa.binary())], names=["slice", "data"])
 
     def added(table: pa.Table) -> pa.Table:
