@@ -99,6 +99,18 @@ def test_spelling_chains_ties_and_hot_words(spark):
     assert spelling.variants(spark.createDataFrame([], "word string, n bigint")).collect() == []
 
 
+def test_spelling_broadcasts_nothing(spark, monkeypatch):
+    """Spark sizes keys by the file of the words, however many keys a word has; no join may send them to the driver."""
+    plans, save = [], spelling.Scratch.save
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spelling.Scratch, "save", lambda self, frame, name: plans.append(plan(frame)) or save(self, frame, name))
+    counts = {"aaaaaaa": 1, "aaaaaaab": 5, "aaaaaabb": 25, "aaaaabbb": 200}
+    found = spelling.variants(spark.createDataFrame(list(counts.items()), "word string, n bigint"))
+    plans.append(plan(found))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 7 and "Broadcast" not in "".join(plans)
+    assert {r.word: tuple(r)[1:] for r in found.collect()} == _variants(counts)
+
+
 def test_spelling_of_long_words_takes_linear_time(spark):
     """Deletions of a long word are small rows, not copies of it."""
     rng = random.Random(8)

@@ -43,6 +43,11 @@ def without(word: Column, place: Column) -> Column:
     return F.concat(F.substring(word, F.lit(1), place), F.substring(word, place + 2, F.length(word)))
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """The rows, never to be broadcast: Spark sizes what Python makes of a table by the table's file, so it may take millions of keys for a few."""
+    return rows.hint("merge")
+
+
 def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", letters: str = LETTERS, least: int = LEAST_LETTERS) -> DataFrame:
     """Rows doc_id, word: every maximal run of at least ``least`` letters of whole texts, A to Z in lower case. Null texts have none."""
     found = F.regexp_extract_all(F.col(text_col), F.lit(f"[{letters}]{{{least},}}"), F.lit(0))
@@ -95,10 +100,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     a, b = (keys.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "first", "last"))) for side in "ab")
     whole = (F.col("a_first") < 0) | (F.col("b_first") < 0)
     meet = whole | ((F.col("a_first") <= F.col("b_last")) & (F.col("b_first") <= F.col("a_last")))
-    pairs = a.join(b, "key").where((F.col("a_id") < F.col("b_id")) & meet)
+    pairs = a.join(shuffled(b), "key").where((F.col("a_id") < F.col("b_id")) & meet)
     pairs = pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("other_id"), "a_first", "b_first", F.greatest("a_first", "b_first").alias("place"))
-    pairs = pairs.join(words.select("id", "word", "n"), "id")
-    pairs = pairs.join(words.select(F.col("id").alias("other_id"), F.col("word").alias("other"), F.col("n").alias("other_n")), "other_id")
+    pairs = pairs.join(shuffled(words.select("id", "word", "n")), "id")
+    pairs = pairs.join(shuffled(words.select(F.col("id").alias("other_id"), F.col("word").alias("other"), F.col("n").alias("other_n"))), "other_id")
     rest = lambda word, first: F.when(F.col(first) < 0, F.col(word)).otherwise(without(F.col(word), F.col("place")))
     exact = (F.col("word") != F.col("other")) & (rest("word", "a_first") == rest("other", "b_first"))
     return pairs.where(exact).select("id", "word", "n", "other_id", "other", "other_n")
@@ -112,6 +117,8 @@ def variants(counts: DataFrame, ratio: int = RATIO) -> DataFrame:
     lead in the end, the word itself if it has none. n_near counts its near words, each exactly
     one inserted, deleted or replaced character away.
 
+    No join is a broadcast, so the driver holds nothing that grows with the words.
+
     Words must be distinct, as ``counted`` gives them; a null word or n takes no part, the empty
     word is near every word of one letter, and a word may have any length. Other columns are
     ignored, whatever their names. No words give no rows. Roots are found by doubling: a form
@@ -129,14 +136,14 @@ def variants(counts: DataFrame, ratio: int = RATIO) -> DataFrame:
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form"), F.col("other_id").alias("form_id"))).alias("best")
     near = near.groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), best)
     chosen = -F.col("best.less") >= ratio * F.col("n")
-    formed = words.join(near, "id", "left").select(
+    formed = words.join(shuffled(near), "id", "left").select(
         "id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
         F.when(chosen, F.col("best.form")).alias("form"), F.when(chosen, F.col("best.form_id")).alias("form_id"), F.when(chosen, -F.col("best.less")).alias("form_n"),
     )
     formed = scratch.save(formed, "formed")
     roots = _roots(formed.where("form_id is not null").select("id", F.col("form_id").alias("root_id")), scratch)
-    named = roots.join(words.select(F.col("id").alias("root_id"), F.col("word").alias("root")), "root_id").select("id", "root")
-    return formed.join(named, "id", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    named = roots.join(shuffled(words.select(F.col("id").alias("root_id"), F.col("word").alias("root"))), "root_id").select("id", "root")
+    return formed.join(shuffled(named), "id", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -144,7 +151,7 @@ def _roots(links: DataFrame, scratch: Scratch) -> DataFrame:
     rounds, going = 0, not links.isEmpty()
     while going:
         further = links.select(F.col("id").alias("root_id"), F.col("root_id").alias("next_id"))
-        moved = links.join(further, "root_id", "left").select("id", F.coalesce("next_id", "root_id").alias("root_id"), F.col("next_id").isNotNull().alias("moved"))
+        moved = links.join(shuffled(further), "root_id", "left").select("id", F.coalesce("next_id", "root_id").alias("root_id"), F.col("next_id").isNotNull().alias("moved"))
         moved = scratch.save(moved, f"roots{rounds}")
         scratch.drop(f"roots{rounds - 1}")
         going = not moved.where("moved").isEmpty()
