@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 #: Candidates in order of preference: of equal scores, as pure ASCII has them, the first wins.
 CANDIDATES = ("utf-8", "gb18030", "big5", "cp1252", "cp850", "mac_roman", "utf-16-le", "utf-16-be")
-#: Texts that a model learns from, at most.
-TRAIN_TEXTS = 20_000
 #: Pairs that begin at even places, then those at odd ones: so wide characters are told from each other by which byte comes first.
 PAIRS = 2 << 16
 #: Groups that have tables of their own, at most; the most frequent. All other texts are one more group.
@@ -63,13 +61,14 @@ class Model:
         return np.logaddexp.reduce(each, 0).sum(1)
 
 
-def train(texts: DataFrame, text_col: str = "text", encodings: tuple[str, ...] = CANDIDATES, rows: int = TRAIN_TEXTS, group_col: str | None = None) -> Model:
-    """A model of at most ``rows`` texts, the smallest by a hash of the text. What an encoding can't write is left out of it.
+def train(texts: DataFrame, text_col: str = "text", encodings: tuple[str, ...] = CANDIDATES, group_col: str | None = None) -> Model:
+    """A model of all the texts. What an encoding can't write is left out of it.
 
     Pairs are counted within tasks; a row a group, encoding and pair reaches the driver, (GROUPS + 1) * len(encodings) * PAIRS at most.
+    So do the groups, a row each and GROUPS at most.
     """
     group = F.lit("") if group_col is None else F.coalesce(F.col(group_col).cast("string"), F.lit(""))
-    some = texts.select(F.col(text_col).alias("text"), group.alias("group")).where("text <> ''").orderBy(F.xxhash64("text"), "text", "group").limit(rows)
+    some = texts.select(F.col(text_col).alias("text"), group.alias("group")).where("text <> ''")
     own = [] if group_col is None else [r["group"] for r in some.groupBy("group").count().orderBy(F.desc("count"), "group").limit(GROUPS).collect()]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +83,7 @@ def train(texts: DataFrame, text_col: str = "text", encodings: tuple[str, ...] =
         columns = [pa.array(x.astype(np.int32)) for x in (g, k, pair)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(total[g, k, pair])], ["place", "encoding", "pair", "n"])
 
-    found = some.repartition(8).mapInArrow(counted, "place int, encoding int, pair int, n bigint").groupBy("place", "encoding", "pair").agg(F.sum("n").alias("n")).toPandas()
+    found = some.mapInArrow(counted, "place int, encoding int, pair int, n bigint").groupBy("place", "encoding", "pair").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((len(own) + 1, len(encodings), PAIRS))
     table[found["place"].to_numpy(int), found["encoding"].to_numpy(int), found["pair"].to_numpy(int)] = found["n"].to_numpy(float)
     narrow = [k for k, e in enumerate(encodings) if len("a".encode(e)) == 1]  # their pairs are the same wherever they begin
