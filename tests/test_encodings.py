@@ -66,6 +66,17 @@ def test_a_lone_letter_is_read_as_its_line_suggests(spark):
         assert {r.k: r.encoding for r in found.collect()} == dict.fromkeys(ks, e)
 
 
+def test_a_capital_follows_a_full_stop_and_a_word_counts_once(spark):
+    french, german = ["le beau éen voi. Que le", "que élle. Le fête", "Èen le. Que éa", "voi. Èen que"], ["der erst pfen. Äau der", "Äau schen der"]
+    rows = [(t, g) for g, lines in (("de", german), ("fr", french)) for t in lines for _ in range(20)]
+    model = encodings.train(spark.createDataFrame(rows, "text string, lang string"), encodings=("cp1252", "cp850", "mac_roman"), group_col="lang")
+    texts = [("que le voi. Èonen le", "mac_roman"), ("Äau " * 40 + "der pfen", "cp850"), ("que éonen le", "cp1252"), ("Äau\n" + "erst Äau\n" * 40, "cp850")]
+    frame = encodings.encoded(spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "k int, text string, encoding string"))
+    found = {r.k: r.encoding for r in encodings.detect(encodings.blocks_of(frame, ["k"]), ["k"], model).collect()}
+    assert found == {k: e for k, (_, e) in enumerate(texts)}
+    assert encodings.Model(model.encodings, model.table, model.shares).scores(b"  ").tolist() == [0, 0, 0]
+
+
 def test_all_texts_are_learnt(spark):
     """Of 40 000 texts of two kinds none is left out, so neither kind's pair is unseen and both weigh the same."""
     rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "aa").otherwise("ab").alias("text"))
