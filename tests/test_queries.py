@@ -71,3 +71,14 @@ def test_lines_are_dealt_before_they_are_grouped(spark, monkeypatch):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and plan.index("partial_min") < plan.index("Exchange hashpartitioning")
         assert rows.rdd.getNumPartitions() >= 12
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the driver's tables are not here")
+def test_many_definitions_are_not_broadcast(spark, monkeypatch):
+    """A file of definitions is small beside what they take in memory, so their number decides; the plan holds neither frames nor texts of the map."""
+    plan = lambda: queries.QUERIES["register_explained"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    few = plan()
+    monkeypatch.setattr(queries, "BROADCAST_DEFINITIONS", 10)
+    many = plan()
+    assert "Broadcast" in few and "Broadcast" not in many and "SortMergeJoin" in many
+    assert "lineitem" not in many and "p_brand" not in many and len(many) < 100_000
